@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from lodestone.session import ship
 
 #: Operator modules; each has one query named opN_<name> and may have its SQL in ORACLE_SQL.
-MODULES = ("bpe", "simhash", "isomedia")
+MODULES = ("urls", "bpe", "secrets", "decontam", "simhash", "isomedia", "langid", "quality")
 
 
 def shipped(query: Callable) -> Callable:
