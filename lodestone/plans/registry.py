@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical",)
+MODULES = ("lexical", "retrieval")
 
 
 def _all(what: str) -> dict:
