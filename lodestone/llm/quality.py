@@ -143,7 +143,8 @@ def score_documents(docs: DataFrame, model: Model, block: int = 256) -> DataFram
         for at in range(0, len(texts), block):
             rows = np.stack([features(t.as_py()) for t in texts[at : at + block]])
             parts.append(held.value.score(rows))
-        return pa.array(np.round(np.clip(np.concatenate(parts) if parts else np.zeros(0), 0, 1), 6).astype(np.float64))
+        scores = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+        return pa.array(np.round(np.clip(scores, 0, 1), 6))
 
     return docs.withColumn("quality_score", score("text"))
 
