@@ -29,7 +29,9 @@ SMOOTH = 0.5
 UNKNOWN = "und"
 FOLDS, LEFT = 4, 2
 #: Unseen words whose vectors a worker keeps; beyond it the table starts anew.
-KEPT = 100_000
+KEPT = 150_000
+#: Texts whose unseen words are looked up together.
+BLOCK = 512
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -52,40 +54,65 @@ class Model:
     langs: list[str]
     rows: dict[str, int]  # words as they are, n-grams after their length
     table: np.ndarray
-    seen: dict[str, np.ndarray | None] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)  # unseen words → row after the table's, -1 for none
+    extra: np.ndarray | None = None
 
-    def back_off(self, word: str) -> np.ndarray | None:
-        """Mean vector of the longest n-grams that are known; None without any."""
+    def longest_known(self, word: str) -> list[int]:
+        """Rows of the longest n-grams that are known; empty without any."""
+        get = self.rows.get
         for n in range(LONGEST, 0, -1):
-            known = [r for g in grams(word, n) if (r := self.rows.get(f"{n}{g}")) is not None]
+            known = [r for g in grams(word, n) if (r := get(f"{n}{g}")) is not None]
             if known:
-                return self.table[known].mean(axis=0)
-        return None
+                return known
+        return []
+
+    def back_off(self, word: str) -> np.ndarray | None:
+        """Mean vector of the longest known n-grams."""
+        known = self.longest_known(word)
+        return self.table[known].mean(axis=0) if known else None
+
+    def _learn(self, unseen: list[str]) -> None:
+        """Vectors of unseen words, all at once."""
+        found = [self.longest_known(w) for w in unseen]
+        sizes = np.array([len(f) for f in found])
+        base = len(self.extra)
+        rows = np.array([r for f in found for r in f], np.int64)
+        has = sizes > 0
+        if has.any():
+            starts = (np.cumsum(sizes) - sizes)[has]
+            means = np.add.reduceat(self.table[rows], starts, axis=0) / sizes[has][:, None]
+            self.extra = np.vstack([self.extra, means])
+        places = np.where(has, base + np.cumsum(has) - 1, -1)
+        self.seen.update(zip(unseen, places.tolist()))
+
+    def predict_block(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its share of the likelihood, over at most 20 words' worth of evidence."""
+        if self.extra is None or len(self.seen) > KEPT:
+            self.seen, self.extra = {}, self.table
+        counted = [Counter(words(t)) if t else Counter() for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        rows, seen = self.rows, self.seen
+        unseen = {w: None for own in counted for w in own if w not in rows and w not in seen}
+        if unseen:
+            self._learn(list(unseen))
+        out = []
+        for own in counted:
+            if not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            at = np.array([rows[w] if w in rows else seen[w] for w in own], np.int64)
+            times = np.fromiter(own.values(), np.float64, len(own)) * (at >= 0)
+            n = max(times.sum(), 1.0)
+            mean = times @ self.extra[at] / n
+            share = np.exp((mean - mean.max()) * min(n, 20))
+            best = int(np.argmax(mean))  # ties: the first language in order
+            out.append((self.langs[best], round(float(share[best] / share.sum()), 6)))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the likelihood over at most 20 words' worth of evidence."""
-        counts = Counter(words(text or ""))
-        if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        get = self.rows.get
-        at = [get(w, -1) for w in counts]
-        rows, times = np.array(at), np.fromiter(counts.values(), np.float64, len(counts))
-        total = times[rows >= 0] @ self.table[rows[rows >= 0]]
-        n = times[rows >= 0].sum()
-        for word, row in zip(counts, at):
-            if row < 0:
-                if word not in self.seen:
-                    if len(self.seen) >= KEPT:
-                        self.seen.clear()
-                    self.seen[word] = self.back_off(word)
-                vector = self.seen[word]
-                if vector is not None:
-                    total = total + counts[word] * vector
-                    n += counts[word]
-        mean = total / max(n, 1)
-        share = np.exp((mean - mean.max()) * min(max(n, 1), 20))
-        best = int(np.argmax(mean))  # ties: the first language in order
-        return self.langs[best], round(float(share[best] / share.sum()), 6)
+        """The same for one text."""
+        return self.predict_block([text])[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +173,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf(result)
     def predict(texts: pa.Array) -> pa.Array:
-        found = [held.value.predict(t.as_py()) for t in texts]
+        found = [f for at in range(0, len(texts), BLOCK) for f in held.value.predict_block(texts[at : at + BLOCK].to_pylist())]
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "lang_score"]
         )
