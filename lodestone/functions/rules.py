@@ -60,3 +60,35 @@ def rebuilt(index: Column) -> Column:
 def base_id(chunk_id: Column) -> Column:
     """Without the last ``_chunk_…`` suffix."""
     return F.regexp_replace(chunk_id, r"_chunk_(?!.*_chunk_).*$", "")
+
+
+def composed(fields: list[tuple[str, Column]]) -> Column:
+    """One line ``label：value`` for each field that has a value."""
+    return F.concat_ws("\n", *[F.when(F.coalesce(F.length(v), F.lit(0)) > 0, F.concat(F.lit(f"{label}："), v)) for label, v in fields])
+
+
+def labelled(text: Column, labels: list[str]) -> list[Column]:
+    """The value after each label, null without the label.
+
+    A value ends at the first of the labels listed after its own that occurs behind it.
+    """
+    out = []
+    for i, label in enumerate(labels):
+        mark = F.lit(f"{label}：")
+        rest = F.substring(text, F.position(mark, text) + len(label) + 1, F.length(text))
+        ends = [F.when(rest.contains(f"{k}："), F.substring_index(rest, f"{k}：", 1)) for k in labels[i + 1 :]]
+        out.append(F.when(text.contains(f"{label}："), stripped(F.coalesce(*ends, rest))))
+    return out
+
+
+def reply_scores(reply: Column, expected: int) -> Column:
+    """Scores of a model's reply, out of ten, as shares of one.
+
+    From ``{"scores": […]}`` in the reply, missing ones 0.5; without such an object from its
+    numbers, where a missing one counts 5.0.
+    """
+    raw = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    own = F.transform(F.coalesce(F.from_json(raw, "scores array<double>")["scores"], F.array().cast("array<double>")), lambda x: x / 10)
+    numbers = F.transform(F.regexp_extract_all(reply, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double") / 10)
+    pad = lambda scores, value: F.slice(F.concat(scores, F.array_repeat(F.lit(value), expected)), 1, expected)
+    return F.when(F.get_json_object(raw, "$").isNotNull(), pad(own, 0.5)).otherwise(pad(numbers, 5.0))

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,3 +56,21 @@ def mentions(docs: DataFrame, patterns: list[str], id_col: str = "doc_id", text_
     found = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.explode(held).alias("pattern"))
     times = (F.length("t") - F.length(F.replace("t", "pattern", F.lit("")))) / F.length("pattern")
     return found.select("id", "pattern", times.cast("long").alias("times"), F.position("pattern", "t").cast("long").alias("first"))
+
+
+def multi_match(entities: DataFrame, queries: list[str], threshold: float = 0.8, k: int = 10) -> DataFrame:
+    """(query, id, name, score, rank): equal names count 1, near ones 0.8 times the ratio, and
+    names that occur in the query 0.6 for each occurrence; the best ``k``, ties to the least id.
+
+    Only names that match in one way or another leave the scan. Null and empty names go.
+    """
+    spark = entities.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(q,) for q in _bounded(queries)], "query string"))  # at most MAX_NAMES
+    named = entities.where("name <> ''")
+    near = near_names(named, queries, threshold).select("query", "id", "name", (F.col("ratio") * 0.8).alias("w"))
+    low, q = F.lower("name"), F.lower("query")
+    times = (F.length(q) - F.length(F.replace(q, low, F.lit("")))) / F.length(low)
+    held = named.join(asked, q.contains(low)).select("query", "id", "name", (times * 0.6 + F.when(q == low, 1.0).otherwise(0.0)).alias("w"))
+    scored = near.union(held).groupBy("query", "id", "name").agg(F.round(F.sum("w"), 6).alias("score"))
+    order = W.partitionBy("query").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

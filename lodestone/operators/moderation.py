@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Items of a bank that one pass broadcasts.
+BANK_BLOCK = 1000
 #: Our own small neutral dictionary: (keyword, category, code). Categories may share a code.
 RULES = (
     ("blend", "kitchen", "C2"), ("pathetic", "rude", "C3"), ("worthless", "rude", "C3"), ("token", "credential", "C4"),
@@ -30,3 +34,16 @@ def verdicts(found: DataFrame) -> DataFrame:
     """(id, code, categories): the code of least number decides; categories are distinct."""
     number = F.substring("code", 2, 9).cast("int")
     return found.groupBy("id").agg(F.concat(F.lit("C"), F.min(number).cast("string")).alias("code"), F.countDistinct("category").alias("categories"))
+
+
+def contained(docs: DataFrame, bank: DataFrame, block: int = BANK_BLOCK) -> DataFrame:
+    """(doc_id, item_id) of each item of ``bank`` (item_id, text) that a text contains, case kept.
+
+    A block of about ``block`` items is broadcast at a time; a larger bank takes one pass over
+    the texts for each of its blocks. Null and empty items and null texts match nothing.
+    """
+    items = bank.where("text <> ''").select("item_id", F.col("text").alias("item"))
+    passes = max(1, -(-items.count() // block))
+    part = F.pmod(F.xxhash64("item_id", "item"), F.lit(passes))
+    found = [docs.join(F.broadcast(items.where(part == i)), F.col("text").contains(F.col("item"))) for i in range(passes)]
+    return reduce(DataFrame.unionByName, [f.select("doc_id", "item_id") for f in found])

@@ -54,10 +54,8 @@ def moderation_categories(s, d):
 
 
 def question_bank_match(s, d):
-    """Benchmark items that occur word for word: bank of bounded size, one scan of the texts."""
-    bank = table(s, d, "benchmark")
-    docs = _docs(s, d).select("doc_id", "text")
-    return docs.join(F.broadcast(bank.select("item_id", F.col("text").alias("item"))), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    """Benchmark items that occur word for word."""
+    return moderation.contained(_docs(s, d).select("doc_id", "text"), table(s, d, "benchmark"))
 
 
 def sentence_split(s, d):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
-from lodestone.operators import batches, caching, dedup, entities
+from lodestone.operators import batches, caching, dedup, entities, vectors
 from lodestone.session import ship
 from lodestone.sources import files, sinks
 from lodestone.sources.shared import new_folder
@@ -142,6 +145,58 @@ def model_batch(s, d):
     return batches.call_batch(table(s, d, "benchmark"), "text", _echo).select("item_id", "reply", "error")
 
 
+def labelled_fields(s, d):
+    """Parts written as labelled lines and parsed again."""
+    text = rules.composed([("产品名称", F.col("p_name")), ("品牌", F.col("p_brand")), ("类别", F.nullif(F.col("p_type"), F.lit("SMALL"))), ("价格", F.col("p_size").cast("string"))])
+    name, brand, kind, size = rules.labelled(F.col("t"), ["产品名称", "品牌", "类别", "价格"])
+    return table(s, d, "part").select("p_partkey", text.alias("t")).select("p_partkey", name.alias("name"), brand.alias("brand"), kind.alias("category"), size.alias("price"))
+
+
+def rerank_scores(s, d):
+    """Scores read from replies, half of them JSON with a number missing, half plain text."""
+    k = F.get_json_object("props", "$.k")
+    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('ok {"scores": ['), k, F.lit(', 7]}'))).otherwise(F.concat(F.lit("scores: "), k, F.lit(" and 8.5")))
+    scores = rules.reply_scores(F.col("r"), 3)
+    return table(s, d, "events").select("event_id", reply.alias("r")).select("event_id", *[F.round(scores[i], 6).alias(f"s{i}") for i in range(3)])
+
+
+def semantic_dedup_greedy(s, d):
+    """Vectors in id order, without those that resemble one kept before."""
+    own = table(s, d, "embeddings").select("vec_id", "embedding")
+    return dedup.greedy_keep(own, vectors.similar_pairs(own, 0.3), "vec_id").select("vec_id")
+
+
+def entity_multi(s, d):
+    return entities.multi_match(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), [*NAMES, "a red ring and a blue bolt"])
+
+
+def review_candidates(s, d):
+    """Candidates of high value and frequency that are old enough, marked for approval from a higher bar on."""
+    seen = table(s, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("best"), F.count(F.lit(1)).alias("times"), F.min("ts").alias("first"))
+    old = seen.where("best >= 100 AND times >= 5 AND first < TIMESTAMP '2024-01-24'")
+    return old.select("user_id", "event_type", "times", ((F.col("best") >= 150) & (F.col("times") >= 10)).alias("approved"))
+
+
+def best_source(s, d):
+    """Type of the best success rate for each day; ties go to the first name."""
+    rate = table(s, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("rate"))
+    best = rate.groupBy("day").agg(F.min(F.struct((-F.col("rate")).alias("r"), "event_type")).alias("b"))
+    return best.select("day", "b.event_type", (-F.col("b.r")).alias("rate"))
+
+
+def feeds_union(s, d):
+    """Items of three tables under one schema, each with its category."""
+    parts = (table(s, d, t).select(F.lit(t).alias("category"), F.col(i).cast("long").alias("id"), F.substring(c, 1, 200).alias("summary")) for t, i, c in (("benchmark", "item_id", "text"), ("pages", "page_id", "url"), ("nation", "n_nationkey", "n_name")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def topic_pick(s, d):
+    """One part for each brand: not of the largest size, then by size, retail price and key."""
+    fresh = table(s, d, "part").where("p_size < 45")
+    best = fresh.groupBy("p_brand").agg(F.min(F.struct((-F.col("p_size")).alias("a"), (-F.col("p_retailprice")).alias("b"), "p_partkey")).alias("t"))
+    return best.select("p_brand", "t.p_partkey")
+
+
 def _quoted(words) -> str:
     return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 
@@ -152,7 +207,8 @@ _PATTERNS = ", ".join(f"('{p}')" for p in PATTERNS)
 
 QUERIES = {f.__name__: f for f in (
     import_json, import_csv, import_markdown, sink_replace_partition, sink_bounded_files, sink_log_by_day, think_strip, json_extract, inverted_abstract, lang_detect,
-    dedup_base_id, dedup_literature, cache_ttl_hits, cache_hit_rate, source_cascade, low_load_hours, entity_fuzzy, entity_mentions, model_batch)}
+    dedup_base_id, dedup_literature, cache_ttl_hits, cache_hit_rate, source_cascade, low_load_hours, entity_fuzzy, entity_mentions, model_batch,
+    labelled_fields, rerank_scores, semantic_dedup_greedy, entity_multi, review_candidates, best_source, feeds_union, topic_pick)}
 ORACLE = {
     "import_json": "SELECT item_id, md5(text) AS digest FROM benchmark",
     "import_csv": "SELECT 'Item \"' || item_id || '\"' AS title, md5(text) AS digest, 'a|b' AS tags FROM benchmark",
@@ -174,4 +230,11 @@ FROM (SELECT lang, CASE WHEN source LIKE '%1' THEN 1 WHEN source LIKE '%5' THEN
     "low_load_hours": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n FROM events GROUP BY 1 HAVING count(*) < 8",
     "entity_mentions": f"SELECT doc_id AS id, pattern, CAST((length(text) - length(replace(text, pattern, ''))) / length(pattern) AS BIGINT) AS times, strpos(text, pattern) AS first FROM documents JOIN (VALUES {_PATTERNS}) v(pattern) ON contains(text, pattern)",
     "model_batch": "SELECT item_id, CASE WHEN NOT contains(text, chr(10)) THEN upper(substring(text, 1, 20)) END AS reply, CASE WHEN contains(text, chr(10)) THEN 'ValueError: line end' END AS error FROM benchmark",
+    "labelled_fields": "SELECT p_partkey, p_name AS name, p_brand AS brand, nullif(p_type, 'SMALL') AS category, CAST(p_size AS VARCHAR) AS price FROM part",
+    "rerank_scores": "SELECT event_id, round(CAST(json_extract(props, '$.k') AS DOUBLE) / 10, 6) AS s0, CASE WHEN event_id % 2 = 0 THEN 0.7 ELSE 0.85 END::DOUBLE AS s1, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 5.0 END::DOUBLE AS s2 FROM events",
+    "review_candidates": "SELECT user_id, event_type, count(*) AS times, max(value) >= 150 AND count(*) >= 10 AS approved FROM events GROUP BY ALL HAVING max(value) >= 100 AND count(*) >= 5 AND min(ts) < TIMESTAMP '2024-01-24'",
+    "best_source": """SELECT day, event_type, rate FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rate DESC, event_type) AS r
+FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(avg((value > 50)::INTEGER), 6) AS rate FROM events GROUP BY ALL)) WHERE r = 1""",
+    "feeds_union": "SELECT 'benchmark' AS category, CAST(item_id AS BIGINT) AS id, substring(text, 1, 200) AS summary FROM benchmark UNION ALL SELECT 'pages', page_id, substring(url, 1, 200) FROM pages UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), n_name FROM nation",
+    "topic_pick": "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size < 45) WHERE r = 1",
 }

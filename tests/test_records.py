@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
-from lodestone.operators import batches, caching, entities
+from lodestone.operators import batches, caching, dedup, entities, moderation
 from lodestone.sources import files, sinks
 
 
@@ -103,3 +103,39 @@ def test_batched_calls_keep_errors_by_row(spark):
     rows = spark.createDataFrame([("a",), ("bad",), (None,), ("c",)], "text string").coalesce(1)
     assert [tuple(r) for r in batches.call_batch(rows, "text", model).collect()] == [
         ("a", "a!", None), ("bad", None, "RuntimeError: no"), (None, None, None), ("c", "c!", None)]
+
+
+@pytest.mark.parametrize("links", [[], [(1, 2)], [(1, 2), (2, 3), (3, 4), (4, 5)], [(1, 3), (2, 3), (3, 4), (1, 5), (5, 6), (2, 6), (1, 2)]])
+def test_greedy_keep_follows_the_order(spark, links):
+    kept = []
+    for i in range(1, 8):
+        if not any((k, i) in links for k in kept):
+            kept.append(i)
+    rows = spark.range(1, 8)
+    pairs = spark.createDataFrame([*links, *links[:1]], "a long, b long")
+    assert sorted(r.id for r in dedup.greedy_keep(rows, pairs, "id").collect()) == kept
+
+
+def test_labelled_fields_end_at_later_labels(spark):
+    texts = [("A：1 B：2\nC： 3 ",), ("C：x A：y B：",), ("none",), (None,), ("",)]
+    got = spark.createDataFrame(texts, "t string").select(*rules.labelled(F.col("t"), ["A", "B", "C"])).collect()
+    assert [tuple(r) for r in got] == [("1", "2", "3"), ("y", "", "x A：y B："), (None,) * 3, (None,) * 3, (None,) * 3]
+
+
+def test_reply_scores(spark):
+    texts = ['a {"scores": [10, 5]} b', "7 then 3.5 then 1 then 2", "none", "", '{"other": 1}']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rules.reply_scores(F.col("t"), 3)).collect()]
+    assert got == [[1.0, 0.5, 0.5], [0.7, 0.35, 0.1], [5.0] * 3, [5.0] * 3, [0.5] * 3]
+
+
+def test_bank_in_several_passes(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two three"), (3, None)], "doc_id int, text string")
+    bank = spark.createDataFrame([(1, "two"), (2, "three"), (3, ""), (4, None), (5, "one two")], "item_id int, text string")
+    for block in (1, 2, 100):
+        assert sorted(map(tuple, moderation.contained(docs, bank, block).collect())) == [(1, 1), (1, 5), (2, 1), (2, 2)]
+
+
+def test_multi_match(spark):
+    names = spark.createDataFrame([(1, "Blue Bolt"), (2, "bolt"), (3, "red"), (4, None), (5, "")], "id int, name string")
+    got = [(r.query, r.id, r.score, r["rank"]) for r in entities.multi_match(names, ["blue bolt", "bolts"], k=2).orderBy("query", "rank").collect()]
+    assert got == [("blue bolt", 1, 2.4, 1), ("blue bolt", 2, 0.6, 2), ("bolts", 2, round(0.8 * round(8 / 9, 6) + 0.6, 6), 1)]
