@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.names import fresh
 from lodestone.llm.quality import held_out
 from lodestone.sources.shared import settled
 
@@ -179,7 +180,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         )
 
     keep = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    return docs.withColumn("__l", predict("text")).select(*keep, "__l.lang_pred", "__l.lang_score")
+    made = fresh(docs, "__l")
+    return docs.withColumn(made, predict("text")).select(*keep, f"{made}.lang_pred", f"{made}.lang_score")
 
 
 def op9_language_backoff(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.names import fresh
 from lodestone.sources.shared import settled
 
 TITLES_M, TITLES_F = "Mr|Herr|Monsieur|Señor|Sr", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra"
@@ -194,12 +195,12 @@ def collisions(known: DataFrame, key: str) -> tuple[DataFrame, int]:
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} draws")
 
 
-def _number_of(kind: str) -> Column:
-    return F.size(F.filter("__found", lambda x: x["kind"] == kind))
+def _number_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind))
 
 
-def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with every entity in ``text_col`` replaced, and ``pii_counts`` (kind to number).
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str = "pii_counts") -> DataFrame:
+    """``docs`` with every entity in ``text_col`` replaced, and ``out`` (kind to number).
 
     Null text stays null and has no counts; all other columns stay. Repeated rows get equal
     texts. The key must be kept secret where surrogates are to be unlinkable.
@@ -208,23 +209,24 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     with_found = docs.select(entities(text).alias("f"))
     known = with_found.select(F.explode("f").alias("x")).select("x.kind", "x.norm")
     drawn, raised = collisions(known, key)
-    marked = docs.withColumn("__found", entities(text))
+    here_key, spans, redraw, new = (fresh(docs, n) for n in ("__key", "__found", "__redrawn", "__new"))
+    marked = docs.withColumn(spans, entities(text))
     if raised:
         redrawn = drawn.where("attempt > 0")
-        here = docs.where(text.rlike(HINT)).select(F.sha2(text, 256).alias("__key"), F.explode(entities(text)).alias("x"))
-        here = here.select("__key", F.col("x.kind").alias("kind"), F.col("x.norm").alias("norm")).distinct().join(redrawn, ["kind", "norm"])
-        maps = here.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("__redrawn"))
-        marked = marked.withColumn("__key", F.sha2(text, 256)).join(maps, "__key", "left")
-        attempt = lambda x: F.coalesce(F.try_element_at(F.col("__redrawn"), F.concat_ws("|", x["kind"], x["norm"])), F.lit(0))
+        here = docs.where(text.rlike(HINT)).select(F.sha2(text, 256).alias(here_key), F.explode(entities(text)).alias("x"))
+        here = here.select(here_key, F.col("x.kind").alias("kind"), F.col("x.norm").alias("norm")).distinct().join(redrawn, ["kind", "norm"])
+        maps = here.groupBy(here_key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(redraw))
+        marked = marked.withColumn(here_key, F.sha2(text, 256)).join(maps, here_key, "left")
+        attempt = lambda x: F.coalesce(F.try_element_at(F.col(redraw), F.concat_ws("|", x["kind"], x["norm"])), F.lit(0))
     else:
         attempt = lambda x: F.lit(0)
-    marked = marked.withColumn("__new", F.transform(surrogates(F.col("__found"), key, attempt), rendered))
+    marked = marked.withColumn(new, F.transform(surrogates(F.col(spans), key, attempt), rendered))
     pieces = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col("__new"), i + 1), F.lit("")))), "")
-    counts = F.map_from_arrays(F.array(*[F.lit(t) for t in TYPES]), F.array(*[_number_of(t) for t in TYPES]))
-    new_text = F.when(F.size("__found") > 0, joined).otherwise(text)
-    keep = [new_text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "pii_counts"]
-    return marked.select(*keep, counts.alias("pii_counts"))
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col(new), i + 1), F.lit("")))), "")
+    counts = F.map_from_arrays(F.array(*[F.lit(t) for t in TYPES]), F.array(*[_number_of(spans, t) for t in TYPES]))
+    new_text = F.when(F.size(spans) > 0, joined).otherwise(text)
+    keep = [new_text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != out]
+    return marked.select(*keep, counts.alias(out))
 
 
 #: Key of the registered query; a parameter elsewhere.

@@ -132,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, label_col
     return fit_rows(matrix, np.array([r.y for r in rows], np.float32))
 
 
-def score_documents(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
-    """``docs`` with a column ``quality_score`` between 0 and 1; null and empty texts get the
+def score_documents(docs: DataFrame, model: Model, block: int = 256, out: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``out`` between 0 and 1, in place of one of that name; null and empty texts get the
     share of label 1 among the labelled."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -146,7 +146,7 @@ def score_documents(docs: DataFrame, model: Model, block: int = 256) -> DataFram
         scores = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
         return pa.array(np.round(np.clip(scores, 0, 1), 6))
 
-    return docs.withColumn("quality_score", score("text"))
+    return docs.withColumn(out, score("text"))
 
 
 def held_out(folds: int = FOLDS, left: int = 0):

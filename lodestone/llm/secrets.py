@@ -15,6 +15,8 @@ from math import floor, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.names import fresh
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
@@ -129,8 +131,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], "^" + ASSIGN + "$", 2)) >= 12)
     base = F.concat(_kind(assign, 0), _kind(found(text, ACCESS), 1), _kind(found(text, HEX), 2))
-    with_base = docs.withColumn("secret_base", F.array_sort(base)).withColumn("__entropy", _entropy(text))
-    return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "__entropy"))).drop("__entropy")
+    more = fresh(docs, "__entropy")
+    with_base = docs.withColumn("secret_base", F.array_sort(base)).withColumn(more, _entropy(text))
+    return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_base", more))).drop(more)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

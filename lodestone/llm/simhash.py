@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.components import components
+from lodestone.llm.names import fresh
 from lodestone.sources.shared import settled
 
 SHINGLE, SEED = 3, 42
@@ -199,10 +200,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     near = near_duplicates(docs, id_col, text_col)
     kept = near.groupBy("component_fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash"))
-    chosen = keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"])
+    own, kept_id, kept_hash = (fresh(docs, n) for n in ("__hash", "__kept_id", "__kept_hash"))
+    kept = kept.select(F.col("k.id").alias(kept_id), F.col("k.text_hash").alias(kept_hash))
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash))
+    chosen = keyed.join(kept, same, "left_semi").dropDuplicates([id_col, own])
     return chosen.select(*[f"`{c}`" for c in docs.columns])
 
 

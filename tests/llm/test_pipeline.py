@@ -46,6 +46,14 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         assert done.columns == table.columns, name
         assert 0 < done.count() <= table.count()
         assert stage(spark, table.limit(0), SF).count() == 0
+        clashing = ["quality_score", "pii_counts", "__hash", "__kept_id", "__kept_hash", "__found", "__key", "__new", "__redrawn", "low", "with space"]
+        more = table
+        for c in clashing:
+            more = more.withColumn(c, F.concat_ws(" ", F.lit(c), "doc_id"))
+        done = stage(spark, more, SF)
+        assert done.columns == more.columns, name
+        for r in done.collect():
+            assert all(r[c] == (c if r.doc_id is None else f"{c} {r.doc_id}") for c in clashing), name
     last = cp.STAGES[-1][1](spark, table, SF)
     assert last.count() == table.count() and last.where("NOT round_trip").count() == 0
     assert pii.DEMO_KEY
