@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontam, pii, quality, simhash
+from lodestone.llm.names import fresh
 from lodestone.session import ship
 from lodestone.sources.shared import new_folder
 
@@ -13,8 +14,9 @@ from lodestone.sources.shared import new_folder
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' vote doesn't reject (score at least 0.3)."""
     ship(spark)
-    scored = quality.score_documents(docs, quality.fit_tables(spark, sf_dir))
-    return scored.where(F.col("quality_score") >= quality.CUT).select(*[f"`{c}`" for c in docs.columns])
+    score = fresh(docs, "quality_score")
+    scored = quality.score_documents(docs, quality.fit_tables(spark, sf_dir), out=score)
+    return scored.where(F.col(score) >= quality.CUT).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars follows the new text."""
-    done = pii.replace_entities(docs, pii.DEMO_KEY).drop("pii_counts")
+    counts = fresh(docs, "pii_counts")
+    done = pii.replace_entities(docs, pii.DEMO_KEY, out=counts).drop(counts)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
