@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, pii, quality, simhash
+from lodestone.llm import bpe, copies, decontam, pii, quality
 from lodestone.llm.names import fresh
 from lodestone.session import ship
 from lodestone.sources.shared import new_folder
@@ -20,9 +20,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the least id."""
+    """One document of each group of near copies (5-word shingles, Jaccard at least 0.8): that of the least id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return copies.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

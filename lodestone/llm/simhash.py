@@ -198,7 +198,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     All columns stay. Rows repeated in id and text count once; a row with a null id stays
     only if its whole group has none.
     """
-    near = near_duplicates(docs, id_col, text_col)
+    return least_of(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def least_of(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each group of ``near`` (id, text_hash, component_fp)."""
     kept = near.groupBy("component_fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
     own, kept_id, kept_hash = (fresh(docs, n) for n in ("__hash", "__kept_id", "__kept_hash"))
     kept = kept.select(F.col("k.id").alias(kept_id), F.col("k.text_hash").alias(kept_hash))
