@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors that one pass of a search may broadcast.
+#: Vectors that one block of a search broadcasts, about.
 MAX_QUERIES = 10_000
 
 
@@ -25,17 +25,22 @@ def cosine(a: Column, b: Column) -> Column:
 def score_queries(vectors: DataFrame, searches: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, label…, score): each vector against a bounded table of queries.
 
-    ``searches`` has (query_id, query_vec) and is broadcast; a larger table than
-    ``MAX_QUERIES`` must be cut into blocks by the caller.
+    ``searches`` has (query_id, query_vec); it is broadcast in blocks of about ``MAX_QUERIES``,
+    so any number may be given.
     """
-    if searches.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one pass")
     rest = [c for c in vectors.columns if c not in (id_col, vec_col)]
-    return (
-        vectors.crossJoin(F.broadcast(searches))
-        .withColumn("score", F.round(cosine(F.col(vec_col), F.col("query_vec")), 6))
-        .select("query_id", F.col(id_col).alias("id"), *rest, "score")
-    )
+    n = searches.count() if searches.limit(MAX_QUERIES + 1).count() > MAX_QUERIES else 0
+    blocks = max(1, -(-2 * n // MAX_QUERIES))  # half full on average
+    out = None
+    for k in range(blocks):
+        share = searches if blocks == 1 else searches.where(F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(blocks)) == k)
+        scored = (
+            vectors.crossJoin(F.broadcast(share))
+            .withColumn("score", F.round(cosine(F.col(vec_col), F.col("query_vec")), 6))
+            .select("query_id", F.col(id_col).alias("id"), *rest, "score")
+        )
+        out = scored if out is None else out.union(scored)
+    return out
 
 
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
