@@ -3,7 +3,9 @@
 Entities are found by one pattern. A surrogate follows from a key and the entity's normal
 form alone, so the same entity has the same surrogate in every document (coreference)
 without a join. It keeps type, script, case, separators and length, a card's check digit
-and a title's gender. The distinct entities, grouped before anything else, are checked for
+and a title's gender; a name of several words gets a given and a family name. After a title
+all name words, initials, particles and hyphens are taken, and in scripts without case the
+run of letters (with up to two more in Arabic, Hebrew and Devanagari). The distinct entities, grouped before anything else, are checked for
 surrogates that collide with each other or with a real entity; those are drawn anew until
 none is left, and only they, usually none, are joined to their documents.
 """
@@ -18,7 +20,10 @@ from lodestone.sources.shared import settled
 
 TITLES_M, TITLES_F = "Mr|Herr|Monsieur|Señor|Sr", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra"
 TITLES = rf"(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\b\.?"
-NAME = r"\p{Lu}[\p{L}'’]+"
+#: A name word or initial; words that stand between or before them; a run in a script without case, and more such where blanks part them.
+NAME = r"(?:\p{Lu}[\p{L}\p{M}'’]+|\p{Lu}\.)"
+PARTICLES = r"(?:(?:von|vom|van|vander|de|del|della|der|den|des|di|da|das|do|dos|du|la|las|le|los|zu|zum|zur|ter|ten|bin|ibn|al|el|af|av|y|e)(?: +|-)|[dlD]['’])"
+CASELESS = r"\p{Lo}[\p{Lo}\p{Lm}\p{M}·・]*+(?: [\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]++){0,2}+"
 EDGE, AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: In order: the first that fits at a place is taken.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
@@ -30,7 +35,7 @@ PHONE = (
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})" + AFTER
 )
 CARD = EDGE + r"\d(?:[ -]?\d){12,18}" + AFTER
-PERSON = EDGE + rf"{TITLES} +{NAME}(?:[ -]{NAME})?"
+PERSON = EDGE + rf"(?:{TITLES} +)+(?:{PARTICLES}*+{NAME}(?:(?: +|-){PARTICLES}*+{NAME})*+|{CASELESS})"
 PATTERN = "|".join((EMAIL, IP, IBAN, SSN, PHONE, CARD, PERSON))
 #: Texts without any of these hold no entity; it is far cheaper to look for.
 HINT = rf"[0-9@]|{TITLES}"
@@ -42,7 +47,9 @@ GIVEN_F = ("Anna", "Bella", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen"
 GIVEN_N = ("Alex", "Ariel", "Chris", "Dana", "Eden", "Jamie", "Jordan", "Kim", "Lee", "Morgan", "Noor", "Quinn", "Robin", "Sam", "Sasha", "Toni")
 SYLLABLES = ("ba", "be", "bor", "da", "del", "dor", "fa", "fen", "gar", "go", "hal", "ho", "ka", "kel", "kor", "la",
              "len", "lo", "ma", "mer", "mon", "na", "nel", "no", "par", "ra", "ren", "ro", "sa", "tel", "va", "wen")
-ALPHABETS = (("Cyrillic", "абвгдежзиклмнопрстуфхцчш"), ("Greek", "αβγδεζηθικλμνξοπρστυφχψω"), ("Han", "王李张刘陈杨黄赵吴周徐孙马朱胡林"))
+ALPHABETS = (("Cyrillic", "абвгдежзиклмнопрстуфхцчш"), ("Greek", "αβγδεζηθικλμνξοπρστυφχψω"), ("Han", "王李张刘陈杨黄赵吴周徐孙马朱胡林"),
+             ("Arabic", "ابتجحدرسشعفقكلمنهوي"), ("Hebrew", "אבגדהוזחטילמנסעפקרש"), ("Hiragana", "あいうえおかきくけこさしすせそ"),
+             ("Katakana", "アイウエオカキクケコサシスセソ"), ("Hangul", "김이박최정강조윤장임한오서신권"), ("Devanagari", "कखगचजटडतदनपबमरलवसह"))
 ACCENTED = "áàâäéèêëíìîïóòôöúùûüñç"
 MAX_ATTEMPTS = 50
 
@@ -66,7 +73,7 @@ def _type(m: Column) -> Column:
 def _norm(m: Column, kind: Column) -> Column:
     """What names the entity: e-mail and name in lower case, an address as it is, else letters and digits."""
     gender = F.when(m.rlike(rf"^(?:{TITLES_F})\b"), "f").when(m.rlike(rf"^(?:{TITLES_M})\b"), "m").otherwise("n")
-    name = F.lower(F.regexp_replace(m, rf"^{TITLES} +", ""))
+    name = F.lower(F.regexp_replace(F.regexp_replace(m, rf"^(?:{TITLES} +)+", ""), " +", " "))
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", m)
@@ -139,7 +146,7 @@ def surrogates(found: Column, key: str, attempt) -> Column:
         family = F.initcap(F.concat(*[_one(SYLLABLES, _byte(x["h"], F.lit(i))) for i in (1, 2, 3)]))
         own = F.substring(x["norm"], 3, 10_000)
         latin = F.when(own.rlike("[ -]"), F.concat(given, F.regexp_extract(own, "[ -]", 0), family)).otherwise(family)
-        return F.when(own.rlike(r"^[\p{IsLatin} '’-]+$"), latin).otherwise(F.initcap(F.array_join(F.transform(_chars(own), lambda c, i: _like(c, _byte(x["h"], i))), "")))
+        return F.when(own.rlike(r"^[\p{IsLatin}\p{M} .'’-]+$"), latin).otherwise(F.initcap(F.array_join(F.transform(_chars(own), lambda c, i: _like(c, _byte(x["h"], i))), "")))
 
     octets = lambda x: F.concat_ws(".", *[(_byte(x["h"], F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     made = _with(drawn, "s", fields, lambda x: F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", named(x)).otherwise(mapped(x)))
@@ -163,7 +170,7 @@ def rendered(x: Column) -> Column:
         return F.when(c.rlike("[A-Z0-9]"), F.substring(digits, before + 1, F.lit(1))).otherwise(c)
 
     mail = F.when(x["m"] == F.upper(x["m"]), F.upper(x["s"])).otherwise(x["s"])
-    title = F.regexp_extract(x["m"], rf"^{TITLES} +", 0)
+    title = F.regexp_extract(x["m"], rf"^(?:{TITLES} +)+", 0)
     name = F.when(F.substring(x["m"], F.length(title) + 1, F.lit(10_000)).rlike(r"^[^\p{Ll}]+$"), F.upper(x["s"])).otherwise(x["s"])
     return (
         F.when(x["kind"] == "email", mail)

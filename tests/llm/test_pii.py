@@ -84,3 +84,19 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.replace_entities(df, "k").collect() == []
     assert pii.replace_entities(df, "k").select(F.col("text")).columns == ["text"]
+
+
+def test_whole_names_are_taken(spark):
+    names = ["Mrs Anna Maria Schmidt", "Dr Anna Meyer-Landrut", "Dr 王小明", "Herr von der Leyen", "Prof. Dr. Ludwig van Beethoven", "Mr. J. R. Tolkien-Smith", "Dr محمد علي",
+             "Sr Juan  Carlos de la Cruz", "Mr Jean-Luc d'Arc"]
+    df = spark.createDataFrame([(i, f"today {n}, as said") for i, n in enumerate(names)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_entities(df, "k").collect()}
+    for i, n in enumerate(names):
+        assert out[i].pii_counts["person"] == 1, n
+        left = regex.findall(r"\p{L}{2,}", n)
+        title = regex.match(rf"(?:{pii.TITLES} +)+", n)[0]
+        assert out[i].text.startswith("today " + title) and out[i].text.endswith(", as said")
+        assert not {w for w in left if w not in title} & set(regex.findall(r"\p{L}{2,}", out[i].text)), out[i].text
+    assert regex.fullmatch(r"today Dr \p{Han}{3}, as said", out[2].text)
+    many = spark.createDataFrame([(1, "Mr " + "Anna " * 20000)], "doc_id long, text string")
+    assert "Anna Anna" not in pii.replace_entities(many, "k").first().text
