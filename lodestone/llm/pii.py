@@ -125,10 +125,13 @@ def _with(structs: Column, name: str, fields: tuple[str, ...], made) -> Column:
 def surrogates(found: Column, key: str, attempt) -> Column:
     """``found`` (m, kind, norm) with the surrogate's normal form ``s``.
 
-    ``attempt`` gives the number of the draw from an element, 0 unless draws collided.
+    ``attempt`` gives the number of the draw from an element, 0 unless draws collided. A name
+    grows by a syllable or letter with each draw, so there are always names enough.
     """
     fields = ("m", "kind", "norm")
-    drawn = _with(found, "h", fields, lambda x: F.sha2(F.concat_ws("|", F.lit(key), x["kind"], x["norm"], attempt(x)), 256))
+    tried = _with(found, "a", fields, attempt)
+    fields += ("a",)
+    drawn = _with(tried, "h", fields, lambda x: F.sha2(F.concat_ws("|", F.lit(key), x["kind"], x["norm"], x["a"]), 256))
     fields += ("h",)
 
     def mapped(x: Column) -> Column:
@@ -143,10 +146,11 @@ def surrogates(found: Column, key: str, attempt) -> Column:
         given = F.when(x["norm"].startswith("m "), _one(GIVEN_M, _byte(x["h"], F.lit(0)))).when(
             x["norm"].startswith("f "), _one(GIVEN_F, _byte(x["h"], F.lit(0)))
         ).otherwise(_one(GIVEN_N, _byte(x["h"], F.lit(0))))
-        family = F.initcap(F.concat(*[_one(SYLLABLES, _byte(x["h"], F.lit(i))) for i in (1, 2, 3)]))
+        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), x["a"] + 3), lambda i: _one(SYLLABLES, _byte(x["h"], i))), ""))
         own = F.substring(x["norm"], 3, 10_000)
         latin = F.when(own.rlike("[ -]"), F.concat(given, F.regexp_extract(own, "[ -]", 0), family)).otherwise(family)
-        return F.when(own.rlike(r"^[\p{IsLatin}\p{M} .'’-]+$"), latin).otherwise(F.initcap(F.array_join(F.transform(_chars(own), lambda c, i: _like(c, _byte(x["h"], i))), "")))
+        longer = F.concat(_chars(own), F.array_repeat(F.regexp_extract(own, r"\p{L}(?=\P{L}*$)", 0), x["a"]))
+        return F.when(own.rlike(r"^[\p{IsLatin}\p{M} .'’-]+$"), latin).otherwise(F.initcap(F.array_join(F.transform(longer, lambda c, i: _like(c, _byte(x["h"], i))), "")))
 
     octets = lambda x: F.concat_ws(".", *[(_byte(x["h"], F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     made = _with(drawn, "s", fields, lambda x: F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", named(x)).otherwise(mapped(x)))

@@ -100,3 +100,16 @@ def test_whole_names_are_taken(spark):
     assert regex.fullmatch(r"today Dr \p{Han}{3}, as said", out[2].text)
     many = spark.createDataFrame([(1, "Mr " + "Anna " * 20000)], "doc_id long, text string")
     assert "Anna Anna" not in pii.replace_entities(many, "k").first().text
+
+
+def test_names_beyond_the_first_space(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", ("ba", "be"))
+    letters = "abcdefghij"
+    names = [f"{a}{b}x".title() for a in letters for b in letters]
+    text = " and ".join(f"Mr {n}" for n in names)
+    han = " and ".join(f"Dr {a}{b}" for a in "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未" for b in "东南西北春夏秋冬金木水火土日月星")
+    df = spark.createDataFrame([(1, text), (2, han)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace_entities(df, "k").collect()}
+    for i, n in ((1, len(names)), (2, 18 * 16)):
+        new = regex.findall(r"(?:Mr|Dr) (\w+)", out[i])
+        assert len(new) == len(set(new)) == n
