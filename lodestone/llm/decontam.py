@@ -2,8 +2,8 @@
 
 Texts and items are words (lower-cased runs of letters and digits). A window has as many
 words as the item. Windows are fingerprinted only where they could pass: a similarity of
-0.8 over counted 5-word shingles needs at least 8/9 of the item's shingles inside, which a
-running sum over hits decides without loss. Fingerprints are looked up in eight blocks of
+0.8 over counted 5-word shingles needs at least 8/9 of the item's shingles inside (0.8 of
+them in a text shorter than the item), which a running sum over hits decides without loss. Fingerprints are looked up in eight blocks of
 eight bits, each block probed within two bits, which finds every item fingerprint within
 23 bits; the counted shingles then decide.
 """
@@ -121,7 +121,9 @@ class Index:
                     if min(self.lengths[item], SHINGLE) == size:
                         by_item.setdefault(item, []).append(at)
             for item, where in by_item.items():
-                n, need = self.sizes[item], 2 * SIMILARITY / (1 + SIMILARITY) * self.sizes[item]
+                n = self.sizes[item]
+                whole = len(own) >= self.lengths[item]  # a shorter text is one window with fewer shingles
+                need = (2 * SIMILARITY / (1 + SIMILARITY) if whole else SIMILARITY) * n
                 if len(where) < need - 1e-9:
                     continue
                 hit = np.array(where)

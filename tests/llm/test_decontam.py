@@ -68,3 +68,11 @@ def test_blocks_find_all_within_radius():
             for bit in rng.sample(range(64), d):
                 probe ^= 1 << bit
             assert at in index.near(dc.np.uint64(probe))
+
+
+def test_document_shorter_than_the_item():
+    item = [f"a{i}" for i in range(50)]
+    index = dc.Index([(1, " ".join(item))])
+    for n in range(38, 51):
+        want = dc.similarity(Counter(dc.shingles(item[:n])), Counter(dc.shingles(item)))
+        assert [(f[0], f[1]) for f in index.search(" ".join(item[:n]))] == ([(1, round(want, 6))] if want >= 0.8 else [])
