@@ -1,7 +1,7 @@
 """Byte-level BPE by merge replay over a block of words.
 
-Texts are cut by the vocabulary's pattern; the distinct words of a block form one small
-corpus. An inverted index leads from a pair of adjacent tokens to its positions in that
+Texts are cut by the vocabulary's pattern; the distinct unseen words of many texts, up to a
+stated size, form one small corpus. An inverted index leads from a pair of adjacent tokens to its positions in that
 corpus, a heap holds the ranks of the pairs that occur, and each merge is applied to all
 its positions at once, touching only the neighbours of what it joins. Known words are kept
 in a bounded table across blocks, so a word is replayed once per worker, not per use.
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a worker keeps; beyond it, the table starts anew.
-KNOWN_WORDS = 400_000
+#: Words whose ids a worker keeps, and their bytes (each counted as 16 more); beyond either, rare words are forgotten.
+KNOWN_WORDS, KNOWN_BYTES = 200_000, 16_000_000
+#: Bytes of unseen words (each counted as 16 more) that one replay takes on; words that wait for it; words of one part of a long text.
+UNSEEN_BYTES, HELD_WORDS, PART_WORDS = 1_500_000, 2_000_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,23 +42,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*").fullmatch
 
 
-def _cutter(pattern: str) -> Callable[[str], list[str]]:
-    """``findall`` of the pattern; texts of plain characters take the faster module."""
-    every = regex.compile(pattern).findall
+def _cutter(pattern: str) -> tuple[Callable[[str], list[str]], Callable]:
+    """``findall`` and ``finditer`` of the pattern; texts of plain characters take the faster module for the first."""
+    compiled = regex.compile(pattern)
+    every = compiled.findall
     classes = {r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d"}
     for one, other in classes.items():
         pattern = pattern.replace(one, other)
     if "\\p" in pattern or "(?i" in pattern:
-        return every
+        return every, compiled.finditer
     plain = re.compile(pattern).findall
-    return lambda text: plain(text) if _PLAIN(text) else every(text)
+    return lambda text: plain(text) if _PLAIN(text) else every(text), compiled.finditer
 
 
 class _Numbers(dict):
-    """word → number, given out in order of first sight."""
+    """word → number, given out in order of first sight; ``unseen`` adds up the size of new words."""
+
+    unseen = 0
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
+        self.unseen += len(word) + 16
         return number
 
 
@@ -73,7 +79,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.words = _cutter(pattern)
+        self.words, self.each = _cutter(pattern)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -82,6 +88,7 @@ class Codec:
                     pairs[a << 32 | b] = rank
         self.pair_codes = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[c] for c in self.pair_codes.tolist()], np.int64)
+        del pairs
         ids = np.array(sorted(ranks.values()), np.int64)
         by_id = {i: t for t, i in ranks.items()}
         self.piece_lens = np.zeros(ids[-1] + 1, np.int64)
@@ -93,9 +100,10 @@ class Codec:
     def forget(self) -> None:
         """Start the table of known words anew."""
         self.known = _Numbers()
+        self.known_bytes = 0
         self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
-        self.uses = np.zeros(0, np.int64)
+        self.lens = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
         self.tokens = np.zeros(0, np.uint32)
 
     def _thin(self) -> None:
@@ -104,10 +112,13 @@ class Codec:
         if len(keep) > KNOWN_WORDS // 2:
             keep = np.sort(np.argsort(-self.uses, kind="stable")[: KNOWN_WORDS // 2])
         words = list(self.known)
+        self.known_bytes = sum(len(words[i]) + 16 for i in keep.tolist())
+        if self.known_bytes > KNOWN_BYTES // 2:
+            return self.forget()
         self.known = _Numbers((words[i], n) for n, i in enumerate(keep.tolist()))
         self.tokens = _ragged(self.tokens, self.starts[keep], self.lens[keep])
         self.lens, self.uses = self.lens[keep], self.uses[keep]
-        self.starts = np.cumsum(self.lens) - self.lens
+        self.starts = np.cumsum(self.lens, dtype=np.int64) - self.lens
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of adjacent tokens, -1 where they don't merge."""
@@ -211,25 +222,56 @@ class Codec:
         held = np.repeat(whole >= 0, counts)
         flat[held], flat[~held] = whole[whole >= 0], ids
         self.starts = np.concatenate([self.starts, starts + len(self.tokens)])
-        self.lens = np.concatenate([self.lens, counts])
+        self.lens = np.concatenate([self.lens, counts.astype(np.int32)])
         self.tokens = np.concatenate([self.tokens, flat])
 
-    def encode_block(self, texts: list[str | None]) -> list[bytes]:
+    def encode_block(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit; null counts as empty.
 
-        Unseen words of the whole block are replayed as one corpus.
+        Unseen words are gathered over texts, or over parts of a long one, and replayed as one
+        corpus as soon as they make up :data:`UNSEEN_BYTES`; the table is thinned there too, so
+        that neither grows with the block.
         """
-        if len(self.known) > KNOWN_WORDS:
+        out: list[list[bytes]] = []
+        waiting: list[tuple[int, np.ndarray]] = []
+        self.held = 0
+        for i, text in enumerate(texts):
+            out.append([])
+            for words in self._parts(text or ""):
+                waiting.append((i, np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))))
+                self.held += len(words)
+                if self.known.unseen >= UNSEEN_BYTES or self.held >= HELD_WORDS:
+                    self._flush(waiting, out)
+        self._flush(waiting, out)
+        return [parts[0] if len(parts) == 1 else b"".join(parts) for parts in out]
+
+    def _parts(self, text: str) -> Iterable[list[str]]:
+        """The words of a text, :data:`PART_WORDS` at a time where it is long."""
+        if len(text) <= PART_WORDS:
+            words = self.words(text)
+            if words:
+                yield words
+            return
+        found = self.each(text)
+        while words := [m.group() for m in islice(found, PART_WORDS)]:
+            yield words
+
+    def _flush(self, waiting: list[tuple[int, np.ndarray]], out: list[list[bytes]]) -> None:
+        """Learn what is unseen, turn the waiting words into ids, and thin the table if it is full."""
+        if self.known.unseen:
+            self._learn(list(islice(self.known, len(self.lens), None)))
+            self.known_bytes += self.known.unseen
+            self.known.unseen = 0
+        if waiting:
+            flat = np.concatenate([w for _, w in waiting])
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.known) - len(self.uses), np.int32)])
+            np.add.at(self.uses, flat, 1)
+            for i, numbers in waiting:
+                out[i].append(_ragged(self.tokens, self.starts[numbers], self.lens[numbers]).astype("<u4", copy=False).tobytes())
+            waiting.clear()
+        self.held = 0
+        if len(self.known) > KNOWN_WORDS or self.known_bytes > KNOWN_BYTES:
             self._thin()
-        seen = len(self.known)
-        number = self.known.__getitem__
-        cut = [np.fromiter(map(number, self.words(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
-        if len(self.known) > seen:
-            self._learn(list(islice(self.known, seen, None)))
-        self.uses = np.concatenate([self.uses, np.zeros(len(self.known) - seen, np.int64)])
-        for numbers in cut:
-            np.add.at(self.uses, numbers, 1)
-        return [_ragged(self.tokens, self.starts[w], self.lens[w]).astype("<u4").tobytes() for w in cut]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text."""
@@ -247,22 +289,6 @@ def _codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-#: Characters of text that one replay takes on, so that long texts don't pile up.
-BLOCK_CHARS = 32_000_000
-
-
-def _blocks(texts: list[str | None]) -> Iterable[list[str | None]]:
-    block, size = [], 0
-    for text in texts:
-        block.append(text)
-        size += len(text or "")
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def functions(spark: SparkSession, path: str, pattern: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """(encode, decode) as column functions: text → ids binary, ids binary → bytes.
 
@@ -275,7 +301,7 @@ def functions(spark: SparkSession, path: str, pattern: str) -> tuple[Callable[[C
     @F.arrow_udf(T.BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(vocabulary.value, pattern)
-        return pa.array([ids for block in _blocks(texts.to_pylist()) for ids in codec.encode_block(block)], pa.binary())
+        return pa.array(codec.encode_block(t.as_py() for t in texts), pa.binary())
 
     @F.arrow_udf(T.BinaryType())
     def decode(ids: pa.Array) -> pa.Array:

@@ -56,6 +56,33 @@ def test_columns(spark, both):
     assert bpe.encode_documents(df.where(F.lit(False)), PATH, PATTERN).collect() == []
 
 
+def test_memory_of_new_words(monkeypatch, both):
+    """A million distinct words in one block: neither the table nor a replay goes beyond its bound."""
+    own, largest = bpe.Codec(both[0].ranks, PATTERN), [0, 0]
+    learn = own._learn
+
+    def learnt(words):
+        largest[0] = max(largest[0], sum(len(w) + 16 for w in words))
+        learn(words)
+        largest[1] = max(largest[1], len(own.known))
+
+    monkeypatch.setattr(own, "_learn", learnt)
+    texts = (" ".join(f"q{i * 100 + k:x}z" for k in range(100)) for i in range(10_000))
+    out = own.encode_block(texts)
+    assert len(out) == 10_000 and largest[0] < bpe.UNSEEN_BYTES * 1.1 and largest[1] < bpe.KNOWN_WORDS + bpe.UNSEEN_BYTES // 16
+    for i in (0, 4321, 9999):
+        assert ids(out[i]) == both[1].encode_ordinary(" ".join(f"q{i * 100 + k:x}z" for k in range(100)))
+
+
+def test_long_texts_in_parts(monkeypatch, both):
+    for name in ("PART_WORDS", "HELD_WORDS", "UNSEEN_BYTES"):
+        monkeypatch.setattr(bpe, name, 40)
+    own = bpe.Codec(both[0].ranks, PATTERN)
+    texts = [t * 3 for t in TEXTS]
+    assert [ids(x) for x in own.encode_block(texts)] == [both[1].encode_ordinary(t) for t in texts]
+    assert own.encode_block([]) == [] and own.encode_block([None]) == [b""]
+
+
 def test_table_starts_anew(monkeypatch, both):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
     own = bpe.Codec(both[0].ranks, PATTERN)
