@@ -1,20 +1,20 @@
-"""Near copies by verified Jaccard similarity of word shingles.
-
-A text is the set of its hashed shingles. Under one order of all shingles, two sets of
-similarity t share one of the first n - ceil(t n) + 1 of either (prefix filter), so only
-those are shuffled. Any order loses nothing; shingles that are common in a bounded sample
-come last, which keeps lines that many texts have out of the prefixes. Sets that meet at a
-shingle are paired where sizes and places allow the similarity; pairs whose 64 least hashes
-are far below it go (one in about 10^8 true pairs is lost by that), the others are verified.
-Where many meet, all are paired with one of them first; only sets that this leaves in
-different components are paired with each other, so a large group of copies makes no
-square of pairs.
+"""Near copies: ball hashing of several SimHash fingerprints, verified by the Jaccard similarity of word shingles.
+
+At a Jaccard similarity of 0.8 two 64-bit fingerprints are about ten bits apart, beyond any
+ball that can be emitted. So a text has 24 fingerprints of 32 bits instead of one of 64, each
+of which emits its ball of half the radius of 2; what two texts need is one fingerprint within
+2 bits. For sets of few shingles, whose fingerprints vary much, the set's own hash emits a ball
+too: itself and the set without each one of its shingles, which meets all that differ by one
+shingle or one for another. Texts that meet are verified twice: by all 768 bits (larger sets),
+then by their sets of shingles.
+Where many meet at a variant all are paired with one of them first, and only texts that this
+leaves in different components are paired with each other, so that a large group of copies
+makes no square of pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -24,46 +24,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm import simhash
+from lodestone.llm import balls, simhash
 from lodestone.llm.components import components
 from lodestone.sources.shared import settled
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Texts in the sample that tells common shingles, the number there that makes one common, and the most that are held.
-SAMPLE, COMMON, MOST_COMMON = 5000, 3, 100_000
-#: Sets that meet at a shingle and are paired at once; more are paired with one of them first.
+#: Fingerprints of a text, bits of each and how many of them may differ.
+TABLES, WIDTH, RADIUS = 24, 32, 2
+#: Of the next fingerprint's bits so many may differ where texts meet (3.5 deviations at a similarity of 0.8) …
+NEXT = 12
+#: … and of all 768 (five deviations).
+WHOLE = 168
+#: Leading bits that fingerprints are dealt by, at least and at most.
+LEAST_BITS, MOST_BITS = 4, 24
+#: Sets of up to so many shingles also emit themselves without one; up to 11, at 0.8 no more may differ.
+FEW = 12
+#: Texts that meet at a variant and are paired at once; more are paired with one of them first.
 CROWD = 8
-#: Least hashes of a set that stand for it before it is fetched, and the similarity they must show. At a true 0.8 the
-#: share of 64 falls below 0.5 once in about 10^8 pairs; sets of up to 64 shingles are compared whole.
-SKETCH, LOOSE = 64, 0.3
+#: Texts whose fingerprints are dealt at once.
+BLOCK = 4096
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Factors that turn one hash into as many as the fingerprints need.
+_ODD = _mixed(np.arange(1, TABLES * WIDTH // 64 + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; all words as one where there are fewer, of nothing without words."""
+    """Sorted distinct hashes of the shingles; all words as one where there are fewer, of nothing without words.
+
+    Words are parted by ASCII white space, and A-Z are lower-cased.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words)) or [1]
-    starts = [0, *ends[:-1]]
-    last = ends[size - 1 :] or ends[-1:]
-    hashes = {xxhash.xxh64_intdigest(joined[a : b - 1], simhash.SEED) for a, b in zip(starts, last)}
-    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(own) - size + 1)
+    out = np.full(n, simhash.SEED, np.uint64)
+    for k in range(min(size, len(own))):
+        out = _mixed(out) + own[k : k + n]
+    return np.unique(_mixed(out))
 
 
-def _name(own: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED)).astype(np.int64))
+def prints(own: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set, 32 bits each."""
+    hashes = _mixed(own[:, None] * _ODD[None, :])
+    return np.packbits(simhash.bit_votes(hashes) * 2 > len(own), bitorder="little").view("<u4")
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+def without_one(own: np.ndarray) -> np.ndarray:
+    """Hashes of the set and of the set without each shingle, where it has few; else none."""
+    if len(own) > FEW:
+        return own[:0]
+    whole = np.bitwise_xor.reduce(_mixed(own))
+    return _mixed(np.concatenate([[whole], whole ^ _mixed(own)]))
+
+
+def _name(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED)).astype(np.int64))
 
 
 def _marks(size: int):
-    kind = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+    kind = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prints", T.BinaryType()), T.StructField("few", T.BinaryType())])
 
     @F.arrow_udf(kind)
     def marks(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t, size) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())], ["set_id", "n", "sketch"])
+        names, sizes, found, few = [], [], [], []
+        for text in texts:
+            own = shingle_set(text.as_py(), size)
+            names.append(_name(own)), sizes.append(len(own)), found.append(prints(own).tobytes()), few.append(without_one(own).tobytes())
+        return pa.StructArray.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary()), pa.array(few, pa.binary())], ["set_id", "n", "prints", "few"]
+        )
 
     return marks
 
@@ -71,104 +105,93 @@ def _marks(size: int):
 def _set_column(size: int):
     @F.arrow_udf(T.BinaryType())
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, size).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([shingle_set(t.as_py(), size).tobytes() for t in texts], pa.binary())
 
     return sets
 
 
-def _common(texts: DataFrame, n: int, size: int) -> np.ndarray:
-    """Sorted shingles that several texts of a bounded sample have; they only decide the order."""
-    share = max(1, n // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(share)) == 0).limit(2 * SAMPLE).distinct()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64))], ["s"])
-
-    counted = sample.mapInArrow(each, "s long").groupBy("s").count().where(F.col("count") >= COMMON)
-    found = [r.s for r in counted.orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
-
+_EMITTED = pa.schema([("bucket", pa.int64()), ("words", pa.binary()), ("sets", pa.binary())])
 
-_ARRAYS = ("shingles", "sets", "sizes", "places")
-_EMITTED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _ARRAYS)])
 
+def _emit(c: int):
+    """(set_id, prints, few) → rows (fingerprint's number and leading bits, fingerprints and the next ones, their sets)."""
 
-def _emit(bits: int, size: int, similarity: float, common):
-    """Texts → rows (bucket, shingles of prefixes, their sets, sizes of those, places); a set once per task."""
+    def rows(k: int, who: np.ndarray, bucket: np.ndarray, words: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        who, bucket = who[order], bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        pieces = np.split(who, cuts[1:])
+        columns = [pa.array([x[w].tobytes() for w in pieces], pa.binary()) for x in (words, names)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts] | k << c, pa.int64()), *columns], schema=_EMITTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = common.value, set()
         for batch in batches:
-            parts = []
-            for text in batch.column(0).to_pylist():
-                own = shingle_set(text, size)
-                name = _name(own)
-                if name in seen:
-                    continue
-                seen.add(name)
-                late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
-                head = np.concatenate([own[~late], own[late]])[: prefix_length(len(own), similarity)]
-                parts.append((head, np.full(len(head), name, np.int64), np.full(len(head), len(own), np.int32), np.arange(len(head), dtype=np.int32)))
-            if not parts:
-                continue
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            bucket = simhash._bucket_of(columns[0], bits)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-            rows: dict[str, list] = {c: [] for c in ("bucket", *_ARRAYS)}
-            for b in range(1 << bits):
-                here = order[cuts[b] : cuts[b + 1]]
-                if len(here):
-                    rows["bucket"].append(b)
-                    for c, column in zip(_ARRAYS, columns):
-                        rows[c].append(column[here].tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=_EMITTED)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                names = part.column(0).to_numpy(zero_copy_only=False)
+                own = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), "<u4").reshape(-1, TABLES).astype(np.uint64)
+                reach = balls.reach_of(own[:, 0], RADIUS)
+                for k in range(TABLES):
+                    who, bucket = balls.deal(own[:, k], reach, WIDTH, c)
+                    yield rows(k, who, bucket, own[:, k] << np.uint64(32) | own[:, (k + 1) % TABLES], names)
+                few = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(2)]
+                if sum(map(len, few)):
+                    words, names = np.concatenate(few), np.repeat(names, [len(x) for x in few])
+                    yield rows(TABLES, np.arange(len(words)), (words >> np.uint64(64 - c)).astype(np.int64), words, names)
 
     return run
 
 
-def may_reach(n, m, i, j, similarity: float):
-    """Whether sets of sizes n and m that share the elements at places i and j can be that similar."""
-    shared = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-    return shared >= similarity / (1 + similarity) * (n + m) - 1e-9
-
-
-def _meet(similarity: float):
-    """Sets that share a prefix shingle of one bucket → candidate pairs, and the members of crowds."""
+def _meet(c: int):
+    """Sets that meet at a variant of one bucket → candidate pairs, and the members of crowds."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = (np.uint64, np.int64, np.int32, np.int32)
-        shingle, name, n, at = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table[c]]) for c, k in zip(_ARRAYS, kinds))
-        order = np.lexsort((name, shingle))
-        shingle, name, n, at = (x[order] for x in (shingle, name, n, at))
-        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])]
-        shingle, name, n, at = (x[new] for x in (shingle, name, n, at))
-        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        many = np.diff(np.r_[first, len(shingle)])
-        place = np.arange(len(shingle)) - np.repeat(first, many)
-        crowd = np.repeat(many, many) > CROWD
-        left, right = [], []
-        for step in range(1, min(int(many.max(initial=0)), CROWD)):
-            b = np.flatnonzero(~crowd & (place >= step))
-            left.append(b - step), right.append(b)
-        hubs = np.flatnonzero(crowd & (place > 0))
-        left.append(hubs - place[hubs]), right.append(hubs)
-        a, b = np.concatenate(left), np.concatenate(right)
-        ok = may_reach(n[a], n[b], at[a], at[b], similarity)
-        pairs = np.unique(np.stack([name[a[ok]], name[b[ok]]], axis=1), axis=0)
-        k, m = len(pairs), np.flatnonzero(crowd)
+        words = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["words"]])
+        names = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sets"]])
+        pairs, crowds, bucket = [np.zeros((0, 2), np.int64)], {}, table["bucket"][0].as_py()
+        if bucket >> c == TABLES:  # hashes that must be equal
+            after, order = np.zeros(len(words), np.uint64), np.argsort(words, kind="stable")
+            parts = [(order, None, np.cumsum(np.r_[False, words[order][1:] != words[order][:-1]]))]
+        else:
+            fps, after = words >> np.uint64(32), words & np.uint64(0xFFFFFFFF)
+            parts = balls.meet(fps, balls.reach_of(fps, RADIUS), WIDTH, c, bucket & (1 << c) - 1)
+        for who, _, group in parts:
+            who = who[np.lexsort((names[who], group))]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            many = np.diff(np.r_[first, len(group)])
+            place, crowd = np.arange(len(group)) - np.repeat(first, many), np.repeat(many > CROWD, many)
+            left, right = [], []
+            for step in range(1, CROWD):
+                b = np.flatnonzero(~crowd & (place >= step))
+                left.append(b - step), right.append(b)
+            spoke = np.flatnonzero(crowd & (place > 0))
+            left.append(spoke - place[spoke]), right.append(spoke)
+            a, b = who[np.concatenate(left)], who[np.concatenate(right)]
+            ok = np.bitwise_count(after[a] ^ after[b]) <= NEXT
+            pairs.append(np.unique(np.stack([names[a[ok]], names[b[ok]]], axis=1), axis=0))
+            for at in np.flatnonzero(many > CROWD).tolist():
+                members = names[who[first[at] : first[at] + many[at]]]
+                crowds.setdefault(members.tobytes(), members)
+        found = np.unique(np.concatenate(pairs), axis=0)
+        empty = [None] * len(crowds)
         return pa.table({
-            "a": pa.array(np.r_[pairs[:, 0], name[m]], pa.int64()),
-            "b": pa.array(np.r_[pairs[:, 1], shingle[m].view(np.int64)], pa.int64()),
-            "n": pa.array(np.r_[np.full(k, -1, np.int32), n[m]], pa.int32()),
-            "at": pa.array(np.r_[np.full(k, -1, np.int32), at[m]], pa.int32()),
+            "a": pa.array([*found[:, 0].tolist(), *empty], pa.int64()),
+            "b": pa.array([*found[:, 1].tolist(), *empty], pa.int64()),
+            "members": pa.array([*[None] * len(found), *(m.tolist() for m in crowds.values())], pa.list_(pa.int64())),
         })
 
     return run
 
 
+@F.pandas_udf(T.IntegerType())
+def _distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Bits in which two binary columns of equal length differ."""
+    if not len(left):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (left, right))
+    return pd.Series(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))
+
+
 def _similar(similarity: float):
     @F.pandas_udf(T.BooleanType())
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -182,73 +205,58 @@ def _similar(similarity: float):
     return similar
 
 
-def _alike(similarity: float):
-    """Whether the least hashes of two sets together allow the similarity, less :data:`LOOSE`."""
-
-    @F.pandas_udf(T.BooleanType())
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both, times = np.unique(np.concatenate([x, y]), return_counts=True)
-            whole = len(x) < SKETCH and len(y) < SKETCH
-            part = times if whole else times[:SKETCH]
-            out.append((part == 2).sum() >= len(part) * (similarity - (0 if whole else LOOSE)) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    return alike
-
-
-def similar_sets(docs: DataFrame, marked: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect all set ids of ``marked`` (id, text_hash, set_id, n, sketch) that similar sets connect.
+def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect the set ids which similar sets connect.
 
-    ``docs`` has (id, text_hash, text), rows as in ``marked``.
+    ``sets`` has (set_id, n, prints, few, id, text_hash), each set once with a row that has it, and
+    ``docs`` has (id, text_hash, text).
     """
-    spark = docs.sparkSession
-    rows, total = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * (1 - similarity) + 1), F.lit(0.0))).first()
-    bits = max(6, int(np.ceil(np.log2(max(1.0, total / simhash.BUCKET_ROWS)))))
-    common = spark.sparkContext.broadcast(_common(docs.select("text"), rows, size))
-    emitted = docs.select("text").mapInArrow(_emit(bits, size, similarity, common), "bucket int, shingles binary, sets binary, sizes binary, places binary")
-    met = settled(emitted.groupBy("bucket").applyInArrow(_meet(similarity), "a long, b long, n int, at int"))
-    reps = marked.groupBy("set_id").agg(F.min(F.struct("id", "text_hash")).alias("r"))
-    sketches = settled(marked.select("set_id", "sketch").dropDuplicates(["set_id"]))
+    c = balls.leading_bits(sets.count() * (WIDTH + 1), LEAST_BITS, MOST_BITS)
+    emitted = sets.select("set_id", "prints", "few").mapInArrow(_emit(c), "bucket long, words binary, sets binary")
+    met = settled(emitted.groupBy("bucket").applyInArrow(_meet(c), "a long, b long, members array<long>"))
+    one = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n1"), F.col("prints").alias("p1"))
+    two = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("prints").alias("p2"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(sketches.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), "a")
-        near = near.join(sketches.select(F.col("set_id").alias("b"), F.col("sketch").alias("y")), "b")
-        pairs = settled(near.where(_alike(similarity)("x", "y")).select("a", "b"))
+        near = pairs.distinct().join(one, "a").join(two, "b").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * (similarity - 1e-9))
+        few = F.least("n1", "n2") <= FEW
+        pairs = settled(near.where(few | (_distance("p1", "p2") <= WHOLE)).select("a", "b"))
         used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        own = reps.join(used, "set_id").select("set_id", F.col("r.id").alias("rid"), F.col("r.text_hash").alias("rhash"))
+        own = sets.join(used, "set_id").select("set_id", F.col("id").alias("rid"), F.col("text_hash").alias("rhash"))
         found = docs.join(own, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")))
-        sets = settled(found.select("set_id", _set_column(size)("text").alias("s")).dropDuplicates(["set_id"]))
-        both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("s").alias("x")), "a")
-        both = both.join(sets.select(F.col("set_id").alias("b"), F.col("s").alias("y")), "b")
+        whole = settled(found.select("set_id", _set_column(size)("text").alias("s")).dropDuplicates(["set_id"]))
+        both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("s").alias("x")), "a")
+        both = both.join(whole.select(F.col("set_id").alias("b"), F.col("s").alias("y")), "b")
         return settled(both.where(_similar(similarity)("x", "y")).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    edges = verified(met.where("n < 0").select("a", "b"))
-    crowds = met.where("n >= 0").select(F.col("b").alias("shingle"), F.col("a").alias("set_id"), "n", "at")
+    edges = verified(met.where("members IS NULL").select("a", "b"))
+    crowds = met.where("members IS NOT NULL").select("members").distinct()
     if not crowds.take(1):
         return edges
-    member = crowds.join(components(edges), F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root"))
-    member = settled(member)
-    split = member.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    member = member.join(split, "shingle", "left_semi")
-    other = member.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("set_id", "n", "at", "root")])
-    shared = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)
-    apart = member.join(other, "shingle").where((F.col("set_id") < F.col("set_id2")) & (F.col("root") != F.col("root2")))
-    apart = apart.where(shared >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9)
+    member = crowds.select(F.xxhash64("members").alias("crowd"), F.explode("members").alias("set_id"))
+    member = member.join(components(edges), F.col("set_id") == F.col("node"), "left")
+    member = settled(member.select("crowd", "set_id", F.coalesce("root", "set_id").alias("root")))
+    split = member.groupBy("crowd").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("crowd")
+    member = member.join(split, "crowd", "left_semi")
+    other = member.select("crowd", F.col("set_id").alias("set_id2"), F.col("root").alias("root2"))
+    apart = member.join(other, "crowd").where((F.col("set_id") < F.col("set_id2")) & (F.col("root") != F.col("root2")))
     return edges.union(verified(apart.select(F.col("set_id").alias("a"), F.col("set_id2").alias("b"))))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, text_hash, component_fp) per row: texts linked by a Jaccard similarity of at least ``similarity``.
 
-    Null and empty texts have the set of the empty shingle and link with each other.
+    Null and empty texts have the set of the empty shingle and link with each other. Every link
+    is verified. Of the pairs at 0.80 to 0.82 about 2 in 100 have no fingerprint within 2 bits and
+    are linked only through a third text, of more similar ones fewer; sets of up to 11 shingles
+    lose none. Number and width are made for 0.8; a lower similarity needs more fingerprints.
     """
-    text = F.col(f"`{text_col}`")
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"))
-    marked = settled(own.withColumn("m", _marks(size)("text")).select("id", "text_hash", "m.set_id", "m.n", "m.sketch"))
-    roots = components(similar_sets(own, marked, size, similarity))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = settled(own.withColumn("m", _marks(size)("text")).select("id", "text_hash", "m.*"))
+    rep = F.min(F.struct("id", "text_hash")).alias("r")
+    sets = settled(marked.groupBy("set_id", "n", "prints", "few").agg(rep).select("set_id", "n", "prints", "few", "r.*"))
+    roots = components(similar_sets(own, sets, size, similarity))
     return marked.join(roots, F.col("set_id") == F.col("node"), "left").select("id", "text_hash", F.coalesce("root", "set_id").alias("component_fp"))
 
 

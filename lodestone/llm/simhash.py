@@ -1,12 +1,9 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
-
-A pair of 64-bit fingerprints at distance d has a variant that is about d/2 from either.
-With radius 3, the halves are 1 and 2: parities of a pair at distance 3 differ, so
-fingerprints of odd parity emit the ball of radius 1 and those of even parity also the
-variants two bits away. Of three bits two lie in the same 32-bit half, so pairs of bits
-within a half suffice. Variants are the shuffle key. At one variant every fingerprint
-emitted from distance 1 is a hub: it is within 3 of each other one there, so stars around
-a hub link all that collide there and no list of pairs is ever made.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing (:mod:`lodestone.llm.balls`).
+
+Every distinct fingerprint emits the variants within half the radius; they are dealt by their
+leading bits, and the fingerprints that meet at a variant are compared. One that is at most
+half the radius (rounded down) from the variant is a hub: it is within the radius of each
+other one there, so stars around a hub link all that collide and no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -22,16 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm import balls
 from lodestone.llm.components import components
 from lodestone.llm.names import fresh
 from lodestone.sources.shared import settled
 
 SHINGLE, SEED = 3, 42
-RADIUS = 3
-#: Emissions per bucket that a task of numpy arrays holds with ease (about 100 MB).
-BUCKET_ROWS = 2_000_000
-#: Fingerprints whose variants are made at once.
-BLOCK = 4096
+WIDTH, RADIUS = 64, 3
+#: Least and most leading bits that fingerprints are dealt by, and the variants of one on average.
+LEAST_BITS, MOST_BITS, VARIANTS = 6, 30, 561
+#: Fingerprints that are dealt at once.
+BLOCK = 1 << 14
+
+
+def bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set; rows of unsigned 64-bit words, bits from the least on."""
+    raw = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(len(hashes), -1)
+    votes = np.zeros(raw.shape[1] * 8, np.int64)
+    for i in range(0, len(raw), 255):  # at most 255 in a sum of bytes
+        votes += np.add.reduce(np.unpackbits(raw[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return votes
 
 
 def fingerprint(text: str | None) -> int:
@@ -46,8 +53,7 @@ def fingerprint(text: str | None) -> int:
     hashes = [xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, last)]
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bit_votes(np.array(hashes[i : i + (1 << 16)], np.uint64)[:, None])
     bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
     return int(bits.view("<u8")[0])
 
@@ -62,57 +68,27 @@ def fingerprint_column(text: Column) -> Column:
     return _fingerprint(text)
 
 
-def _masks() -> np.ndarray:
-    """Bit flips: none, one bit (65 in all), then two bits of the same half."""
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    two = [one[a] | one[b] for half in (0, 32) for a in range(half, half + 32) for b in range(a + 1, half + 32)]
-    return np.concatenate([np.zeros(1, np.uint64), one, np.array(two, np.uint64)])
-
-
-MASKS = _masks()
-NEAR = 65  # masks of at most one bit
-
-
-def _bucket_of(variants: np.ndarray, bits: int) -> np.ndarray:
-    mixed = variants * np.uint64(0x9E3779B97F4A7C15)  # Fibonacci hashing: the high bits are well spread
-    return (mixed >> np.uint64(64 - bits)).astype(np.int32)
+_EMITTED = pa.schema([("bucket", pa.int64()), ("fps", pa.binary())])
 
 
-def _emit(bits: int):
-    """Fingerprints → rows (bucket, block's fingerprints, which fingerprint, which mask).
-
-    A variant travels as two small integers, 4 bytes instead of 16.
-    """
+def _emit(c: int):
+    """Fingerprints → rows (bucket, fingerprints with variants in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(every), BLOCK):
                 fps = every[at : at + BLOCK]
-                even = (np.bitwise_count(fps) & 1) == 0
-                who = np.concatenate([np.repeat(np.arange(len(fps)), NEAR), np.repeat(np.flatnonzero(even), len(MASKS) - NEAR)])
-                how = np.concatenate([np.tile(np.arange(NEAR), len(fps)), np.tile(np.arange(NEAR, len(MASKS)), int(even.sum()))])
-                bucket = _bucket_of(fps[who] ^ MASKS[how], bits)
+                who, bucket = balls.deal(fps, balls.reach_of(fps, RADIUS), WIDTH, c)
                 order = np.argsort(bucket, kind="stable")
-                who, how, bucket = who[order].astype("<u2"), how[order].astype("<u2"), bucket[order]
-                cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                rows: dict[str, list] = {"bucket": [], "fps": [], "who": [], "how": []}
-                for b in range(1 << bits):
-                    lo, hi = cuts[b], cuts[b + 1]
-                    if lo < hi:
-                        used, index = np.unique(who[lo:hi], return_inverse=True)
-                        rows["bucket"].append(b)
-                        rows["fps"].append(fps[used].tobytes())
-                        rows["who"].append(index.astype("<u2").tobytes())
-                        rows["how"].append(how[lo:hi].tobytes())
-                yield pa.RecordBatch.from_pydict(rows, schema=_EMITTED)
+                who, bucket = who[order], bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                parts = [fps[x].tobytes() for x in np.split(who, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(parts, pa.binary())], schema=_EMITTED)
 
     return run
 
 
-_EMITTED = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("who", pa.binary()), ("how", pa.binary())])
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars over the components of the links a–b: (node, least node), roots left out."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -131,41 +107,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _collide(table: pa.Table) -> pa.Table:
+def _collide(c: int):
     """Links among the fingerprints that meet at a variant of one bucket, as stars."""
-    fps, how = [], []
-    for row in range(table.num_rows):
-        own = np.frombuffer(table["fps"][row].as_py(), np.uint64)
-        fps.append(own[np.frombuffer(table["who"][row].as_py(), "<u2")])
-        how.append(np.frombuffer(table["how"][row].as_py(), "<u2"))
-    fp, mask = np.concatenate(fps), np.concatenate(how)
-    del fps, how
-    variant = fp ^ MASKS[mask]
-    order = np.argsort(variant)
-    same = variant[order][1:] == variant[order][:-1]
-    meets = order[np.r_[same, False] | np.r_[False, same]]
-    fp, far, variant = fp[meets], mask[meets] >= NEAR, variant[meets]
-    order = np.lexsort((fp, far, variant))
-    fp, far, variant = fp[order], far[order], variant[order]
-    first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]]) if len(variant) else np.zeros(0, int)
-    at = np.repeat(first, np.diff(np.r_[first, len(variant)]))
-    linked = ~far[at] & (np.arange(len(fp)) != at) if len(fp) else np.zeros(0, bool)
-    hub, member = fp[at[linked]] if len(fp) else fp, fp[linked]
-    linked = np.bitwise_count(hub ^ member) <= RADIUS
-    u, v = _forest(hub[linked].view(np.int64), member[linked].view(np.int64))
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def run(table: pa.Table) -> pa.Table:
+        fps = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["fps"]])
+        left, right = [], []
+        for who, how, group in balls.meet(fps, balls.reach_of(fps, RADIUS), WIDTH, c, table["bucket"][0].as_py(), halves=True):
+            order = np.lexsort((fps[who], how > RADIUS // 2, group))
+            fp, far, group = fps[who[order]], how[order] > RADIUS // 2, group[order]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            at = np.repeat(first, np.diff(np.r_[first, len(group)]))
+            linked = ~far[at] & (np.arange(len(fp)) != at)
+            hub, member = fp[at[linked]], fp[linked]
+            linked = np.bitwise_count(hub ^ member) <= RADIUS
+            left.append(hub[linked].view(np.int64)), right.append(member[linked].view(np.int64))
+        u, v = _forest(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def links(fps: DataFrame, column: str = "fp") -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints within 3 bits of each other.
 
-    ``fps`` must hold each fingerprint once. The number of buckets follows their number, so
-    a bucket's arrays stay bounded at any size.
+    ``fps`` must hold each fingerprint once. The leading bits follow their number, so a
+    bucket's arrays stay bounded at any size.
     """
-    n = fps.count()
-    bits = max(6, int(np.ceil(np.log2(max(1, n * (len(MASKS) + NEAR) / 2 / BUCKET_ROWS)))))
-    emitted = fps.select(column).mapInArrow(_emit(bits), "bucket int, fps binary, who binary, how binary")
-    return emitted.groupBy("bucket").applyInArrow(_collide, "u long, v long")
+    c = balls.leading_bits(fps.count() * VARIANTS, LEAST_BITS, MOST_BITS)
+    emitted = fps.select(column).mapInArrow(_emit(c), "bucket long, fps binary")
+    return emitted.groupBy("bucket").applyInArrow(_collide(c), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,21 +166,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the least id, then text hash.
 
-    All columns stay. Rows repeated in id and text count once; a row with a null id stays
-    only if its whole group has none.
+    All columns stay. Of rows repeated in id and text that whose columns, written as JSON,
+    come first stays; a row with a null id stays only if its whole group has none.
     """
     return least_of(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
 
 
 def least_of(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with one row of each group of ``near`` (id, text_hash, component_fp)."""
-    kept = near.groupBy("component_fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    own, kept_id, kept_hash = (fresh(docs, n) for n in ("__hash", "__kept_id", "__kept_hash"))
-    kept = kept.select(F.col("k.id").alias(kept_id), F.col("k.text_hash").alias(kept_hash))
-    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash))
-    chosen = keyed.join(kept, same, "left_semi").dropDuplicates([id_col, own])
-    return chosen.select(*[f"`{c}`" for c in docs.columns])
+    times = near.groupBy("component_fp", "id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    kept = times.groupBy("component_fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "times")).alias("k"))
+    own, kept_id, kept_hash, again = (fresh(docs, n) for n in ("__hash", "__kept_id", "__kept_hash", "__times"))
+    kept = settled(kept.select(F.col("k.id").alias(kept_id), F.col("k.text_hash").alias(kept_hash), F.col("k.times").alias(again)))
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash))
+    columns = [f"`{c}`" for c in docs.columns]
+    if not kept.where(F.col(again) > 1).take(1):
+        return keyed.join(kept, same, "left_semi").select(*columns)
+    once = keyed.join(kept.where(F.col(again) == 1), same, "left_semi").select(*columns)
+    whole = F.struct(*[F.col(c) for c in columns])
+    several = keyed.join(kept.where(F.col(again) > 1), same, "left_semi")
+    first = several.groupBy(f"`{id_col}`", own).agg(F.min_by(whole, F.to_json(whole)).alias("r"))
+    return once.union(first.select(*[F.col(f"r.{c}") for c in columns]))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

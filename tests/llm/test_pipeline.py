@@ -3,9 +3,11 @@
 import hashlib
 
 import corpus_pipeline as cp
-from lodestone.llm import bpe, decontam, pii, quality, simhash
+from lodestone.llm import bpe, decontam, pii, quality
 from pyspark.sql import functions as F
 
+from test_copies import brute as brute_copies
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -14,15 +16,7 @@ def test_run_against_parts(spark):
     rows = {r.doc_id: r.asDict() for r in docs.collect()}
     model = quality.fit_tables(spark, SF)
     kept = {k for k, r in rows.items() if round(float(model.score(quality.features(r["text"])[None])[0]), 6) >= 0.3}
-    prints = {k: simhash.fingerprint(rows[k]["text"]) for k in kept}
-    group = {k: {k} for k in kept}
-    for a in kept:
-        for b in kept:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] is not group[b]:
-                both = group[a] | group[b]
-                for k in both:
-                    group[k] = both
-    kept = {min(g) for g in group.values()}
+    kept = set(brute_copies([(k, rows[k]["text"]) for k in sorted(kept)]))
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     index = decontam.Index([(r.item_id, r.text) for r in items])
     kept = {k for k in kept if not index.search(rows[k]["text"])}
