@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a worker keeps, and their bytes (each counted as 16 more); beyond either, rare words are forgotten.
-KNOWN_WORDS, KNOWN_BYTES = 200_000, 16_000_000
+KNOWN_WORDS, KNOWN_BYTES = 250_000, 16_000_000
 #: Bytes of unseen words (each counted as 16 more) that one replay takes on; words that wait for it; words of one part of a long text.
-UNSEEN_BYTES, HELD_WORDS, PART_WORDS = 1_500_000, 2_000_000, 200_000
+UNSEEN_BYTES, HELD_WORDS, PART_WORDS = 4_000_000, 4_000_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,7 +122,7 @@ class Codec:
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of adjacent tokens, -1 where they don't merge."""
-        code = a << 32 | b
+        code = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
         return np.where(self.pair_codes[at] == code, self.pair_ranks[at], -1)
 
@@ -133,13 +133,13 @@ class Codec:
         word is replayed by itself, step by step.
         """
         sizes = np.array([len(w) for w in words], np.int64)
-        token = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        token = self.single[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
         n = len(token)
-        word_of = np.repeat(np.arange(len(words)), sizes)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         ends = np.cumsum(sizes)
-        right = np.arange(1, n + 1)
+        right = np.arange(1, n + 1, dtype=np.int32)
         right[ends[sizes > 0] - 1] = -1
-        left = np.arange(-1, n - 1)
+        left = np.arange(-1, n - 1, dtype=np.int32)
         left[(ends - sizes)[sizes > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}  # by rank: positions of the pairs that spell that token
         heap: list[int] = []
@@ -149,7 +149,7 @@ class Codec:
                 return
             order = np.argsort(rank, kind="stable")
             at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            cuts = np.concatenate([[0], np.flatnonzero(rank[1:] != rank[:-1]) + 1])
             for r, part in zip(rank[cuts].tolist(), np.split(at, cuts[1:])):
                 if (where := index.get(r)) is None:
                     index[r] = [part]
@@ -157,9 +157,10 @@ class Codec:
                 else:
                     where.append(part)
 
-        at = np.flatnonzero(right >= 0)
+        at = np.flatnonzero(right >= 0).astype(np.int32)
         rank = self._rank(token[at], token[right[at]])
         add(at[rank >= 0], rank[rank >= 0])
+        del at, rank
         odd = np.zeros(len(words), bool)
         while heap:
             rank = heapq.heappop(heap)
@@ -170,9 +171,8 @@ class Codec:
             if not len(at):
                 continue
             nxt = right[at]
-            fresh = np.r_[True, at[1:] != nxt[:-1]]
-            if not fresh.all():  # pairs that overlap, as in a run of one letter: every second one
-                begin = np.flatnonzero(fresh)
+            if (at[1:] == nxt[:-1]).any():  # pairs that overlap, as in a run of one letter: every second one
+                begin = np.flatnonzero(np.r_[True, at[1:] != nxt[:-1]])
                 run = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
                 at, nxt = at[run % 2 == 0], nxt[run % 2 == 0]
             after = right[nxt]
@@ -265,7 +265,7 @@ class Codec:
         if waiting:
             flat = np.concatenate([w for _, w in waiting])
             self.uses = np.concatenate([self.uses, np.zeros(len(self.known) - len(self.uses), np.int32)])
-            np.add.at(self.uses, flat, 1)
+            self.uses += np.bincount(flat, minlength=len(self.uses)).astype(np.int32)
             for i, numbers in waiting:
                 out[i].append(_ragged(self.tokens, self.starts[numbers], self.lens[numbers]).astype("<u4", copy=False).tobytes())
             waiting.clear()
