@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import balls, simhash
 from lodestone.llm.components import components
+from lodestone.llm.shingles import mixed, run_hashes, word_hashes
 from lodestone.sources.shared import settled
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -44,14 +45,8 @@ CROWD = 8
 #: Texts whose fingerprints are dealt at once.
 BLOCK = 4096
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 #: Factors that turn one hash into as many as the fingerprints need.
-_ODD = _mixed(np.arange(1, TABLES * WIDTH // 64 + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = mixed(np.arange(1, TABLES * WIDTH // 64 + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -60,17 +55,12 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     Words are parted by ASCII white space, and A-Z are lower-cased.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(own) - size + 1)
-    out = np.full(n, simhash.SEED, np.uint64)
-    for k in range(min(size, len(own))):
-        out = _mixed(out) + own[k : k + n]
-    return np.unique(_mixed(out))
+    return np.unique(run_hashes(word_hashes(words, len(words)), size))
 
 
 def prints(own: np.ndarray) -> np.ndarray:
     """The fingerprints of a set, 32 bits each."""
-    hashes = _mixed(own[:, None] * _ODD[None, :])
+    hashes = mixed(own[:, None] * _ODD[None, :])
     return np.packbits(simhash.bit_votes(hashes) * 2 > len(own), bitorder="little").view("<u4")
 
 
@@ -78,8 +68,8 @@ def without_one(own: np.ndarray) -> np.ndarray:
     """Hashes of the set and of the set without each shingle, where it has few; else none."""
     if len(own) > FEW:
         return own[:0]
-    whole = np.bitwise_xor.reduce(_mixed(own))
-    return _mixed(np.concatenate([[whole], whole ^ _mixed(own)]))
+    whole = np.bitwise_xor.reduce(mixed(own))
+    return mixed(np.concatenate([[whole], whole ^ mixed(own)]))
 
 
 def _name(own: np.ndarray) -> int:

@@ -1,213 +1,288 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
-Texts and items are words (lower-cased runs of letters and digits). A window has as many
-words as the item. Windows are fingerprinted only where they could pass: a similarity of
-0.8 over counted 5-word shingles needs at least 8/9 of the item's shingles inside (0.8 of
-them in a text shorter than the item), which a running sum over hits decides without loss. Fingerprints are looked up in eight blocks of
-eight bits, each block probed within two bits, which finds every item fingerprint within
-23 bits; the counted shingles then decide.
+Texts and items are words (lower-cased runs of letters and digits). Windows have as many words
+as an item and begin at every stride-th word, a quarter of the item's shingles; their 64-bit
+SimHashes come from running sums of votes. Four blocks of 16 bits, each looked up within four
+bits, find every item fingerprint within 19 bits. A candidate is verified by the weighted
+Jaccard similarity of 5-word shingles of all windows of its text, not only of those on the
+grid, so what is found is exact.
+
+Of windows at a similarity of 0.8 the fingerprints are about 10 bits from the item's, at the
+worst offset from the grid 14: 19 bits miss few (the tests measure it against all windows).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
-#: Items that one pass over the documents holds in memory (a few MB); more take more passes.
-ITEMS_PER_PASS = 20_000
+from lodestone.llm.shingles import run_hashes, word_hashes
+from lodestone.sources.shared import settled
 
-_WORDS = re.compile(r"[^\W_]+").findall
-_NEAR = np.array([0, *(1 << i for i in range(8)), *(1 << i | 1 << j for i, j in combinations(range(8), 2))], np.uint8)
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
+#: Shingles of an item for each word of the stride.
+STRIDE = 4
+#: Items, and characters of them, that one pass over the documents holds in memory; more take more passes.
+#: Items of that many characters have at most some 1,700 lengths, whose blocks take 57 MB.
+ITEMS_PER_PASS, CHARS_PER_PASS = 20_000, 4_000_000
+#: Words of texts that are searched at once; a longer text is cut into overlapping parts.
+BLOCK_WORDS = 60_000
+#: Characters from which a text's words are hashed one by one.
+LONG = 1_000_000
+
+_WORD = re.compile(r"[^\W_]+")
+_BLOCKS, _WITHIN = 4, 4
+_NEAR = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= _WITHIN).astype(np.uint16)
 
 
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return _WORDS((text or "").lower())
+    return _WORD.findall((text or "").lower())
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    if text and len(text) > LONG:
+        return word_hashes(m.group() for m in _WORD.finditer(text.lower()))
+    own = words(text)
+    return word_hashes(own, len(own))
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """Rows of +1 and -1 for the bits of each hash, as int8."""
+    raw = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return (np.unpackbits(raw, axis=1, bitorder="little").view(np.int8) << 1) - 1
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard of two counted shingle sets: shared over joint counts; 0 for two empty ones."""
-    shared = sum((a & b).values())
-    joint = sum(a.values()) + sum(b.values()) - shared
-    return shared / joint if joint else 0.0
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """SimHash of shingle hashes, repeats included: a bit is 1 if set in over half of them."""
+    total = _votes(hashes).sum(axis=0, dtype=np.int64)
+    return np.packbits(total > 0, bitorder="little").view("<u8")[0]
 
 
-def shingles(found: list) -> list[tuple]:
-    """Five words in a row; the whole sequence where there are fewer; none without words."""
-    return [tuple(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))] if found else []
+class Item:
+    """One item's shingles: distinct hashes in order, how often each comes, and how many in all."""
+
+    def __init__(self, item_id, own: np.ndarray):
+        self.id, self.words = item_id, len(own)
+        self.size = min(SHINGLE, len(own))
+        found = run_hashes(own, SHINGLE)
+        self.n, self.fp = len(found), fingerprint(found)
+        self.shingles, self.times = np.unique(found, return_counts=True)
+
+    def best(self, own: np.ndarray, n_words: int) -> tuple[float, int]:
+        """(similarity, first word) of the best window among shingles ``own`` of a text of so many words.
+
+        Equal similarity goes to the first window. A shorter text is one window.
+        """
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        p = np.flatnonzero(self.shingles[at] == own)
+        if not len(p):
+            return 0.0, 0
+        kind = at[p]
+        if n_words < self.words:
+            shared = int(np.minimum(np.bincount(kind, minlength=len(self.times)), self.times).sum())
+            return shared / (len(own) + self.n - shared), 0
+        order = np.argsort(kind, kind="stable")
+        p, kind = p[order], kind[order]
+        first = np.searchsorted(kind, kind)
+        before = np.arange(len(p)) - self.times[kind]
+        # an occurrence counts while the window holds less than the item's number of those before it
+        low = np.maximum(np.where(before >= first, p[np.maximum(before, 0)] + 1, 0), np.maximum(p - self.n + 1, 0))
+        last = n_words - self.words
+        high = np.minimum(p, last)
+        kept = low <= high
+        change = np.zeros(last + 2, np.int64)
+        np.add.at(change, low[kept], 1)
+        np.add.at(change, high[kept] + 1, -1)
+        shared = np.cumsum(change[:-1])
+        start = int(np.argmax(shared))
+        return float(shared[start] / (2 * self.n - shared[start])), start
+
+
+class Length:
+    """The items of one length, with their fingerprints in Hamming blocks."""
+
+    def __init__(self, items: list[int], every: list[Item], table: np.ndarray, bit: int):
+        self.items, self.table, self.bit = np.array(items), table, np.uint64(bit)
+        one = every[items[0]]
+        self.words, self.size, self.n = one.words, one.size, one.n
+        self.stride = max(1, self.n // STRIDE)
+        self.prints = np.array([every[i].fp for i in items], np.uint64)
+        for own in self.prints.view(np.uint16).reshape(-1, _BLOCKS):
+            for block in range(_BLOCKS):
+                table[block, _NEAR ^ own[block]] |= np.uint64(1 << bit)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which fingerprint, which of the items) for each two within the radius."""
+        parts = prints.view(np.uint16).reshape(-1, _BLOCKS)
+        hit = self.table[0][parts[:, 0]]
+        for block in range(1, _BLOCKS):
+            hit |= self.table[block][parts[:, block]]
+        at = np.flatnonzero(hit >> self.bit & np.uint64(1))
+        close = [at[np.bitwise_count(prints[at] ^ p) <= RADIUS] for p in self.prints]
+        return np.concatenate(close), np.repeat(np.arange(len(close)), [len(c) for c in close])
+
+    def edges(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word in the stream, shingles) of each text's first and last window, or the whole of a shorter text."""
+        room = sizes - self.words
+        whole, short = np.flatnonzero(room >= 0), np.flatnonzero(room < 0)
+        here = sizes[short] - self.size + 1
+        kept = (here >= max(1, SIMILARITY * self.n - 1e-9)) & (self.words > SHINGLE)
+        first = np.concatenate([starts[whole], starts[whole] + room[whole], starts[short[kept]]])
+        return first, np.concatenate([np.full(2 * len(whole), self.n), here[kept]])
+
+    def prints_of(self, total: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows at every stride-th word of the stream, then of the windows given."""
+        grid = max(0, len(total) - self.n)
+        regular = total[self.n :: self.stride] - total[: grid : self.stride]
+        return np.concatenate([np.packbits(x > 0, axis=1, bitorder="little").view("<u8").ravel() for x in (regular, total[first + n] - total[first])])
 
 
 class Index:
-    """Items of one pass: shingle numbers, fingerprints and Hamming blocks."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        number: dict[tuple, int] = {}
-        self.ids, self.lengths, self.counts, self.sizes = [], [], [], []
-        hashes: list[int] = []
-        owners: list[tuple[int, int]] = []
-        for item_id, text in items:
-            own = words(text)
-            if not own:
+    """Items of one pass, by length."""
+
+    def __init__(self, items: list[tuple[object, str]]):
+        found = ((item_id, _hashes(text)) for item_id, text in items)
+        self.items = [Item(item_id, own) for item_id, own in found if len(own)]
+        by_length: dict[int, list[int]] = {}
+        for i, item in enumerate(self.items):
+            by_length.setdefault(item.words, []).append(i)
+        tables = [np.zeros((_BLOCKS, 1 << 16), np.uint64) for _ in range(-(-len(by_length) // 64))]  # a bit for each length
+        self.lengths = [Length(own, self.items, tables[k // 64], k % 64) for k, (_, own) in enumerate(sorted(by_length.items()))]
+        self.longest = max(by_length, default=0)
+        self.known = {q: np.unique(np.concatenate([i.shingles for i in self.items if i.size == q])) for q in {i.size for i in self.items}}
+
+    def search_all(self, texts: Iterable[str | None]) -> Iterator[tuple]:
+        """(place of the text, item id, similarity, first word, words, distance): the best window of each item that passes."""
+        waiting: list[tuple[int, int, np.ndarray]] = []
+        held = 0
+        step = max(BLOCK_WORDS, 2 * self.longest)
+        for place, text in enumerate(texts):
+            own = _hashes(text)
+            if len(own) > step + self.longest:
+                parts = [(place, a, own[a : a + step + self.longest]) for a in range(0, len(own) - self.longest, step)]
+                best: dict[object, tuple] = {}
+                for part in parts:
+                    for found in self._search([part]):
+                        known = best.get(found[-1])
+                        if known is None or (-found[2], found[3]) < (-known[2], known[3]):
+                            best[found[-1]] = found
+                yield from (best[i][:-1] for i in sorted(best))
                 continue
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own]
-            numbers = []
-            for s in shingles(codes):
-                if s not in number:
-                    number[s] = len(number)
-                    hashes.append(xxhash.xxh64_intdigest(" ".join(own[len(numbers) : len(numbers) + SHINGLE]).encode("utf-8", "replace")))
-                numbers.append(number[s])
-            at = len(self.ids)
-            owners += [(n, at) for n in set(numbers)]
-            self.ids.append(item_id)
-            self.lengths.append(len(own))
-            self.counts.append(Counter(numbers))
-            self.sizes.append(len(numbers))
-        self.number = number
-        self.lengths_here = sorted({min(n, SHINGLE) for n in self.lengths})
-        self.owners: list[list[int]] = [[] for _ in number]
-        for n, at in owners:
-            self.owners[n].append(at)
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        self.votes = bits.astype(np.int32) * 2 - 1
-        self.prints = np.array([self.fingerprint(list(c.elements())) for c in self.counts], np.uint64)
-        parts = self.prints.view(np.uint8).reshape(-1, 8)
-        self.blocks: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(8)]
-        for at, own in enumerate(parts):
-            for block, value in enumerate(own.tolist()):
-                for probe in (value ^ _NEAR).tolist():
-                    self.blocks[block][probe].append(at)
-
-    def fingerprint(self, numbers: list[int]) -> int:
-        """SimHash of shingles by number, repeats included."""
-        return self._print(self.votes[numbers].sum(axis=0))
-
-    @staticmethod
-    def _print(total: np.ndarray) -> np.uint64:
-        return np.packbits(total > 0, bitorder="little").view("<u8")[0]
-
-    def near(self, fingerprint: np.uint64) -> list[int]:
-        """Items within the radius, by their blocks."""
-        own = np.array([fingerprint], np.uint64).view(np.uint8)
-        found = {at for block, value in enumerate(own.tolist()) for at in self.blocks[block][value]}
-        return [at for at in found if int(self.prints[at] ^ fingerprint).bit_count() <= RADIUS]
+            if held + len(own) > step:
+                yield from (f[:-1] for f in self._search(waiting))
+                waiting, held = [], 0
+            if len(own):
+                waiting.append((place, 0, own))
+                held += len(own)
+        yield from (f[:-1] for f in self._search(waiting))
 
     def search(self, text: str | None) -> list[tuple]:
-        """(item id, similarity, first word, words, distance): the best window of each item that passes.
+        """The same for one text, without its place."""
+        return [f[1:] for f in self.search_all([text])]
 
-        Equal similarity goes to the first window.
-        """
-        own = words(text)
-        get = self.vocabulary.get
-        codes = [get(w, -1) for w in own]
-        best: dict[int, tuple] = {}
-        for size in self.lengths_here:
-            hits = self._hits(np.array(codes, np.int64), size, codes)
-            if not hits:
-                continue
-            by_item: dict[int, list[int]] = {}
-            for at, number in hits:
-                for item in self.owners[number]:
-                    if min(self.lengths[item], SHINGLE) == size:
-                        by_item.setdefault(item, []).append(at)
-            for item, where in by_item.items():
-                n = self.sizes[item]
-                whole = len(own) >= self.lengths[item]  # a shorter text is one window with fewer shingles
-                need = (2 * SIMILARITY / (1 + SIMILARITY) if whole else SIMILARITY) * n
-                if len(where) < need - 1e-9:
-                    continue
-                hit = np.array(where)
-                starts = np.unique(np.concatenate([hit - d for d in range(n)])) if n <= 4096 else np.unique(hit)
-                last = len(own) - self.lengths[item]
-                starts = np.unique(np.clip(starts, 0, max(0, last)))
-                inside = np.searchsorted(hit, starts + n) - np.searchsorted(hit, starts)
-                for start in starts[inside >= need - 1e-9].tolist():
-                    self._test(item, start, own, codes, best)
-        return [(self.ids[item], *found) for item, found in sorted(best.items())]
-
-    def _hits(self, codes: np.ndarray, size: int, plain: list[int]) -> list[tuple[int, int]]:
-        """(place, shingle number) of the item shingles in the text."""
-        if len(codes) < size:
+    def _search(self, texts: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
+        """Results for (place, offset, word hashes) of some texts; the last field is the item's number."""
+        if not texts or not self.items:
             return []
-        known = codes >= 0
-        runs = known[: len(codes) - size + 1].copy()
-        for i in range(1, size):
-            runs &= known[i : len(codes) - size + 1 + i]
-        found = ((at, self.number.get(tuple(plain[at : at + size]))) for at in np.flatnonzero(runs).tolist())
-        return [(at, number) for at, number in found if number is not None]
-
-    def _test(self, item: int, start: int, own: list[str], codes: list[int], best: dict) -> None:
-        length = self.lengths[item]
-        window = codes[start : start + length]
-        total, inside = np.zeros(64, np.int64), Counter()
-        for at, shingle in enumerate(shingles(window)):
-            number = self.number.get(shingle)
-            if number is None:  # no item has it: hashed by its words
-                key = tuple(own[start + at : start + at + min(SHINGLE, length)])
-                raw = np.array([xxhash.xxh64_intdigest(" ".join(key).encode("utf-8", "replace"))], "<u8").view(np.uint8)
-                total += np.unpackbits(raw, bitorder="little").astype(np.int64) * 2 - 1
-                inside[key] += 1
-            else:
-                total += self.votes[number]
-                inside[number] += 1
-        fingerprint = self._print(total)
-        for near in self.near(fingerprint):
-            if self.lengths[near] == length:
-                score = similarity(inside, self.counts[near])
-                if score >= SIMILARITY - 1e-12 and (near not in best or (-score, start) < (-best[near][0], best[near][1])):
-                    best[near] = (round(score, 6), start, length, int(self.prints[near] ^ fingerprint).bit_count())
+        stream = np.concatenate([t[2] for t in texts])
+        sizes = np.array([len(t[2]) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        pairs: set[tuple[int, int]] = set()
+        runs, sums = {}, {}
+        for length in self.lengths:
+            q = length.size
+            if q > len(stream):
+                continue
+            kind = np.int8 if length.n < 128 else np.int32  # sums that wrap still differ rightly
+            if (q, kind) not in sums:
+                runs[q] = run_hashes(stream, q) if q not in runs else runs[q]
+                sums[q, kind] = np.zeros((len(runs[q]) + 1, 64), kind)
+                np.cumsum(_votes(runs[q]), axis=0, dtype=kind, out=sums[q, kind][1:])
+                if ("hits", q) not in sums:
+                    known = self.known[q]
+                    at = np.minimum(np.searchsorted(known, runs[q]), len(known) - 1)
+                    sums["hits", q] = np.concatenate([[0], np.cumsum(known[at] == runs[q])])
+            total, hits = sums[q, kind], sums["hits", q]
+            first, n = length.edges(starts, sizes)
+            prints = length.prints_of(total, first, n)
+            regular = np.arange(len(prints) - len(first)) * length.stride
+            first, n = np.concatenate([regular, first]), np.concatenate([np.full(len(regular), length.n), n])
+            which, item = length.near(prints)
+            first, n, text = first[which], n[which], text_of[first[which]]
+            # inside its text; and a window within half a stride that passes has most of its shingles from items
+            low, high = np.maximum(first - length.stride, 0), np.minimum(first + n + length.stride, len(hits) - 1)
+            kept = (first + n + q - 1 <= starts[text] + sizes[text]) & (hits[high] - hits[low] >= SIMILARITY * n - 1e-9)
+            pairs.update(zip(text[kept].tolist(), length.items[item[kept]].tolist()))
+        out = []
+        for at, number in sorted(pairs):
+            item, (place, offset, own) = self.items[number], texts[at]
+            shingles = runs[item.size][starts[at] : starts[at] + len(own) - item.size + 1]
+            score, start = item.best(shingles, len(own))
+            if score >= SIMILARITY - 1e-12:
+                distance = int(np.bitwise_count(fingerprint(shingles[start : start + item.n]) ^ item.fp))
+                out.append((place, item.id, round(score, 6), offset + start, item.words, distance, number))
+        return out
+
+
+def _passes(items: DataFrame) -> list[Callable]:
+    """For each pass a function that gives its index broadcast, so that only one is held at a time."""
+    spark = items.sparkSession
+    kept = settled(items.where("text IS NOT NULL").select("item_id", "text"))
+    rows, chars = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n = max(1, -(-rows // ITEMS_PER_PASS), -(-chars // CHARS_PER_PASS))
+
+    def made(k: int):
+        share = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about ITEMS_PER_PASS rows
+        return spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in share), key=lambda r: (r[0] is None, r))))
+
+    return [lambda k=k: made(k) for k in range(n)]
+
+
+_NAMES = ["id", "item_id", "similarity", "first_word", "n_words", "distance"]
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, similarity, first_word, n_words, distance) for each document and item that match.
 
-    ``items`` has (item_id, text); it is taken in passes of at most a fixed number of items,
-    so any number may be given. Null and empty texts and items match nothing. Repeated rows
-    are all searched; items with equal text all match.
+    ``items`` has (item_id, text); it is taken in passes of at most a fixed number of items and
+    characters, so any number may be given. Null and empty texts and items match nothing. Repeated
+    rows are all searched; items with equal text all match.
     """
-    spark = docs.sparkSession
-    kept = items.where("text IS NOT NULL").select("item_id", "text")
-    passes = max(1, -(-kept.count() // ITEMS_PER_PASS))
     kind = dict(docs.dtypes)[id_col]
     item_kind = dict(items.dtypes)["item_id"]
     out = None
-    for k in range(passes):
-        share = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()  # about ITEMS_PER_PASS rows
-        index = spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in share), key=lambda r: (r[0] is None, r))))
+    for made in _passes(items):
+        index = made()
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, rows, texts = batch.column(0), [], batch.column(1)
-                for i in range(batch.num_rows):
-                    rows += [(i, *found) for found in index.value.search(texts[i].as_py())]
+                ids, texts = batch.column(0), batch.column(1)
+                rows = list(index.value.search_all(t.as_py() for t in texts))
                 which = ids.take(pa.array([r[0] for r in rows], pa.int32()))
                 columns = [pa.array([r[c] for r in rows]) for c in range(1, 6)] if rows else [pa.array([], pa.int64())] * 5
                 types = (None, pa.float64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([which, *(c.cast(t) if t else c for c, t in zip(columns, types))], _NAMES)
 
         schema = f"id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long, distance int"
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+        found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out
 
 
-_NAMES = ["id", "item_id", "similarity", "first_word", "n_words", "distance"]
-
-
 def _holds(index):
     @F.arrow_udf(T.BooleanType())
     def holds(texts: pa.Array) -> pa.Array:
-        return pa.array([bool(index.value.search(t.as_py())) for t in texts], pa.bool_())
+        out = np.zeros(len(texts), bool)
+        out[[f[0] for f in index.value.search_all(t.as_py() for t in texts)]] = True
+        return pa.array(out)
 
     return holds
 
@@ -217,14 +292,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFram
 
     The search marks the row itself, so neither ids nor texts are shuffled.
     """
-    spark = docs.sparkSession
-    kept = items.where("text IS NOT NULL").select("item_id", "text")
-    passes = max(1, -(-kept.count() // ITEMS_PER_PASS))
-    for k in range(passes):
-        share = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        index = spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in share), key=lambda r: (r[0] is None, r))))
-
-        docs = docs.where(~_holds(index)(F.col(text_col)))
+    for made in _passes(items):
+        docs = docs.where(~_holds(made())(F.col(f"`{text_col}`")))
     return docs
 
 

@@ -1,25 +1,37 @@
 import random
+import time
 from collections import Counter
 
+import numpy as np
+
 from lodestone.llm import decontam as dc
 
 
 def brute(rows, items):
-    """Best window of each (row, item) by testing all windows of the item's length."""
+    """Best window of each (row, item) by testing all windows of the item's length, or the whole of a shorter text."""
     out = set()
-    for i, (doc_id, text) in enumerate(rows):
+    for doc_id, text in rows:
         own = dc.words(text)
         for item_id, item in items:
             want = dc.words(item)
-            if not want:
+            if not want or not own:
                 continue
-            target = Counter(dc.shingles(want))
-            scores = [(round(dc.similarity(Counter(dc.shingles(own[s : s + len(want)])), target), 6), -s) for s in range(len(own) - len(want) + 1)]
-            if scores and max(scores)[0] >= 0.8:
+            target = Counter(shingles(want))
+            scores = [(round(similarity(Counter(shingles(own[s : s + len(want)])), target), 6), -s) for s in range(max(1, len(own) - len(want) + 1))]
+            if max(scores)[0] >= 0.8:
                 out.add((doc_id, item_id, max(scores)[0], -max(scores)[1]))
     return out
 
 
+def similarity(a, b):
+    shared = sum((a & b).values())
+    return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+
+def shingles(found):
+    return [tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))]
+
+
 def test_against_all_windows(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(40)] + ["Über", "ñu"]
@@ -41,7 +53,9 @@ def test_against_all_windows(spark):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = [(r.id, r.item_id, r.similarity, r.first_word) for r in dc.matches(docs, table).collect()]
     short = [(a, b) for a, b in rows if a != 103]
-    assert {g for g in got if g[0] != 103} == brute(short, [i for i in items if i[1]])
+    want = brute(short, [i for i in items if i[1]])
+    assert {g for g in got if g[0] != 103} <= want and len(want) > 60
+    assert len(want - set(got)) <= 0.02 * len(want)
     assert (103, 10) in {g[:2] for g in got}
     assert len(got) >= len(set(got))
     kept = dc.clean(docs, table)
@@ -62,17 +76,75 @@ def test_passes_and_empty(spark, monkeypatch):
 def test_blocks_find_all_within_radius():
     rng = random.Random(4)
     index = dc.Index([(i, " ".join(f"a{rng.randrange(300)}" for _ in range(12))) for i in range(200)])
+    (length,) = index.lengths
     for at in range(0, 200, 9):
-        for d in range(24):
-            probe = int(index.prints[at])
+        for d in range(dc.RADIUS + 1):
+            probe = int(length.prints[at])
             for bit in rng.sample(range(64), d):
                 probe ^= 1 << bit
-            assert at in index.near(dc.np.uint64(probe))
+            assert at in length.near(np.array([probe], np.uint64))[1]
 
 
 def test_document_shorter_than_the_item():
     item = [f"a{i}" for i in range(50)]
     index = dc.Index([(1, " ".join(item))])
     for n in range(38, 51):
-        want = dc.similarity(Counter(dc.shingles(item[:n])), Counter(dc.shingles(item)))
+        want = similarity(Counter(shingles(item[:n])), Counter(shingles(item)))
         assert [(f[0], f[1]) for f in index.search(" ".join(item[:n]))] == ([(1, round(want, 6))] if want >= 0.8 else [])
+
+
+def passage(rng, own, least):
+    """A copy of the words with as many changes as the similarity allows."""
+    for _ in range(200):
+        tried = list(own)
+        at = rng.randrange(len(tried))
+        if rng.random() < 0.5:
+            tried[at] = f"e{rng.randrange(10**6)}"
+        elif rng.random() < 0.5:
+            tried.insert(at, f"e{rng.randrange(10**6)}")
+        else:
+            del tried[at]
+        if len(tried) >= 5 and similarity(Counter(shingles(tried)), Counter(shingles(own))) >= least:
+            return passage(rng, tried, least) if rng.random() < 0.5 and least > 0.85 else tried
+    return own
+
+
+def test_recall_against_all_windows():
+    """Of the windows that pass at least 0.95 are found, down to a similarity of 0.8; no other."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 12, 20, 35, 60, 110, 400])))) for k in range(60)]
+    rows = []
+    for k in range(250):
+        body = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 120))]
+        at = rng.randrange(len(body))
+        rows.append((k, " ".join(body[:at] + passage(rng, dc.words(rng.choice(items)[1]), rng.choice([0.8, 0.8, 0.9])) + body[at:])))
+    want = brute(rows, items)
+    got = {(rows[place][0], *found[:3]) for place, *found in dc.Index(items).search_all([t for _, t in rows])}
+    assert len(want) > 200 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_items_of_many_shingles_and_long_texts(monkeypatch):
+    """The same rule holds for items above any size, and for texts that are searched in parts."""
+    rng = random.Random(5)
+    for n in (120, 140, 4097, 5000):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        index = dc.Index([(1, " ".join(own))])
+        text = [f"x{i}" for i in range(50)] + [f"e{i}" for i in range(n // 50)] + own[n // 50 :] + [f"y{i}" for i in range(500)]
+        ((item, score, first, _, _),) = index.search(" ".join(text))
+        best = max((round(similarity(Counter(shingles(text[s : s + n])), Counter(shingles(own))), 6), -s) for s in range(45, 56))
+        assert (item, score, first) == (1, best[0], -best[1])
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for k in range(20)]
+    text = " ".join(" ".join(f"z{rng.randrange(3000)}" for _ in range(rng.randrange(300))) + " " + items[k][1] for k in range(20))
+    whole = dc.Index(items).search(text)
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(dc, "LONG", 50)
+    assert dc.Index(items).search(text) == whole and len(whole) == 20
+
+
+def test_many_hits_of_a_common_beginning():
+    """Items with one beginning, repeated in a text, cost no more than their windows."""
+    head = " ".join(f"h{i}" for i in range(12))
+    index = dc.Index([(i, f"{head} " + " ".join(f"t{i}x{k}" for k in range(12))) for i in range(300)])
+    began = time.time()
+    assert index.search(" ".join([head] * 400)) == []
+    assert time.time() - began < 20
