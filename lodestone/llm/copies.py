@@ -7,9 +7,9 @@ of which emits its ball of half the radius of 2; what two texts need is one fing
 too: itself and the set without each one of its shingles, which meets all that differ by one
 shingle or one for another. Texts that meet are verified twice: by all 768 bits (larger sets),
 then by their sets of shingles.
-Where many meet at a variant all are paired with one of them first, and only texts that this
-leaves in different components are paired with each other, so that a large group of copies
-makes no square of pairs.
+Where texts meet, all are paired with one of them first, and only texts that this leaves in
+different components are paired with each other, so that a large group of copies makes no
+square of pairs.
 """
 
 from __future__ import annotations
@@ -34,14 +34,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 TABLES, WIDTH, RADIUS = 24, 32, 2
 #: Of the next fingerprint's bits so many may differ where texts meet (3.5 deviations at a similarity of 0.8) …
 NEXT = 12
-#: … and of all 768 (five deviations).
-WHOLE = 168
+#: … of all 768 (three deviations), and of the first eight fingerprints' 256 (four deviations).
+WHOLE, HEAD, HEADS = 150, 8, 62
 #: Leading bits that fingerprints are dealt by, at least and at most.
 LEAST_BITS, MOST_BITS = 4, 24
 #: Sets of up to so many shingles also emit themselves without one; up to 11, at 0.8 no more may differ.
 FEW = 12
-#: Texts that meet at a variant and are paired at once; more are paired with one of them first.
-CROWD = 8
 #: Texts whose fingerprints are dealt at once.
 BLOCK = 4096
 
@@ -100,75 +98,97 @@ def _set_column(size: int):
     return sets
 
 
-_EMITTED = pa.schema([("bucket", pa.int64()), ("words", pa.binary()), ("sets", pa.binary())])
+_ARRAYS = ("words", "sets", "roots", "heads")
+_EMITTED = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _ARRAYS)])
+_DEALT = "bucket long, words binary, sets binary, roots binary, heads binary"
 
 
-def _emit(c: int):
-    """(set_id, prints, few) → rows (fingerprint's number and leading bits, fingerprints and the next ones, their sets)."""
+def _emit(c: int, whole: bool):
+    """(set_id, prints, few, root) → rows (fingerprint's number and leading bits, fingerprints and the next ones, their sets).
 
-    def rows(k: int, who: np.ndarray, bucket: np.ndarray, words: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    With ``whole`` also the sets' roots and the first fingerprints.
+    """
+
+    def rows(k: int, who: np.ndarray, bucket: np.ndarray, words: np.ndarray, names: np.ndarray, roots: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
         who, bucket = who[order], bucket[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         pieces = np.split(who, cuts[1:])
-        columns = [pa.array([x[w].tobytes() for w in pieces], pa.binary()) for x in (words, names)]
+        sent = (words, names, roots, heads) if whole else (words, names, names[:0], names[:0])
+        columns = [pa.array([x[w].tobytes() if len(x) else b"" for w in pieces], pa.binary()) for x in sent]
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts] | k << c, pa.int64()), *columns], schema=_EMITTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                names = part.column(0).to_numpy(zero_copy_only=False)
-                own = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), "<u4").reshape(-1, TABLES).astype(np.uint64)
+                names, roots = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+                own = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), "<u4").reshape(-1, TABLES)
+                heads, own = np.ascontiguousarray(own[:, :HEAD]), own.astype(np.uint64)
                 reach = balls.reach_of(own[:, 0], RADIUS)
                 for k in range(TABLES):
                     who, bucket = balls.deal(own[:, k], reach, WIDTH, c)
-                    yield rows(k, who, bucket, own[:, k] << np.uint64(32) | own[:, (k + 1) % TABLES], names)
+                    yield rows(k, who, bucket, own[:, k] << np.uint64(32) | own[:, (k + 1) % TABLES], names, roots, heads)
                 few = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(2)]
                 if sum(map(len, few)):
-                    words, names = np.concatenate(few), np.repeat(names, [len(x) for x in few])
-                    yield rows(TABLES, np.arange(len(words)), (words >> np.uint64(64 - c)).astype(np.int64), words, names)
+                    words, of = np.concatenate(few), np.repeat(np.arange(len(names)), [len(x) for x in few])
+                    yield rows(TABLES, np.arange(len(words)), (words >> np.uint64(64 - c)).astype(np.int64), words, names[of], roots[of], heads[of])
 
     return run
 
 
+def _groups(table: pa.Table, c: int) -> Iterator[tuple]:
+    """(which, group, words, sets, roots, heads, next fingerprints) of what meets in one bucket, a part at a time."""
+    kinds = dict(zip(_ARRAYS, (np.uint64, np.int64, np.int64, np.uint32)))
+    words, names, roots, heads = (np.concatenate([np.frombuffer(x.as_py(), kinds[n]) for x in table[n]]) for n in _ARRAYS)
+    heads, bucket = heads.reshape(-1, HEAD), table["bucket"][0].as_py()
+    if bucket >> c == TABLES:  # hashes that must be equal
+        order = np.argsort(words, kind="stable")
+        yield order, np.cumsum(np.r_[False, words[order][1:] != words[order][:-1]]), words, names, roots, heads, np.zeros(len(words), np.uint64)
+        return
+    fps, after = words >> np.uint64(32), words & np.uint64(0xFFFFFFFF)
+    for who, _, group in balls.meet(fps, balls.reach_of(fps, RADIUS), WIDTH, c, bucket & (1 << c) - 1):
+        yield who, group, fps, names, roots, heads, after
+
+
 def _meet(c: int):
-    """Sets that meet at a variant of one bucket → candidate pairs, and the members of crowds."""
+    """Sets that meet at a variant of one bucket, each with the first of them: (a, b, equal, more).
+
+    ``equal`` tells that their fingerprints are the same, ``more`` that others meet there too.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        words = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["words"]])
-        names = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sets"]])
-        pairs, crowds, bucket = [np.zeros((0, 2), np.int64)], {}, table["bucket"][0].as_py()
-        if bucket >> c == TABLES:  # hashes that must be equal
-            after, order = np.zeros(len(words), np.uint64), np.argsort(words, kind="stable")
-            parts = [(order, None, np.cumsum(np.r_[False, words[order][1:] != words[order][:-1]]))]
-        else:
-            fps, after = words >> np.uint64(32), words & np.uint64(0xFFFFFFFF)
-            parts = balls.meet(fps, balls.reach_of(fps, RADIUS), WIDTH, c, bucket & (1 << c) - 1)
-        for who, _, group in parts:
+        found = [np.zeros((0, 4), np.int64)]
+        for who, group, fps, names, _, _, after in _groups(table, c):
             who = who[np.lexsort((names[who], group))]
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             many = np.diff(np.r_[first, len(group)])
-            place, crowd = np.arange(len(group)) - np.repeat(first, many), np.repeat(many > CROWD, many)
-            left, right = [], []
-            for step in range(1, CROWD):
-                b = np.flatnonzero(~crowd & (place >= step))
-                left.append(b - step), right.append(b)
-            spoke = np.flatnonzero(crowd & (place > 0))
-            left.append(spoke - place[spoke]), right.append(spoke)
-            a, b = who[np.concatenate(left)], who[np.concatenate(right)]
-            ok = np.bitwise_count(after[a] ^ after[b]) <= NEXT
-            pairs.append(np.unique(np.stack([names[a[ok]], names[b[ok]]], axis=1), axis=0))
-            for at in np.flatnonzero(many > CROWD).tolist():
-                members = names[who[first[at] : first[at] + many[at]]]
-                crowds.setdefault(members.tobytes(), members)
-        found = np.unique(np.concatenate(pairs), axis=0)
-        empty = [None] * len(crowds)
-        return pa.table({
-            "a": pa.array([*found[:, 0].tolist(), *empty], pa.int64()),
-            "b": pa.array([*found[:, 1].tolist(), *empty], pa.int64()),
-            "members": pa.array([*[None] * len(found), *(m.tolist() for m in crowds.values())], pa.list_(pa.int64())),
-        })
+            hub = who[np.repeat(first, many)]
+            ok = (hub != who) & (np.bitwise_count(after[hub] ^ after[who]) <= NEXT)
+            pairs = np.stack([names[hub], names[who], fps[hub] == fps[who], np.repeat(many > 2, many)], axis=1)
+            found.append(np.unique(pairs[ok], axis=0))
+        a, b, equal, more = np.unique(np.concatenate(found), axis=0).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "equal": pa.array(equal.astype(bool)), "more": pa.array(more.astype(bool))})
+
+    return run
+
+
+def _meet_apart(c: int):
+    """All pairs of sets of different roots that meet at a variant of one bucket and may be similar: (a, b)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 2), np.int64)]
+        for who, group, _, names, roots, heads, after in _groups(table, c):
+            who = who[np.lexsort((names[who], group))]
+            for step in range(1, int(np.bincount(group).max())):
+                a, b = who[:-step], who[step:]
+                near = np.flatnonzero((group[:-step] == group[step:]) & (roots[a] != roots[b]))
+                a, b = a[near], b[near]
+                ok = (np.bitwise_count(after[a] ^ after[b]) <= NEXT) & (np.bitwise_count(heads[a] ^ heads[b]).sum(axis=1, dtype=np.int64) <= HEADS)
+                if ok.any():
+                    found.append(np.unique(np.stack([names[a[ok]], names[b[ok]]], axis=1), axis=0))
+        a, b = np.unique(np.concatenate(found), axis=0).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -199,16 +219,19 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
     """Edges (u, v) that connect the set ids which similar sets connect.
 
     ``sets`` has (set_id, n, prints, few, id, text_hash), each set once with a row that has it, and
-    ``docs`` has (id, text_hash, text).
+    ``docs`` has (id, text_hash, text). In three rounds: sets of equal fingerprints with the first
+    of them; what meets at a variant with the first there, unless they are connected; then all
+    pairs that meet and are not connected yet, of the components that have such.
     """
     c = balls.leading_bits(sets.count() * (WIDTH + 1), LEAST_BITS, MOST_BITS)
-    emitted = sets.select("set_id", "prints", "few").mapInArrow(_emit(c), "bucket long, words binary, sets binary")
-    met = settled(emitted.groupBy("bucket").applyInArrow(_meet(c), "a long, b long, members array<long>"))
+    emitted = sets.select("set_id", "prints", "few", F.col("set_id").alias("root")).mapInArrow(_emit(c, False), _DEALT)
+    met = emitted.groupBy("bucket").applyInArrow(_meet(c), "a long, b long, equal boolean, more boolean")
+    met = settled(met.groupBy("a", "b").agg(F.max("equal").alias("equal"), F.max("more").alias("more")))
     one = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n1"), F.col("prints").alias("p1"))
     two = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("prints").alias("p2"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(one, "a").join(two, "b").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * (similarity - 1e-9))
+        near = pairs.join(one, "a").join(two, "b").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * (similarity - 1e-9))
         few = F.least("n1", "n2") <= FEW
         pairs = settled(near.where(few | (_distance("p1", "p2") <= WHOLE)).select("a", "b"))
         used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
@@ -219,18 +242,23 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
         both = both.join(whole.select(F.col("set_id").alias("b"), F.col("s").alias("y")), "b")
         return settled(both.where(_similar(similarity)("x", "y")).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    edges = verified(met.where("members IS NULL").select("a", "b"))
-    crowds = met.where("members IS NOT NULL").select("members").distinct()
-    if not crowds.take(1):
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components, with those."""
+        for end in ("a", "b"):
+            here = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            pairs = pairs.join(here, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        return pairs.where("root_a <> root_b")
+
+    edges = verified(met.where("equal").select("a", "b"))
+    edges = edges.union(verified(apart(met.where("NOT equal").select("a", "b"), components(edges)).select("a", "b")))
+    roots = components(edges)
+    split = apart(met.where("more").select("a", "b"), roots)
+    split = settled(split.select(F.col("root_a").alias("root")).union(split.select("root_b")).distinct())
+    if not split.take(1):
         return edges
-    member = crowds.select(F.xxhash64("members").alias("crowd"), F.explode("members").alias("set_id"))
-    member = member.join(components(edges), F.col("set_id") == F.col("node"), "left")
-    member = settled(member.select("crowd", "set_id", F.coalesce("root", "set_id").alias("root")))
-    split = member.groupBy("crowd").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("crowd")
-    member = member.join(split, "crowd", "left_semi")
-    other = member.select("crowd", F.col("set_id").alias("set_id2"), F.col("root").alias("root2"))
-    apart = member.join(other, "crowd").where((F.col("set_id") < F.col("set_id2")) & (F.col("root") != F.col("root2")))
-    return edges.union(verified(apart.select(F.col("set_id").alias("a"), F.col("set_id2").alias("b"))))
+    rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "prints", "few", F.coalesce("root", "set_id").alias("root"))
+    emitted = rooted.join(split, "root", "left_semi").select("set_id", "prints", "few", "root").mapInArrow(_emit(c, True), _DEALT)
+    return edges.union(verified(emitted.groupBy("bucket").applyInArrow(_meet_apart(c), "a long, b long").distinct()))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

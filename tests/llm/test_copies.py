@@ -66,7 +66,7 @@ def test_recall_of_pairs_at_the_threshold():
     assert pairs > 350 and met >= 0.95 * pairs
 
 
-def test_against_all_pairs(spark, monkeypatch):
+def test_against_all_pairs(spark):
     rng = random.Random(7)
     line = "this line is in very many of the texts here".split()
     rows = []
@@ -78,8 +78,6 @@ def test_against_all_pairs(spark, monkeypatch):
     rows += [None, "", "  ", "one", "ONE", rows[0].upper()]
     rng.shuffle(rows)
     rows = list(enumerate(rows))
-    for crowding in (64, 4):
-        monkeypatch.setattr(copies, "CROWD", crowding)
-        got = sorted(r.doc_id for r in copies.keep_one(table(spark, rows)).collect())
-        assert got == brute(rows)
+    got = sorted(r.doc_id for r in copies.keep_one(table(spark, rows)).collect())
+    assert got == brute(rows)
     assert sorted(r.doc_id for r in copies.keep_one(table(spark, rows), size=3, similarity=0.85).collect()) == brute(rows, 0.85, 3)
