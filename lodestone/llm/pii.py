@@ -2,12 +2,14 @@
 
 Entities are found by one pattern. A surrogate follows from a key and the entity's normal
 form alone, so the same entity has the same surrogate in every document (coreference)
-without a join. It keeps type, script, case, separators and length, a card's check digit
+without a join; a name with a title of no gender counts as the same person's whose titles tell
+one. It keeps type, script, case, separators and length, a card's check digit
 and a title's gender; a name of several words gets a given and a family name. After a title
 all name words, initials, particles and hyphens are taken, and in scripts without case the
 run of letters (with up to two more in Arabic, Hebrew and Devanagari). The distinct entities, grouped before anything else, are checked for
 surrogates that collide with each other or with a real entity; those are drawn anew until
-none is left, and only they, usually none, are joined to their documents.
+none is left, and only they and the names whose gender another place told are joined to their
+documents.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ PARTICLES = r"(?:(?:von|vom|van|vander|de|del|della|der|den|des|di|da|das|do|dos
 CASELESS = r"\p{Lo}[\p{Lo}\p{Lm}\p{M}·・]*+(?: [\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]++){0,2}+"
 EDGE, AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: In order: the first that fits at a place is taken.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
+#: Repeated groups are bounded or possessive: Java's matcher would recurse for each repetition. A domain has at most 127 labels.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,126}\p{L}{2,}"
 IP = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}" + AFTER
 IBAN = EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + AFTER
 SSN = EDGE + r"\d{3}-\d{2}-\d{4}" + AFTER
@@ -35,7 +38,7 @@ PHONE = (
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})" + AFTER
 )
 CARD = EDGE + r"\d(?:[ -]?\d){12,18}" + AFTER
-PERSON = EDGE + rf"(?:{TITLES} +)+(?:{PARTICLES}*+{NAME}(?:(?: +|-){PARTICLES}*+{NAME})*+|{CASELESS})"
+PERSON = EDGE + rf"(?:{TITLES} ++){{1,8}}(?:{PARTICLES}*+{NAME}(?:(?: +|-){PARTICLES}*+{NAME})*+|{CASELESS})"
 PATTERN = "|".join((EMAIL, IP, IBAN, SSN, PHONE, CARD, PERSON))
 #: Texts without any of these hold no entity; it is far cheaper to look for.
 HINT = rf"[0-9@]|{TITLES}"
@@ -71,9 +74,12 @@ def _type(m: Column) -> Column:
 
 
 def _norm(m: Column, kind: Column) -> Column:
-    """What names the entity: e-mail and name in lower case, an address as it is, else letters and digits."""
-    gender = F.when(m.rlike(rf"^(?:{TITLES_F})\b"), "f").when(m.rlike(rf"^(?:{TITLES_M})\b"), "m").otherwise("n")
-    name = F.lower(F.regexp_replace(F.regexp_replace(m, rf"^(?:{TITLES} +)+", ""), " +", " "))
+    """What names the entity: e-mail and name in lower case, an address as it is, else letters and digits.
+
+    Before a name stands the gender of its titles, n without one.
+    """
+    name = F.lower(F.regexp_replace(F.regexp_replace(m, rf"^(?:{TITLES} ++){{1,8}}", ""), " +", " "))
+    gender = F.when(m.rlike(rf"^(?:{TITLES} ++){{0,7}}?(?:{TITLES_F})\b"), "f").when(m.rlike(rf"^(?:{TITLES} ++){{0,7}}?(?:{TITLES_M})\b"), "m").otherwise("n")
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", m)
@@ -126,7 +132,8 @@ def surrogates(found: Column, key: str, attempt) -> Column:
     """``found`` (m, kind, norm) with the surrogate's normal form ``s``.
 
     ``attempt`` gives the number of the draw from an element, 0 unless draws collided. A name
-    grows by a syllable or letter with each draw, so there are always names enough.
+    grows by a syllable or letter with each draw, an e-mail address by a letter from the third
+    and a telephone number by a digit from the sixth, so that there are always enough.
     """
     fields = ("m", "kind", "norm")
     tried = _with(found, "a", fields, attempt)
@@ -140,14 +147,18 @@ def surrogates(found: Column, key: str, attempt) -> Column:
         head = F.when((x["kind"] == "phone") & x["norm"].startswith("+"), 2).otherwise(0)
         n = F.length(x["norm"])
         chars = F.transform(_chars(x["norm"]), lambda c, i: F.when((i < head) | (i >= n - cut), c).otherwise(_like(c, _byte(x["h"], i))))
-        return F.array_join(chars, "")
+        more = F.when(x["kind"] == "email", x["a"] - 2).when(x["kind"] == "phone", x["a"] - 5).otherwise(0)
+        extra = lambda one: F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: one(_byte(x["h"], 31 - i))), "")).otherwise("")
+        letters = F.when(x["kind"] == "email", extra(lambda b: F.char(b % 26 + 97))).otherwise("")
+        digits = F.when(x["kind"] == "phone", extra(lambda b: (b % 10).cast("string"))).otherwise("")
+        return F.concat(letters, F.array_join(chars, ""), digits)
 
     def named(x: Column) -> Column:
         given = F.when(x["norm"].startswith("m "), _one(GIVEN_M, _byte(x["h"], F.lit(0)))).when(
             x["norm"].startswith("f "), _one(GIVEN_F, _byte(x["h"], F.lit(0)))
         ).otherwise(_one(GIVEN_N, _byte(x["h"], F.lit(0))))
         family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), x["a"] + 3), lambda i: _one(SYLLABLES, _byte(x["h"], i))), ""))
-        own = F.substring(x["norm"], 3, 10_000)
+        own = F.substring(x["norm"], F.lit(3), F.length(x["norm"]))
         latin = F.when(own.rlike("[ -]"), F.concat(given, F.regexp_extract(own, "[ -]", 0), family)).otherwise(family)
         longer = F.concat(_chars(own), F.array_repeat(F.regexp_extract(own, r"\p{L}(?=\P{L}*$)", 0), x["a"]))
         return F.when(own.rlike(r"^[\p{IsLatin}\p{M} .'’-]+$"), latin).otherwise(F.initcap(F.array_join(F.transform(longer, lambda c, i: _like(c, _byte(x["h"], i))), "")))
@@ -174,32 +185,48 @@ def rendered(x: Column) -> Column:
         return F.when(c.rlike("[A-Z0-9]"), F.substring(digits, before + 1, F.lit(1))).otherwise(c)
 
     mail = F.when(x["m"] == F.upper(x["m"]), F.upper(x["s"])).otherwise(x["s"])
-    title = F.regexp_extract(x["m"], rf"^(?:{TITLES} +)+", 0)
-    name = F.when(F.substring(x["m"], F.length(title) + 1, F.lit(10_000)).rlike(r"^[^\p{Ll}]+$"), F.upper(x["s"])).otherwise(x["s"])
+    title = F.regexp_extract(x["m"], rf"^(?:{TITLES} ++){{1,8}}", 0)
+    name = F.when(F.substring(x["m"], F.length(title) + 1, F.length(x["m"])).rlike(r"^[^\p{Ll}]+$"), F.upper(x["s"])).otherwise(x["s"])
     return (
         F.when(x["kind"] == "email", mail)
         .when(x["kind"] == "ip", x["s"])
         .when(x["kind"] == "person", F.concat(title, name))
-        .otherwise(F.array_join(F.transform(_chars(x["m"]), fill), ""))
+        .otherwise(F.concat(F.array_join(F.transform(_chars(x["m"]), fill), ""), F.substring(digits, F.length(F.regexp_replace(x["m"], "[^A-Z0-9]", "")) + 1, F.length(digits))))
     )
 
 
+def resolved(known: DataFrame) -> DataFrame:
+    """(kind, norm, own) of the distinct entities; ``own`` is the norm whose surrogate they have.
+
+    A name without a gender belongs to the one person of that name who has one, if there is one:
+    Dr and Frau Anna Keller are the same.
+    """
+    person = F.col("kind") == "person"
+    name = F.when(person, F.substring("norm", F.lit(3), F.length("norm")))
+    marked = known.select("kind", "norm", name.alias("name"), F.when(person, F.substring("norm", 1, 1)).alias("g"))
+    sexed = marked.where("g IN ('f', 'm')").groupBy("name").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo = hi")
+    joined = marked.join(sexed.select(F.col("name").alias("other"), "lo"), (F.col("name") == F.col("other")) & (F.col("g") == "n"), "left")
+    return joined.select("kind", "norm", F.when(F.col("lo").isNull(), F.col("norm")).otherwise(F.concat_ws(" ", "lo", "name")).alias("own"))
+
+
 def collisions(known: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(kind, norm, attempt) of the distinct entities, attempts raised until surrogates are
-    distinct and none is a real entity; and how many were raised."""
-    known = settled(known.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)))
-    raised = 0
+    """(kind, norm, own, attempt) of the distinct entities, attempts raised until surrogates are
+    distinct and none is a real entity; and how many were raised or belong to another's norm."""
+    every = settled(resolved(known.select("kind", "norm").distinct()))
+    raised = every.where("own <> norm").count()
+    known = settled(every.where("own = norm").select("kind", "norm", F.lit(0).alias("attempt")))
     for _ in range(MAX_ATTEMPTS):
         one = F.array(F.struct(F.lit("").alias("m"), F.col("kind").alias("kind"), F.col("norm").alias("norm")))
         named = known.withColumn("s", F.lower(surrogates(one, key, lambda x: F.col("attempt"))[0]["s"]))
         twice = named.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("keep")).where("n > 1")
         clash = named.join(twice, ["kind", "s"]).where("norm <> keep").select("kind", "norm")
-        own = F.when(F.col("kind") == "person", F.substring("norm", 3, 10_000)).otherwise(F.lower("norm"))
+        own = F.when(F.col("kind") == "person", F.substring("norm", F.lit(3), F.length("norm"))).otherwise(F.lower("norm"))
         real = known.select("kind", own.alias("s")).distinct()
         clash = settled(clash.union(named.join(real, ["kind", "s"], "left_semi").select("kind", "norm")).distinct())
         n = clash.count()
         if not n:
-            return known, raised
+            drawn = every.join(known.withColumnRenamed("norm", "own"), ["kind", "own"])
+            return drawn.select("kind", "norm", "own", "attempt"), raised
         raised += n
         again = clash.withColumn("more", F.lit(1))
         known = settled(known.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
@@ -223,17 +250,22 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str
     here_key, spans, redraw, new = (fresh(docs, n) for n in ("__key", "__found", "__redrawn", "__new"))
     marked = docs.withColumn(spans, entities(text))
     if raised:
-        redrawn = drawn.where("attempt > 0")
+        redrawn = drawn.where("attempt > 0 OR own <> norm")
         here = docs.where(text.rlike(HINT)).select(F.sha2(text, 256).alias(here_key), F.explode(entities(text)).alias("x"))
         here = here.select(here_key, F.col("x.kind").alias("kind"), F.col("x.norm").alias("norm")).distinct().join(redrawn, ["kind", "norm"])
-        maps = here.groupBy(here_key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(redraw))
+        entry = F.struct(F.concat_ws("|", "kind", "norm"), F.struct("attempt", "own"))
+        maps = here.groupBy(here_key).agg(F.map_from_entries(F.collect_list(entry)).alias(redraw))  # entities of one text
         marked = marked.withColumn(here_key, F.sha2(text, 256)).join(maps, here_key, "left")
-        attempt = lambda x: F.coalesce(F.try_element_at(F.col(redraw), F.concat_ws("|", x["kind"], x["norm"])), F.lit(0))
+        known = lambda x: F.try_element_at(F.col(redraw), F.concat_ws("|", x["kind"], x["norm"]))
+        attempt = lambda x: F.coalesce(known(x)["attempt"], F.lit(0))
+        own = lambda x: F.coalesce(known(x)["own"], x["norm"])
+        found = F.transform(spans, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), own(x).alias("norm"), attempt(x).alias("a")))
+        made = surrogates(found, key, lambda x: x["a"])
     else:
-        attempt = lambda x: F.lit(0)
-    marked = marked.withColumn(new, F.transform(surrogates(F.col(spans), key, attempt), rendered))
-    pieces = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col(new), i + 1), F.lit("")))), "")
+        made = surrogates(F.col(spans), key, lambda x: F.lit(0))
+    marked = marked.withColumn(new, F.transform(made, rendered))
+    zipped = F.arrays_zip(F.split(text, PATTERN, -1).alias("p"), F.col(new).alias("n"))  # one piece more than entities
+    joined = F.array_join(F.flatten(F.transform(zipped, lambda x: F.array(x["p"], F.coalesce(x["n"], F.lit(""))))), "")
     counts = F.map_from_arrays(F.array(*[F.lit(t) for t in TYPES]), F.array(*[_number_of(spans, t) for t in TYPES]))
     new_text = F.when(F.size(spans) > 0, joined).otherwise(text)
     keep = [new_text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != out]

@@ -1,4 +1,6 @@
 import random
+import string
+from itertools import product
 
 import regex
 from pyspark.sql import functions as F
@@ -113,3 +115,37 @@ def test_names_beyond_the_first_space(spark, monkeypatch):
     for i, n in ((1, len(names)), (2, 18 * 16)):
         new = regex.findall(r"(?:Mr|Dr) (\w+)", out[i])
         assert len(new) == len(set(new)) == n
+
+
+def test_long_repetitions_stay_within_the_stack(spark):
+    """Texts of a megabyte that a matcher could recurse on; with them one address each."""
+    runs = ["a@" + "b." * 500_000, "Dr " * 300_000, "Mr " + "Anna-" * 200_000, "+1" + " 22" * 30_000, "1." * 500_000, "a" * 10**6, "@" * 10**6, "x@y" * 300_000]
+    df = spark.createDataFrame([(i, f"{r} ! und.34@mail7.example.com") for i, r in enumerate(runs)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_entities(df, "k").collect()}
+    assert len(out) == len(runs)
+    for i, r in out.items():
+        assert r.pii_counts["email"] >= 1 and "und.34@mail7" not in r.text and r.text.endswith(".com"), i
+
+
+def test_a_person_is_the_same_under_every_title(spark):
+    rows = [(1, "Dr Anna Keller, said Frau Anna Keller"), (2, "Prof. Anna Keller"), (3, "Herr Kim Lee and Frau Kim Lee and Dr Kim Lee"), (4, "Frau Dr Anna Keller"), (5, "Dr Max Beck")]
+    out = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    anna = regex.fullmatch(r"Dr (\w+ \w+), said Frau (\w+ \w+)", out[1])
+    assert anna[1] == anna[2] and anna[1].split()[0] in pii.GIVEN_F
+    assert out[2] == f"Prof. {anna[1]}" and out[4] == f"Frau Dr {anna[1]}"
+    kim = regex.fullmatch(r"Herr (\w+ \w+) and Frau (\w+ \w+) and Dr (\w+ \w+)", out[3])
+    assert len({kim[1], kim[2], kim[3]}) == 3 and kim[1].split()[0] in pii.GIVEN_M
+    assert regex.fullmatch(r"Dr \w+ \w+", out[5]) and "Beck" not in out[5]
+
+
+def test_no_kind_runs_out(spark):
+    """All short addresses, 40,000 family names and many numbers of one short form are taken; all get others."""
+    mails = [f"{a}@{b}.co" for a in string.ascii_lowercase for b in string.ascii_lowercase]
+    letters = "abcdefghijklmnopqrst"
+    names = ["".join(x).title() for x in product(letters, letters, letters, "abcde")]
+    phones = [f"+1 {a:02d} {b:02d}" for a in range(40) for b in range(100)]
+    rows = [(i, " ; ".join(part)) for i, part in enumerate([mails, [f"Mr {n}" for n in names], phones])]
+    out = {r.doc_id: r.text.split(" ; ") for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for before, after in zip((mails, [f"Mr {n}" for n in names], phones), (out[0], out[1], out[2])):
+        assert len(after) == len(before) == len(set(after))
+        assert not set(after) & set(before)
