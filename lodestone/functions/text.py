@@ -21,8 +21,9 @@ def index_terms(text: Column) -> Column:
 
     A run made of Han characters alone is cut into characters; a mixed run stays whole.
     """
-    found = F.transform(
+    plain = F.filter(words(text), lambda t: F.length(t) > 1)
+    cut = F.transform(
         words(text),
         lambda w: F.when(w.rlike(rf"^{HAN}+$"), F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w)),
     )
-    return F.filter(F.flatten(found), lambda t: (F.length(t) > 1) | t.rlike(HAN))
+    return F.when(text.rlike(HAN), F.filter(F.flatten(cut), lambda t: (F.length(t) > 1) | t.rlike(HAN))).otherwise(plain)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.functions.text import index_terms
+from lodestone.sources.shared import settled
 
 K1, B = 1.5, 0.75
 
@@ -35,29 +36,14 @@ def doc_freq(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_search(
-    docs: DataFrame, searches: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Top ``k`` documents of each query by BM25.
+def query_terms(searches: DataFrame) -> DataFrame:
+    """(query_id, term, qf): terms of each query with their number; a term said twice counts twice."""
+    said = searches.select("query_id", F.explode(index_terms(F.col("query"))).alias("term"))
+    return said.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
-    ``searches`` has (query_id, query). Only query terms leave the document scan: the term
-    set is a small broadcast table, so the shuffle carries matching postings alone. Returns
-    (query_id, id, score, rank); ties go to the smaller id, documents without a query term
-    never appear.
-    """
-    terms = searches.select("query_id", F.explode(F.array_distinct(index_terms(F.col("query")))).alias("term"))
-    occur = docs.select(
-        F.col(id_col).alias("id"),
-        index_terms(F.col(text_col)).alias("terms"),
-    ).select("id", F.size("terms").cast("long").alias("dl"), "terms")
-    hits = (
-        occur.select("id", "dl", F.explode("terms").alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, id_col, text_col)
+
+def ranked(hits: DataFrame, terms: DataFrame, df: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) from hits (id, dl, term, tf), document frequencies and one row of statistics."""
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     scored = (
@@ -65,7 +51,49 @@ def bm25_search(
         .crossJoin(F.broadcast(stats))  # one row
         .join(terms, "term")
         .groupBy("query_id", "id")
-        .agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("qf") * idf * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def bm25_search(
+    docs: DataFrame, searches: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000
+) -> DataFrame:
+    """Top ``k`` documents of each query by BM25.
+
+    ``searches`` has (query_id, query). Documents are read and cut into terms once; only their
+    lengths and the query terms in them leave the scan. More than ``most`` distinct query terms
+    are joined instead of being looked up in each task. Returns (query_id, id, score, rank);
+    ties go to the smaller id, documents without a query term never appear.
+    """
+    terms = settled(query_terms(searches))
+    wanted = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+    occur = docs.select(F.col(id_col).alias("id"), index_terms(F.col(text_col)).alias("terms"))
+    found = F.filter("terms", lambda t: t.isin(wanted)) if len(wanted) <= most else F.col("terms")
+    occur = settled(occur.select("id", F.size("terms").cast("long").alias("dl"), found.alias("found")))
+    stats = occur.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    hits = occur.select("id", "dl", F.explode("found").alias("term"))
+    if len(wanted) > most:
+        hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
+    hits = hits.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return ranked(hits, terms, doc_freq(hits), stats, k)
+
+
+def save_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write postings (id, dl, term, tf), document frequencies and corpus statistics below ``path``."""
+    lengths = doc_lengths(docs, id_col, text_col)
+    post = postings(docs, id_col, text_col).join(lengths, "id")
+    post.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    kept = docs.sparkSession.read.parquet(f"{path}/postings")
+    doc_freq(kept).write.mode("overwrite").parquet(f"{path}/doc_freq")
+    lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, searches: DataFrame, k: int = 10, most: int = 10_000) -> DataFrame:
+    """:func:`bm25_search` over a saved index; postings are sorted by term, so files without a query term are skipped."""
+    terms = settled(query_terms(searches))
+    wanted = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+    post, df, stats = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_freq", "stats"))
+    hits = post.where(F.col("term").isin(wanted)) if len(wanted) <= most else post.join(terms.select("term").distinct(), "term", "left_semi")
+    return ranked(hits, terms, df, stats, k)

@@ -12,9 +12,9 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, hop): nodes within ``hops`` undirected steps of the seeds (id), with the least step.
 
     ``edges`` has (src, dst). Each step joins the frontier alone; frontiers are settled so
-    that lineage doesn't double.
+    that lineage doesn't double, and so are the edges, which every step reads.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = settled(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):

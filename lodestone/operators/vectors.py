@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vectors that one block of a search broadcasts, about.
 MAX_QUERIES = 10_000
@@ -22,27 +28,85 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def score_queries(vectors: DataFrame, searches: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, label…, score): each vector against a bounded table of queries.
-
-    ``searches`` has (query_id, query_vec); it is broadcast in blocks of about ``MAX_QUERIES``,
-    so any number may be given.
+def _unit(rows: list, size: int) -> np.ndarray:
+    """Unit vectors in double; zeros for another length or no norm, nulls inside count as 0."""
+    out = np.zeros((len(rows), size))
+    for i, row in enumerate(rows):
+        if len(row) == size:
+            out[i] = [0.0 if x is None else x for x in row]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """:func:`_unit` of an Arrow list column without null rows."""
+    lens = np.diff(column.offsets.to_numpy())
+    if column.values.null_count == 0 and (lens == size).all():
+        start = column.offsets[0].as_py()
+        out = column.values.to_numpy(zero_copy_only=False)[start : start + size * len(column)].astype(np.float64).reshape(-1, size)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+    return _unit(column.to_pylist(), size)
+
+
+def score_queries(
+    vectors: DataFrame, searches: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None, k: int | None = None, by: str | None = None
+) -> DataFrame:
+    """(query_id, id, other columns…, score): cosine of each vector with each query, by matrix products.
+
+    ``searches`` has (query_id, query_vec); it is sent out in blocks of at most ``MAX_QUERIES``,
+    so any number may be given, and each block takes one pass over the vectors. Null vectors
+    have no score; a vector of another length or without a norm has 0. With ``least`` lower
+    scores, and with ``k`` all but the best k per query (and value of ``by``) of a batch are left
+    out before anything is shuffled; ties go to the smaller id.
     """
+    spark = vectors.sparkSession
     rest = [c for c in vectors.columns if c not in (id_col, vec_col)]
-    n = searches.count() if searches.limit(MAX_QUERIES + 1).count() > MAX_QUERIES else 0
-    blocks = max(1, -(-2 * n // MAX_QUERIES))  # half full on average
+    asked = searches.where("query_vec IS NOT NULL").select("query_id", "query_vec")
+    blocks = max(1, -(-asked.count() * 2 // MAX_QUERIES))  # half full on average
+    numbered = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("__v"), *rest)
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), *(numbered.schema[c] for c in ("id", *rest)), T.StructField("score", T.DoubleType())])
     out = None
-    for k in range(blocks):
-        share = searches if blocks == 1 else searches.where(F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(blocks)) == k)
-        scored = (
-            vectors.crossJoin(F.broadcast(share))
-            .withColumn("score", F.round(cosine(F.col(vec_col), F.col("query_vec")), 6))
-            .select("query_id", F.col(id_col).alias("id"), *rest, "score")
-        )
+    for part in range(blocks):
+        share = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(blocks)) == part)
+        rows = share.collect()  # at most about MAX_QUERIES
+        sizes = sorted({len(r.query_vec) for r in rows})
+        held = spark.sparkContext.broadcast([
+            ([r.query_id for r in rows if len(r.query_vec) == n], _unit([r.query_vec for r in rows if len(r.query_vec) == n], n), n) for n in sizes
+        ])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    ids = batch.column(0)
+                    for queries, matrix, size in held.value:
+                        score = np.round(matrix @ _matrix(batch.column(1), size).T, 6) + 0.0
+                        keep = np.ones(score.shape, bool) if least is None else score >= least
+                        if k is not None:
+                            keep &= _best(score, ids, batch.column(batch.schema.get_field_index(by)) if by else None, k)
+                        q, v = np.nonzero(keep)
+                        picked = batch.take(pa.array(v))
+                        columns = [pa.array([queries[i] for i in q], to_arrow_type(schema["query_id"].dataType)), picked.column(0), *(picked.column(i) for i in range(2, 2 + len(rest)))]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(score[q, v])], ["query_id", "id", *rest, "score"])
+
+        scored = numbered.mapInArrow(run, schema)
         out = scored if out is None else out.union(scored)
     return out
 
 
+def _best(score: np.ndarray, ids: pa.Array, groups: pa.Array | None, k: int) -> np.ndarray:
+    """Which of a batch's scores can be among the best ``k`` of their query (and group)."""
+    keep = np.zeros(score.shape, bool)
+    by_id = pc.sort_indices(ids).to_numpy()
+    codes = groups.dictionary_encode().indices.fill_null(-1).to_numpy() if groups is not None else np.zeros(len(ids), np.int64)
+    for code in np.unique(codes):
+        own = by_id[codes[by_id] == code]  # in the order of ids, so that a stable sort breaks ties
+        first = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
+        np.put_along_axis(keep, own[first], True, axis=1)
+    return keep
+
+
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
     """Best ``k`` per ``by`` with rank; ties go to the smaller id."""
     order = W.partitionBy(*by).orderBy(F.desc("score"), F.asc("id"))
@@ -50,11 +114,14 @@ def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 0) -> DataFrame:
-    """(a, b, score) with a < b and score at least ``threshold``, exact.
+    """(a, b, score) with a < b and score at least ``threshold`` (over 0), exact.
+
+    Null vectors and vectors of different lengths make no pair.
 
     Blocks of vectors meet as matrices: each row goes to the blocks it must meet, so the
     shuffle is rows times blocks and no pair below the threshold leaves a task.
     """
+    vectors = vectors.where(F.col(vec_col).isNotNull())
     n = vectors.count()
     blocks = max(1, int(np.ceil(n / 4000)))
     numbered = vectors.select(
@@ -67,16 +134,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
         import pandas as pd
 
         low, high = divmod(int(key[0]), blocks)
-        m = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.where(norm > 0, m / np.where(norm > 0, norm, 1), 0)
+        lens = pdf["v"].map(len)
+        m = _unit(pdf["v"].tolist(), int(lens.max()) if len(pdf) else 1)
         ids, blk = pdf["id"].to_numpy(), pdf["blk"].to_numpy()
         left, right = np.flatnonzero(blk == low), np.flatnonzero(blk == high)
         found = []
         for at in range(0, len(left), 1024):
             part = left[at : at + 1024]
-            score = np.round(m[part] @ m[right].T, 6)
-            x, y = np.nonzero(score >= threshold)
+            score = np.round(m[part] @ m[right].T, 6) + 0.0
+            x, y = np.nonzero((score >= threshold) & (lens.to_numpy()[part][:, None] == lens.to_numpy()[right][None]))
             a, b = ids[part[x]], ids[right[y]]
             keep = a < b if low == high else a != b
             found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[x, y][keep]}))
