@@ -144,8 +144,10 @@ def test_no_kind_runs_out(spark):
     letters = "abcdefghijklmnopqrst"
     names = ["".join(x).title() for x in product(letters, letters, letters, "abcde")]
     phones = [f"+1 {a:02d} {b:02d}" for a in range(40) for b in range(100)]
-    rows = [(i, " ; ".join(part)) for i, part in enumerate([mails, [f"Mr {n}" for n in names], phones])]
-    out = {r.doc_id: r.text.split(" ; ") for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
-    for before, after in zip((mails, [f"Mr {n}" for n in names], phones), (out[0], out[1], out[2])):
+    kinds = [mails, [f"Mr {n}" for n in names], phones]
+    rows = [(i * 1000 + k // 100, " ; ".join(part[k : k + 100])) for i, part in enumerate(kinds) for k in range(0, len(part), 100)]
+    out = {r.doc_id: r.text.split(" ; ") for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "k").collect()}
+    for i, before in enumerate(kinds):
+        after = [x for d in sorted(out) if d // 1000 == i for x in out[d]]
         assert len(after) == len(before) == len(set(after))
         assert not set(after) & set(before)
