@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items of a bank that one pass broadcasts.
-BANK_BLOCK = 1000
+from lodestone.functions.text import words as text_words
+
+#: Items of a bank, and keywords of a dictionary, that one pass sends out.
+BANK_BLOCK, KEYWORDS_PER_PASS = 1000, 10_000
 #: Our own small neutral dictionary: (keyword, category, code). Categories may share a code.
 RULES = (
     ("blend", "kitchen", "C2"), ("pathetic", "rude", "C3"), ("worthless", "rude", "C3"), ("token", "credential", "C4"),
@@ -19,15 +21,53 @@ RULES = (
 def detections(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keyword, category, code) for each keyword that a text contains, case aside.
 
-    ``rules`` is a dictionary of bounded size and goes to every task; texts are scanned once.
+    A dictionary of any size may be given: blocks of at most :data:`KEYWORDS_PER_PASS` rows go
+    to every task, and each takes one scan of the texts, which are lower-cased once.
+    """
+    n = rules.count()
+    passes = max(1, -(-2 * n // KEYWORDS_PER_PASS)) if n > KEYWORDS_PER_PASS else 1  # half full on average
+    lower = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    out = []
+    for k in range(passes):
+        words = [tuple(r) for r in rules.where(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == k).select("keyword", "category", "code").collect()]
+        entry = F.array(*[F.struct(F.lit(w.lower()).alias("low"), F.lit(w).alias("keyword"), F.lit(c).alias("category"), F.lit(n).alias("code")) for w, c, n in words])
+        if not words:
+            continue
+        hits = lower.select("id", F.explode(F.filter(entry, lambda e: F.col("low").contains(e["low"]))).alias("h"))
+        out.append(hits.select("id", "h.keyword", "h.category", "h.code"))
+    if not out:
+        return lower.limit(0).select("id", *[F.lit("").alias(c) for c in ("keyword", "category", "code")])
+    return reduce(DataFrame.unionByName, out)
+
+
+def first_hits(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, word, place): the word of the list that comes first in a text, and where, from 1; ties to the first listed."""
+    text = F.col(text_col)
+    found = F.array(*[F.struct(F.nullif(F.position(F.lit(w), text), F.lit(0)).alias("place"), F.lit(i).alias("i"), F.lit(w).alias("word")) for i, w in enumerate(words)])
+    first = F.array_min(F.filter(found, lambda x: x["place"].isNotNull()))
+    hits = docs.select(F.col(id_col).alias("id"), first.alias("f")).where("f IS NOT NULL")
+    return hits.select("id", "f.word", F.col("f.place").cast("long").alias("place"))
+
+
+def segmented(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keyword, way): listed words that a text contains (substring), or that are one of its words in lower case (word)."""
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), text_words(F.col(text_col)).alias("w"))
+    ways = [(F.lit(w), F.col("t").contains(w), F.array_contains("w", w)) for w in words]
+    made = [F.when(hit, F.struct(w.alias("keyword"), F.lit(way).alias("way"))) for w, part, whole in ways for hit, way in ((part, "substring"), (whole, "word"))]
+    return cut.select("id", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("h")).select("id", "h.*")
+
+
+def staged(docs: DataFrame, blocked: list[str], rules: DataFrame, bank: DataFrame) -> DataFrame:
+    """(doc_id, code, reason) of the first stage that finds something; the stages go by their codes, not by time.
+
+    C1 is a blocked word, C2 and on the dictionary's least code, C35 an item of the bank (the least).
     """
-    words = [tuple(r) for r in rules.select("keyword", "category", "code").collect()]
-    if len(words) > 10_000:
-        raise ValueError("the dictionary must be cut into blocks of 10000 keywords")
-    lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = F.array(*[F.when(lower.contains(k.lower()), F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category"), F.lit(n).alias("code"))) for k, c, n in words])
-    hits = docs.select(F.col(id_col).alias("id"), F.filter(found, lambda x: x.isNotNull()).alias("hits"))
-    return hits.select("id", F.explode("hits").alias("h")).select("id", "h.*")
+    one = first_hits(docs, blocked).select(F.col("id").alias("doc_id"), F.lit(1).alias("stage"), F.lit("C1").alias("code"), F.col("word").alias("reason"))
+    two = verdicts(detections(docs, rules)).select(F.col("id").alias("doc_id"), F.lit(2).alias("stage"), "code", F.lit("category").alias("reason"))
+    held = contained(docs.select("doc_id", "text"), bank).groupBy("doc_id").agg(F.min("item_id").alias("item"))
+    three = held.select("doc_id", F.lit(3).alias("stage"), F.lit("C35").alias("code"), F.concat(F.lit("item "), "item").alias("reason"))
+    best = one.unionByName(two).unionByName(three).groupBy("doc_id").agg(F.min(F.struct("stage", "code", "reason")).alias("r"))
+    return best.select("doc_id", "r.code", "r.reason")
 
 
 def verdicts(found: DataFrame) -> DataFrame:

@@ -63,11 +63,6 @@ def sentence_split(s, d):
     return _docs(s, d).select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
 
 
-def chunk_parent_child(s, d):
-    packed = _docs(s, d).select("doc_id", F.posexplode(chunking.pack(chunking.sentences(F.col("text")), 128)).alias("pos", "c"))
-    return packed.select("doc_id", "pos", F.concat_ws("_", "doc_id", F.lit("chunk"), "pos").alias("chunk_id"), F.col("c.tokens").alias("tokens"), F.md5("c.text").alias("digest"))
-
-
 def chunk_grid(s, d):
     return _docs(s, d).select("doc_id", F.posexplode(chunking.windows(F.col("text"), 512, 64)).alias("pos", "c")).select("doc_id", "pos", F.md5("c").alias("digest"))
 
@@ -160,7 +155,7 @@ def _contains(*keys):
 
 QUERIES = {f.__name__: f for f in (
     dedup_exact, dedup_key_first, dedup_best_score, duplicate_counts, moderation_details, moderation_verdict, moderation_codes, moderation_categories,
-    question_bank_match, sentence_split, chunk_parent_child, chunk_grid, chunk_summary, keyword_jaccard, keyword_md5, ids_md5, clean_text, emotion_rules,
+    question_bank_match, sentence_split, chunk_grid, chunk_summary, keyword_jaccard, keyword_md5, ids_md5, clean_text, emotion_rules,
     quality_gate, html_title, html_links, html_text, content_valid, trending_classify, resume_anti_join)}
 ORACLE = {
     "dedup_exact": f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY md5({_NORM}) ORDER BY doc_id) AS r FROM documents) WHERE r = 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "retrieval", "corpus", "activity", "records", "decisions")
+MODULES = ("lexical", "retrieval", "corpus", "activity", "records", "decisions", "contexts", "stores", "knowledge")
 
 
 def _all(what: str) -> dict:
