@@ -97,10 +97,17 @@ def mux_frames(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(first), head, payload))
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, first byte of the body, end) of every box, parents before children."""
-    end = len(data) if end is None else end
-    while start < end:
+#: Boxes within boxes that are walked; the standard's own nesting has at most about ten.
+DEEPEST = 64
+
+
+def walk(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple, int, int]]:
+    """(path, first byte of the body, end) of every box, parents before children; without recursion."""
+    levels: list[tuple[int, int, tuple]] = [(start, len(data) if end is None else end, ())]  # place, end and path of each open box
+    while levels:
+        start, end, path = levels.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise BadMedia(f"{end - start} bytes left over at {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -115,9 +122,11 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple =
         if size < body - start or start + size > end:
             raise BadMedia(f"box {kind!r} at {start} has size {size}")
         yield (*path, kind), body, start + size
+        levels.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= DEEPEST:
+                raise BadMedia(f"boxes are nested more than {DEEPEST} deep")
+            levels.append((body, start + size, (*path, kind)))
 
 
 @dataclass
@@ -150,6 +159,8 @@ def read_tracks(data: bytes) -> list[Track]:
     tables: list[dict] = []
     for path, at, end in walk(view):
         kind = path[-1]
+        if kind == b"moof":
+            raise BadMedia("a fragmented file; its samples are not in the tables")
         if kind == b"trak":
             tracks.append(Track())
             tables.append({})
@@ -182,7 +193,10 @@ def read_tracks(data: bytes) -> list[Track]:
         runs = own.get("runs", np.zeros((0, 3), np.int64))
         if not len(runs) or not len(chunks):
             raise BadMedia("samples without chunks")
-        per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(chunks)]))
+        lengths = np.diff(np.r_[runs[:, 0] - 1, len(chunks)])
+        if runs[0, 0] != 1 or (lengths <= 0).any():
+            raise BadMedia("runs of chunks are out of order")
+        per = np.repeat(runs[:, 1], lengths)
         if per.sum() != n or len(per) != len(chunks):
             raise BadMedia("chunks and samples differ in number")
         ends = np.cumsum(track.sizes)
@@ -240,10 +254,19 @@ def _store_column(payload: pa.Array) -> pa.Array:
     return pa.array([mux_frames(padded(x.as_py() or b"")) for x in payload], pa.binary())
 
 
+def _samples(data: bytes | None) -> bytes | None:
+    if data is None:
+        return None
+    try:
+        tracks = read_tracks(data)
+    except BadMedia:
+        return None
+    return read_samples(data, tracks[0]) if tracks else None
+
+
 @F.arrow_udf(T.BinaryType())
 def _samples_column(media: pa.Array) -> pa.Array:
-    found = (read_tracks(data) if (data := x.as_py()) is not None else [] for x in media)
-    return pa.array([read_samples(x.as_py(), t[0]) if t else None for x, t in zip(media, found)], pa.binary())
+    return pa.array([_samples(x.as_py()) for x in media], pa.binary())
 
 
 def store(payload: Column) -> Column:
@@ -260,7 +283,7 @@ def probe(media: Column) -> Column:
 
 
 def samples(media: Column) -> Column:
-    """The first track's sample bytes read back through its tables; null for null."""
+    """The first track's sample bytes read back through its tables; null for null and for what can't be read."""
     return _samples_column(media)
 
 

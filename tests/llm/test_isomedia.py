@@ -59,3 +59,21 @@ def test_columns(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
     none = spark.createDataFrame([(None,)], "m binary")
     assert none.select(im.probe(F.col("m")).alias("i"), im.samples(F.col("m")).alias("s")).collect()[0] == (None, None)
+
+
+def test_malformed_files_give_an_error():
+    good = im.mux_frames(im.padded(b"x" * 192 * 60))
+    at = good.index(b"stsc") + 12
+    assert im._probe(good)["n_samples"] == 60
+    for first, second in ((2, 1), (1, 1), (0, 2), (1, 9)):
+        bad = bytearray(good)
+        bad[at : at + 4], bad[at + 12 : at + 16] = first.to_bytes(4, "big"), second.to_bytes(4, "big")
+        assert "order" in im._probe(bytes(bad))["error"]
+    deep = b""
+    for _ in range(3000):
+        deep = im._box(b"moov", deep)
+    assert "deep" in im._probe(deep)["error"]
+    fragmented = im._box(b"ftyp", b"isom") + im._box(b"moov", im._box(b"trak")) + im._box(b"moof", im._box(b"traf")) + im._box(b"mdat", b"x")
+    assert "fragmented" in im._probe(fragmented)["error"]
+    with pytest.raises(im.BadMedia):
+        im.read_tracks(fragmented)
