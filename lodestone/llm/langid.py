@@ -7,9 +7,11 @@ not hold is scored by its 4-grams, or where it holds none of those by 3-, 2- and
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,20 @@ from lodestone.sources.shared import settled
 
 #: Most labelled documents that a model is fitted on: the first by hash of doc_id.
 MAX_LABELLED = 3000
-#: Most words and most n-grams of each length that a model holds: the commonest.
-MAX_WORDS, MAX_GRAMS = 60_000, 20_000
+#: Most words and most n-grams of each length that a model holds of all languages together: the commonest of each language.
+MAX_WORDS, MAX_GRAMS = 80_000, 24_000
 LONGEST = 4
 SMOOTH = 0.5
 UNKNOWN = "und"
 FOLDS, LEFT = 4, 2
 #: Unseen words whose vectors a worker keeps; beyond it the table starts anew.
 KEPT = 150_000
-#: Texts whose unseen words are looked up together.
-BLOCK = 512
+#: Texts, and characters of them, whose unseen words are looked up together.
+BLOCK, BLOCK_CHARS = 512, 4_000_000
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Signs that count as word characters but are no letters, such as ² and ½.
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORDS = re.compile(f"[^\\W_{re.escape(_SIGNS)}]+").findall
 
 
 def words(text: str) -> list[str]:
@@ -139,10 +143,12 @@ def _grams_of(counts: DataFrame, n: int) -> DataFrame:
     return found.select("lang", F.explode(cut).alias("term"), "times").groupBy("lang", "term").agg(F.sum("times").alias("times"))
 
 
-def fit(docs: DataFrame, limit: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, limit: int = MAX_LABELLED, most_words: int = MAX_WORDS, most_grams: int = MAX_GRAMS) -> Model:
     """A model from (doc_id, text, lang) rows with text and language, at most ``limit`` ids.
 
-    Counting is distributed; only the commonest terms, a fixed number, reach the driver.
+    Counting is distributed; of each language its commonest terms reach the driver, an equal
+    share of ``most_words`` words and ``most_grams`` n-grams of each length, so that a rare
+    language keeps its words.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -150,11 +156,15 @@ def fit(docs: DataFrame, limit: int = MAX_LABELLED) -> Model:
     counts = picked.select("lang", "text").mapInArrow(_count, "lang string, term string, times long")
     counts = settled(counts.groupBy("lang", "term").agg(F.sum("times").alias("times")))
     rows = []
+    known_langs = [r.lang for r in counts.select("lang").distinct().collect()]
     for n in range(LONGEST + 1):
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "times")))  # one entry per language
-        terms = (_grams_of(counts, n) if n else counts).groupBy("term").agg(F.sum("times").alias("all"), by_lang.alias("by"))
-        most = MAX_GRAMS if n else MAX_WORDS
-        rows += [(n, r.term, r.by) for r in terms.orderBy(F.desc("all"), "term").limit(most).collect()]
+        every = settled(_grams_of(counts, n)) if n else counts
+        share = (most_grams if n else most_words) // max(1, len(known_langs))
+        best = [every.where(F.col("lang") == lang).orderBy(F.desc("times"), "term").limit(share).select("term") for lang in known_langs]
+        if best:
+            terms = every.join(reduce(DataFrame.union, best).distinct(), "term", "left_semi").groupBy("term").agg(by_lang.alias("by"))
+            rows += [(n, r.term, r.by) for r in terms.orderBy("term").collect()]
     langs = sorted({lang for _, _, by in rows for lang in by})
     table = np.zeros((len(rows), len(langs)))
     for i, (_, _, by) in enumerate(rows):
@@ -168,13 +178,20 @@ def fit(docs: DataFrame, limit: int = MAX_LABELLED) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``; und and 0 where text is null or has no letter."""
+    """``docs`` with ``lang_pred`` and ``lang_score``, in place of columns of these names; und and 0 where text is null or has no letter."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     result = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     @F.arrow_udf(result)
     def predict(texts: pa.Array) -> pa.Array:
-        found = [f for at in range(0, len(texts), BLOCK) for f in held.value.predict_block(texts[at : at + BLOCK].to_pylist())]
+        found, block, size = [], [], 0
+        for text in texts:
+            block.append(text.as_py())
+            size += len(block[-1] or "")
+            if len(block) == BLOCK or size >= BLOCK_CHARS:
+                found += held.value.predict_block(block)
+                block, size = [], 0
+        found += held.value.predict_block(block)
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "lang_score"]
         )
