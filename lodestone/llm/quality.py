@@ -113,9 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, label_col
     """A model from the labelled rows of ``docs`` (doc_id, text), at most ``limit`` of them.
 
     Rows are taken by hash of doc_id. Null ids, texts or labels teach nothing; an id with
-    several labels counts with the least, one with several texts with the first by hash.
+    several labels counts with the least, one with several texts with that of the least feature bytes.
+    Labels may be of any numeric type.
     """
-    known = labels.where(f"doc_id IS NOT NULL AND {label_col} IS NOT NULL").groupBy("doc_id").agg(F.min(label_col).alias("y"))
+    known = labels.where(f"doc_id IS NOT NULL AND {label_col} IS NOT NULL").groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
     present = known.join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
