@@ -99,23 +99,26 @@ def fit(table: DataFrame, limit: int = MAX_LABELLED) -> Model:
     rows = table.where("label IS NOT NULL").select(host(F.col("url")), path(F.col("url")), "label").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"the labelled table has more than {limit} rows")
-    x = np.zeros((len(rows), (1 << BITS) + 1), np.float64)
-    for i, (h, p, _) in enumerate(rows):
-        index = hashed(h, p)
-        x[i, index] = 1 / np.sqrt(max(1, len(index)))
-    x[:, -1] = 1
+    grams = [hashed(h, p) for h, p, _ in rows]
+    sizes = np.array([max(1, len(g)) for g in grams], np.int64)
+    flat = np.concatenate([g if len(g) else np.array([1 << BITS]) for g in grams]) if rows else np.zeros(0, np.int64)
+    row, scale = np.repeat(np.arange(len(rows)), sizes), 1 / np.sqrt(sizes)
     y = np.array([r[2] for r in rows], np.float64)
-    weights = np.zeros(x.shape[1])
+    weights = np.zeros((1 << BITS) + 1)
     for _ in range(ROUNDS if len(rows) else 0):
-        miss = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) - y
-        weights -= RATE * (x.T @ miss / len(y) + SHRINK * np.r_[weights[:-1], 0])
+        z = np.bincount(row, weights[flat] * (flat < 1 << BITS), len(rows)) * scale + weights[-1]
+        miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        slope = np.bincount(flat, (miss * scale)[row], len(weights))
+        slope[-1] = miss.sum()
+        weights -= RATE * (slope / len(y) + SHRINK * np.r_[weights[:-1], 0])
     return Model(weights)
 
 
 def judge(pages: DataFrame, model: Model, rules: tuple = RULES, cut: float = 0.5, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, probability and verdict (allow or block).
 
-    A rule's verdict goes before the model's. A null URL or one without :// has empty host
+    URLs are taken whole, however long, and repeated rows are judged alike. A rule's verdict goes
+    before the model's. A null URL or one without :// has empty host
     and path; the labelled table holds the empty URL as wanted. Columns of these names are
     replaced.
     """
