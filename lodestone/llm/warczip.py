@@ -14,6 +14,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -38,6 +39,11 @@ class BadZip(ValueError):
     """The bytes are not a package that can be read."""
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; a path without a scheme is local."""
+    return fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", uri))
+
+
 def _read(file, start: int, size: int) -> bytes:
     file.seek(start)
     data = file.read(size)
@@ -155,18 +161,18 @@ def _writer(folder: str):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         done: list[tuple[str, int, int]] = []
         records, index, size = [], [], 0
 
         def close() -> None:
             nonlocal records, index, size
-            name = f"{base}/{uuid.uuid4().hex}.wacz"
+            name = f"{uuid.uuid4().hex}.wacz"
             data = _package(b"".join(records), index)
             store.create_dir(base, recursive=True)
-            with store.open_output_stream(name) as out:
+            with store.open_output_stream(f"{base}/{name}") as out:
                 out.write(data)
-            done.append((name, len(data), len(index)))
+            done.append((f"{folder.rstrip('/')}/{name}", len(data), len(index)))
             records, index, size = [], [], 0
 
         for batch in batches:
@@ -209,8 +215,11 @@ def decide(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as packages; returns (path, bytes, records) of each.
 
-    ``folder`` is a URI that all executors share; a new one below the session's shared folder
-    by default. The list is settled, so packages are written once.
+    ``page_id`` is a whole number. ``folder`` is a URI that all executors share, of a file system
+    that Arrow knows (file, hdfs, s3, gs, …); a new one below the session's shared folder by
+    default. Paths keep its scheme. The list is settled, so packages are written once; they stay
+    until the caller removes them. A package is built in memory: 32 MB of records, or one page
+    where that is more.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     return settled(decide(pages).mapInArrow(_writer(folder), "path string, bytes long, records long"))
@@ -251,9 +260,9 @@ def _reader(payloads: bool):
         schema = _RECORD if payloads else pa.schema(list(_RECORD)[:-1])
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, _ = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store, place = _store(path)
                 rows, held = [], 0
-                with store.open_input_file(path) as file:
+                with store.open_input_file(place) as file:
                     for row in read_package(file, file.size()):
                         rows.append(row[: len(schema)])
                         held += row[1] if payloads else 64

@@ -2,6 +2,7 @@ import hashlib
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import warczip as wz
@@ -52,3 +53,25 @@ def test_round_trip(spark, monkeypatch):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == sorted(want)
     assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
     assert wz.read_archives(wz.write_archives(df.limit(0))).collect() == []
+
+
+def test_paths_keep_the_scheme(monkeypatch, tmp_path):
+    """A store that isn't the local disk: writer and reader both go by the URI."""
+    asked = []
+
+    def store(uri):
+        asked.append(uri)
+        assert uri.startswith("far://bucket/dir")
+        return wz.fs.SubTreeFileSystem(str(tmp_path), wz.fs.LocalFileSystem()), uri.removeprefix("far://bucket/")
+
+    monkeypatch.setattr(wz, "_store", store)
+    page = pa.RecordBatch.from_pylist([{"page_id": 7, "url": "u", "html": "x" * 5, "n": 5, "sha1": hashlib.sha1(b"x" * 5).hexdigest(), "type": "response", "keep": None}])
+    (listed,) = wz._writer("far://bucket/dir/")([page])
+    assert listed["path"][0].as_py().startswith("far://bucket/dir/") and len(list((tmp_path / "dir").iterdir())) == 1
+    (back,) = wz._reader(True)([listed.select(["path"])])
+    assert back.to_pylist()[0]["payload"] == b"xxxxx" and len(asked) == 2
+
+
+def test_local_forms_of_a_folder(tmp_path):
+    for form in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        assert wz._store(form)[1] == str(tmp_path)
