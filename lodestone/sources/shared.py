@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """URI of the cluster's shared folder: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) is a local folder made and set.
+    Only where the session names none and runs on one machine (as in tests) is a local folder
+    made and set; on a cluster that is an error, for executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lodestone-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -30,3 +33,9 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and reread from the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, by Spark's own file system classes; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
