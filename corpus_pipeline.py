@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, copies, decontam, pii, quality
 from lodestone.llm.names import fresh
 from lodestone.session import ship
-from lodestone.sources.shared import new_folder
+from lodestone.sources.shared import new_folder, remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +39,20 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text (little-endian unsigned 32-bit), and whether they spell it again."""
+    """Token ids of every text (little-endian unsigned 32-bit), their number, and whether they spell it again.
+
+    All columns stay; one named ``token_ids``, ``n_tokens`` or ``round_trip`` is replaced.
+    """
     ship(spark)
     path, pattern = bpe.default_vocabulary()
-    both = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path, pattern)
-    return both.select(
-        "doc_id", "text", "lang", "source", "n_chars", "token_ids",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
-    )
+    ids, back = fresh(docs, "__ids"), fresh(docs, "__back")
+    both = bpe.decode_documents(bpe.encode_documents(docs, path, pattern, out=ids), path, pattern, ids_col=ids, out=back)
+    made = {
+        "token_ids": F.col(ids),
+        "n_tokens": (F.octet_length(ids) / 4).cast("long"),
+        "round_trip": F.col(back) == F.coalesce("text", F.lit("")).cast("binary"),
+    }
+    return both.select(*[f"`{c}`" for c in docs.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 STAGES = [
@@ -63,10 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and reread."""
+    """All stages over ``documents``; each is written to the shared folder and reread, and the one before it removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = new_folder(spark, "pipeline")
+    folder, before = new_folder(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
