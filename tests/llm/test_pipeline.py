@@ -48,6 +48,9 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         assert done.columns == more.columns, name
         for r in done.collect():
             assert all(r[c] == (c if r.doc_id is None else f"{c} {r.doc_id}") for c in clashing), name
-    last = cp.STAGES[-1][1](spark, table, SF)
+    more = table.withColumn("__ids", F.lit("a")).withColumn("__back", F.lit("b")).withColumn("decoded", F.lit("c")).withColumn("round_trip", F.lit("d"))
+    last = cp.STAGES[-1][1](spark, more, SF)
+    assert last.columns == [*[c for c in more.columns if c != "round_trip"], "token_ids", "n_tokens", "round_trip"]
+    assert {(r["__ids"], r["__back"], r.decoded, r.fp) for r in last.collect()} == {("a", "b", "c", "extra")}
     assert last.count() == table.count() and last.where("NOT round_trip").count() == 0
     assert pii.DEMO_KEY
