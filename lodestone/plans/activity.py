@@ -52,8 +52,9 @@ def metrics_level_rollup(s, d):
 
 
 def metrics_stream_hourly(s, d):
+    """Hours that the watermark, two hours behind the last event, has closed."""
     kind = table(s, d, "events").schema
-    return rollups.drained(rollups.hourly(s.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)), "complete")
+    return rollups.drained(rollups.hourly(s.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)))
 
 
 def style_state_stream(s, d):
@@ -155,7 +156,7 @@ ORACLE = {
     "metrics_by_model_key": "SELECT event_type, user_id, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY GROUPING SETS ((event_type), (user_id))",
     "metrics_running": "SELECT event_id, count(*) OVER w AS calls, min(value) OVER w AS least, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "metrics_level_rollup": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ROLLUP (event_type, strftime(ts, '%Y-%m-%d'))",
-    "metrics_stream_hourly": f"SELECT {_HOUR} AS hour, count(*) AS calls, {_ERR} AS errors, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
+    "metrics_stream_hourly": f"SELECT {_HOUR} AS hour, count(*) AS calls, {_ERR} AS errors, round(avg(value), 6) AS mean_value FROM events GROUP BY 1 HAVING min(date_trunc('hour', ts)) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)",
     "style_state_stream": "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1",
     "rate_limit": f"SELECT user_id, {_HOUR} AS hour, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
     "session_last_n": "SELECT conv_id, turn, role, substring(text, 1, 200) AS text, CAST(r AS INTEGER) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.operators import batches, caching, dedup, entities, vectors
+from lodestone.plans.retrieval import _COS
 from lodestone.session import ship
 from lodestone.sources import files, sinks
 from lodestone.sources.shared import new_folder
@@ -59,7 +60,7 @@ def sink_bounded_files(s, d):
     folder = new_folder(s, "files")
     sinks.bounded_files(table(s, d, "documents").select("doc_id"), folder, 100)
     by_file = s.read.parquet(folder).select("_metadata.file_path").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    return by_file.agg(F.sum("n").alias("total"), F.max(F.col("n") <= 100).alias("bounded"))
+    return by_file.agg(F.sum("n").alias("total"), F.every(F.col("n") <= 100).alias("bounded"))
 
 
 def sink_log_by_day(s, d):
@@ -191,10 +192,13 @@ def feeds_union(s, d):
 
 
 def topic_pick(s, d):
-    """One part for each brand: not of the largest size, then by size, retail price and key."""
-    fresh = table(s, d, "part").where("p_size < 45")
-    best = fresh.groupBy("p_brand").agg(F.min(F.struct((-F.col("p_size")).alias("a"), (-F.col("p_retailprice")).alias("b"), "p_partkey")).alias("t"))
-    return best.select("p_brand", "t.p_partkey")
+    """For each user the topic to bring up: of those not seen in the last 24 hours the one of highest priority, then most often seen."""
+    events = table(s, d, "events").select("user_id", F.col("event_type").alias("topic"), "ts", "value")
+    seen = events.groupBy("user_id", "topic").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("times"), F.max("value").alias("priority"))
+    end = events.agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("since"))
+    old = seen.crossJoin(F.broadcast(end)).where("last < since")  # one row
+    best = old.groupBy("user_id").agg(F.min(F.struct((-F.col("priority")).alias("a"), (-F.col("times")).alias("b"), "topic")).alias("t"))
+    return best.select("user_id", "t.topic", (-F.col("t.b")).alias("times"))
 
 
 def _quoted(words) -> str:
@@ -236,5 +240,10 @@ FROM (SELECT lang, CASE WHEN source LIKE '%1' THEN 1 WHEN source LIKE '%5' THEN
     "best_source": """SELECT day, event_type, rate FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rate DESC, event_type) AS r
 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(avg((value > 50)::INTEGER), 6) AS rate FROM events GROUP BY ALL)) WHERE r = 1""",
     "feeds_union": "SELECT 'benchmark' AS category, CAST(item_id AS BIGINT) AS id, substring(text, 1, 200) AS summary FROM benchmark UNION ALL SELECT 'pages', page_id, substring(url, 1, 200) FROM pages UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), n_name FROM nation",
-    "topic_pick": "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size < 45) WHERE r = 1",
+    "topic_pick": """SELECT user_id, topic, times FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, times DESC, topic) AS r FROM (SELECT user_id, event_type AS topic, max(ts) AS last, count(*) AS times, max(value) AS priority FROM events GROUP BY ALL)
+WHERE last < (SELECT max(ts) - INTERVAL 24 HOUR FROM events)) WHERE r = 1""",
 }
+ORACLE["semantic_dedup_greedy"] = f"""WITH RECURSIVE pr AS (SELECT e.vec_id AS a, q.vec_id AS b FROM embeddings e JOIN embeddings q ON e.vec_id < q.vec_id AND {_COS} >= 0.3),
+o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings WHERE vec_id IN (SELECT a FROM pr UNION SELECT b FROM pr)),
+k AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT o.r, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.b = o.id AND list_contains(k.kept, pr.a)) THEN k.kept ELSE list_append(k.kept, o.id) END FROM k JOIN o ON o.r = k.r + 1),
+z AS (SELECT kept FROM k ORDER BY r DESC LIMIT 1) SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM o) OR list_contains((SELECT kept FROM z), vec_id)"""

@@ -139,3 +139,11 @@ def test_multi_match(spark):
     names = spark.createDataFrame([(1, "Blue Bolt"), (2, "bolt"), (3, "red"), (4, None), (5, "")], "id int, name string")
     got = [(r.query, r.id, r.score, r["rank"]) for r in entities.multi_match(names, ["blue bolt", "bolts"], k=2).orderBy("query", "rank").collect()]
     assert got == [("blue bolt", 1, 2.4, 1), ("blue bolt", 2, 0.6, 2), ("bolts", 2, round(0.8 * round(8 / 9, 6) + 0.6, 6), 1)]
+
+
+def test_unbounded_files_are_told(spark, tmp_path):
+    """The check of bounded files fails where a single file holds more."""
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "few"))
+    spark.range(500).coalesce(1).write.parquet(str(tmp_path / "many"))
+    by_file = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path)).groupBy("_metadata.file_path").count()
+    assert by_file.selectExpr("every(count <= 100)").first()[0] is False
