@@ -153,3 +153,70 @@ def test_signs_are_no_letters():
     model = langid.Model(["en"], {"a": 0}, quality.np.zeros((1, 1)))
     assert [p[0] for p in model.predict_block(["²³ ½ Ⅷ 12", "a½", "", None])] == ["und", "en", "und", "und"]
     assert langid.words("x²y ½ 一二 Ünï") == ["x", "y", "一二", "ünï"]
+
+
+def plain_language(train, text):
+    """Words first, then the longest known n-grams, written out: (language, score) by smoothed log frequencies."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    cut = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    tables = [{} for _ in range(5)]  # words, then n-grams by length: term to times by language
+    for lang, own in train:
+        for w in letters(own):
+            for n in range(5):
+                for g in cut(w, n) if n else [w]:
+                    by = tables[n].setdefault(g, {})
+                    by[lang] = by.get(lang, 0) + 1
+    langs = sorted({lang for lang, _ in train})
+    total = [{k: sum(by.get(k, 0) for by in t.values()) for k in langs} for t in tables]
+    log = lambda n, g, k: math.log((tables[n][g].get(k, 0) + 0.5) / (total[n][k] + 0.5 * len(tables[n])))
+    found = []
+    for w in letters(text or ""):
+        if w in tables[0]:
+            found.append({k: log(0, w, k) for k in langs})
+            continue
+        for n in (4, 3, 2, 1):
+            known = [g for g in cut(w, n) if g in tables[n]]
+            if known:
+                found.append({k: sum(log(n, g, k) for g in known) / len(known) for k in langs})
+                break
+    if not letters(text or ""):
+        return "und", 0.0
+    mean = {k: sum(f[k] for f in found) / max(1, len(found)) for k in langs}
+    best = min(langs, key=lambda k: (-round(mean[k], 12), k))
+    share = {k: math.exp((mean[k] - mean[best]) * min(max(1, len(found)), 20)) for k in langs}
+    return best, share[best] / sum(share.values())
+
+
+def test_language_against_a_plain_version(spark):
+    train = [("en", "the cat and the dog sat on the mat"), ("de", "der Hund und die Katze saßen auf der Matte"), ("fr", "le chat et le chien étaient sur le tapis"), ("en", "a dog is not a cat"), ("de", "ein Hund ist keine Katze")]
+    texts = ["the dog", "die Katzen", "chiens et chats", "matter of mats", "zzz", "", None, "½ 12", "Hund dog chien", "été", "qqq the"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(train)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    asked = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, extra string")
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.identify(asked, model).collect()}
+    for i, text in enumerate(texts):
+        lang, score = plain_language(train, text)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-5, text
+
+
+def test_quality_fit_against_a_full_decomposition():
+    """The projection spans what the exact singular vectors span, and votes follow by hand."""
+    rng = np.random.default_rng(2)
+    base = rng.random((6, quality.DIM)).astype(np.float32) * (rng.random((6, quality.DIM)) < 0.1)
+    rows = np.vstack([base[i % 6] * rng.uniform(0.5, 2) for i in range(40)]).astype(np.float32)
+    labels = np.array([i % 6 < 3 for i in range(40)], np.float32)
+    model = quality.fit_rows(rows, labels)
+    weights = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 0.3
+    scaled = rows * weights
+    scaled /= np.linalg.norm(scaled, axis=1, keepdims=True)
+    _, sizes, vt = np.linalg.svd(scaled, full_matrices=False)
+    top = vt[sizes > 1e-3]
+    assert np.allclose(model.weights, weights, atol=1e-4) and np.allclose(np.linalg.norm(top @ model.projection, axis=1), 1, atol=1e-3)
+    probe = rows[:5] + rng.random((5, quality.DIM)).astype(np.float32) * 0.05
+    got = model.score(probe)
+    for p, score in zip(probe, got):
+        own = model.reduce(p[None])[0]
+        cosine = [float(own @ v) for v in model.vectors]
+        least = sorted(cosine)[-quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality.POWER, y) for c, y in zip(cosine, labels) if c >= least - 1e-7]
+        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3
