@@ -33,7 +33,7 @@ def _unit(rows: list, size: int) -> np.ndarray:
     out = np.zeros((len(rows), size))
     for i, row in enumerate(rows):
         if len(row) == size:
-            out[i] = [0.0 if x is None else x for x in row]
+            out[i] = [0.0 if x is None or x != x else x for x in row]
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -135,7 +135,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
 
         low, high = divmod(int(key[0]), blocks)
         lens = pdf["v"].map(len)
-        m = _unit(pdf["v"].tolist(), int(lens.max()) if len(pdf) else 1)
+        size = int(lens.max()) if len(pdf) else 1
+        m = _unit([[*v, *[0.0] * (size - len(v))] for v in pdf["v"]], size)
         ids, blk = pdf["id"].to_numpy(), pdf["blk"].to_numpy()
         left, right = np.flatnonzero(blk == low), np.flatnonzero(blk == high)
         found = []
