@@ -40,6 +40,10 @@ WHOLE, HEAD, HEADS = 150, 8, 62
 LEAST_BITS, MOST_BITS = 4, 24
 #: Sets of up to so many shingles also emit themselves without one; up to 11, at 0.8 no more may differ.
 FEW = 12
+#: Sets of a cluster, and shingles of them, that one task compares; larger clusters are dealt anew.
+CLUSTER_SETS, CLUSTER_SHINGLES = 5000, 4_000_000
+#: Sets that a task takes on, about.
+TASK_SETS = 3000
 #: Texts whose fingerprints are dealt at once.
 BLOCK = 4096
 
@@ -193,6 +197,58 @@ def _meet_apart(c: int):
     return run
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared)
+
+
+def _connect(names: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect the similar sets of a cluster; the nearest fingerprints first, and none between connected sets."""
+    n = np.array([len(s) for s in sets])
+    group = np.unique(roots, return_inverse=True)[1]
+    above = np.arange(group.max() + 1)
+
+    def find(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    near = []
+    for i in range(len(names) - 1):
+        d = np.bitwise_count(fps[i] ^ fps[i + 1 :])
+        total = d.sum(axis=1, dtype=np.int64)
+        meet = ((d <= RADIUS) & (np.roll(d, -1, axis=1) <= NEXT)).any(axis=1) & (total <= WHOLE)
+        small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+        ok = (meet | (small <= FEW)) & (small >= similarity * large - 1e-9) & (group[i] != group[i + 1 :])
+        j = np.flatnonzero(ok)
+        near.append(np.stack([total[j], np.full(len(j), i), j + i + 1], axis=1))
+    edges = []
+    if near:
+        near = np.concatenate(near)
+        for _, i, j in near[np.argsort(near[:, 0], kind="stable")].tolist():
+            a, b = find(group[i]), find(group[j])
+            if a != b and _jaccard(sets[i], sets[j]) >= similarity - 1e-12:
+                above[a] = b
+                edges.append((names[i], names[j]))
+    return edges
+
+
+def _within(similarity: float):
+    """Edges of all clusters of one bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cluster, names, roots = (table[c].to_numpy() for c in ("cluster", "set_id", "root"))
+        fps = np.frombuffer(b"".join(x.as_py() for x in table["prints"]), "<u4").reshape(-1, TABLES)
+        order = np.argsort(cluster, kind="stable")
+        edges = []
+        for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            sets = [np.frombuffer(table["s"][int(i)].as_py(), np.uint64) for i in own]
+            edges += _connect(names[own], roots[own], fps[own], sets, similarity)
+        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
 @F.pandas_udf(T.IntegerType())
 def _distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """Bits in which two binary columns of equal length differ."""
@@ -207,9 +263,7 @@ def _similar(similarity: float):
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(shared / (len(x) + len(y) - shared) >= similarity - 1e-12)
+            out.append(_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-12)
         return pd.Series(out, dtype=bool)
 
     return similar
@@ -221,7 +275,9 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
     ``sets`` has (set_id, n, prints, few, id, text_hash), each set once with a row that has it, and
     ``docs`` has (id, text_hash, text). In three rounds: sets of equal fingerprints with the first
     of them; what meets at a variant with the first there, unless they are connected; then all
-    pairs that meet and are not connected yet, of the components that have such.
+    pairs that meet and are not connected yet. For the last, components that meet form clusters:
+    a cluster's sets go to one task, each once, where the nearest are compared first; a cluster
+    beyond :data:`CLUSTER_SETS` is dealt anew by its fingerprints and compared pair by pair.
     """
     c = balls.leading_bits(sets.count() * (WIDTH + 1), LEAST_BITS, MOST_BITS)
     emitted = sets.select("set_id", "prints", "few", F.col("set_id").alias("root")).mapInArrow(_emit(c, False), _DEALT)
@@ -252,12 +308,24 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
     edges = verified(met.where("equal").select("a", "b"))
     edges = edges.union(verified(apart(met.where("NOT equal").select("a", "b"), components(edges)).select("a", "b")))
     roots = components(edges)
-    split = apart(met.where("more").select("a", "b"), roots)
-    split = settled(split.select(F.col("root_a").alias("root")).union(split.select("root_b")).distinct())
+    split = settled(apart(met.where("more").select("a", "b"), roots).select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct())
     if not split.take(1):
         return edges
-    rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "prints", "few", F.coalesce("root", "set_id").alias("root"))
-    emitted = rooted.join(split, "root", "left_semi").select("set_id", "prints", "few", "root").mapInArrow(_emit(c, True), _DEALT)
+    clusters = components(split).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    rooted = settled(rooted.join(clusters, "root"))
+    sizes = rooted.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    sizes = settled(sizes.withColumn("fits", (F.col("sets") <= CLUSTER_SETS) & (F.col("shingles") <= CLUSTER_SHINGLES)))
+    tasks = max(1, -(-rooted.count() // TASK_SETS))
+    here = rooted.join(sizes.where("fits").select("cluster"), "cluster", "left_semi")
+    own = here.select("cluster", "set_id", "root", "prints", F.col("id").alias("rid"), F.col("text_hash").alias("rhash"))
+    found = docs.join(own, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash"))).dropDuplicates(["set_id"])
+    found = found.select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), "cluster", "set_id", "root", "prints", _set_column(size)("text").alias("s"))
+    edges = edges.union(settled(found.groupBy("task").applyInArrow(_within(similarity), "u long, v long")))
+    large = rooted.join(sizes.where("NOT fits").select("cluster"), "cluster", "left_semi")
+    if not large.take(1):
+        return edges
+    emitted = large.select("set_id", "prints", "few", "root").mapInArrow(_emit(c, True), _DEALT)
     return edges.union(verified(emitted.groupBy("bucket").applyInArrow(_meet_apart(c), "a long, b long").distinct()))
 
 
