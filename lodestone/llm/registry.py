@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from lodestone.session import ship
 
 #: Operator modules; each has one query named opN_<name> and may have its SQL in ORACLE_SQL.
-MODULES = ("urls", "bpe", "warczip", "secrets", "decontam", "simhash", "isomedia", "pii", "langid", "quality")
+MODULES = ("urls", "bpe", "warczip", "secrets", "decontam", "simhash", "isomedia", "pii", "langid", "quality", "compaction", "spelling", "tokencount")
 
 
 def shipped(query: Callable) -> Callable:
