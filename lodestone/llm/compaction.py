@@ -191,7 +191,7 @@ def queue_prefix(queue: DataFrame, share: int = SHARE) -> DataFrame:
     up_to = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = parts.select("*", F.count(F.lit(1)).over(up_to).alias("row"), F.sum("bytes").over(up_to).alias("sum")).join(before, "part")
     placed = placed.select(*FILE, (F.col("row") - 1 + F.col("b.rows")).alias("queue_index"), (F.col("sum") + F.col("b.bytes")).alias("sum"))
-    return placed.where(F.col("sum") * 100 <= F.lit(total) * share).select(*FILE, "queue_index")
+    return placed.where(F.col("sum") * 100 <= F.lit(total * share)).select(*FILE, "queue_index")
 
 
 def _add(a: tuple, b: tuple) -> tuple:
