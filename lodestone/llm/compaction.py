@@ -316,11 +316,11 @@ _H = crc32_sql("coalesce(doc_id::VARCHAR, '')")
 ORACLE_SQL = {
     "op11_compaction_plan": f"""
 WITH RECURSIVE {TABLE}, hashed AS (
-  SELECT coalesce(source, '') AS source, coalesce(doc_id // 2000, -1) AS block, doc_id, coalesce(text, '') AS text, coalesce({_H}, 0) AS h FROM documents, crc_table
+  SELECT coalesce(source, '') AS source, coalesce(floor(doc_id / 2000)::BIGINT, -1) AS block, doc_id, coalesce(text, '') AS text, {_H} AS h FROM documents, crc_table
 ), placed AS (
   SELECT *, least(h % 8, (h // 8) % 8) AS slot, strlen(text) AS size FROM hashed
 ), dealt AS (
-  SELECT *, (h // 64) % 100 < 9 * ((slot + block + 8) % 8) AS deleted FROM placed
+  SELECT *, (h // 64) % 100 < 9 * (((slot + block) % 8 + 8) % 8) AS deleted FROM placed
 ), files AS (
   SELECT source, block, slot, count(*) AS n_rows, sum(size) AS bytes, count(*) FILTER (deleted) AS n_deleted, coalesce(sum(size) FILTER (NOT deleted), 0) AS live,
          100 * count(*) FILTER (deleted) >= 20 * count(*) AS dirty FROM dealt GROUP BY ALL

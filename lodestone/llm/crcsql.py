@@ -12,6 +12,6 @@ TABLE = """crc_table AS (
 def crc32_sql(text: str) -> str:
     """SQL for the unsigned CRC-32 of ``text`` in UTF-8, whose code points must be below 2048; needs ``crc_table`` in FROM."""
     two = "[192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)]"
-    own = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE {two} END))"
+    own = f"flatten(list_transform(list_filter(string_split({text}, ''), lambda ch: ch <> ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE {two} END))"
     each = f"list_transform({own}, lambda b: b::BIGINT)"
     return f"xor(4294967295, list_reduce({each}, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295::BIGINT))"

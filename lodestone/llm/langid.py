@@ -25,8 +25,6 @@ from lodestone.sources.shared import settled
 
 #: Most labelled documents that a model is fitted on: the first by hash of doc_id.
 MAX_LABELLED = 3000
-#: Most words and most n-grams of each length that a model holds of all languages together: the commonest of each language.
-MAX_WORDS, MAX_GRAMS = 80_000, 24_000
 LONGEST = 4
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -134,47 +132,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _grams_of(counts: DataFrame, n: int) -> DataFrame:
-    """(lang, term, times) of the n-grams, from the counts of distinct words."""
+def _terms(counts: DataFrame, n: int) -> DataFrame:
+    """(n, lang, term, times) of the n-grams, from the counts of distinct words; 0 stands for the words themselves."""
+    if not n:
+        return counts.select(F.lit(0).alias("n"), "lang", "term", "times")
     padded = F.concat(F.lit(" "), "term", F.lit(" ")) if n > 1 else F.col("term")
-    starts = F.sequence(F.lit(1), F.length("p") - n + 1)
-    cut = F.transform(starts, lambda i: F.substring(F.col("p"), i, F.lit(n)))
+    cut = F.transform(F.sequence(F.lit(1), F.length("p") - n + 1), lambda i: F.substring(F.col("p"), i, F.lit(n)))
     found = counts.select("lang", "times", padded.alias("p")).where(F.length("p") >= n)
-    return found.select("lang", F.explode(cut).alias("term"), "times").groupBy("lang", "term").agg(F.sum("times").alias("times"))
+    return found.select(F.lit(n).alias("n"), "lang", F.explode(cut).alias("term"), "times")
 
 
-def fit(docs: DataFrame, limit: int = MAX_LABELLED, most_words: int = MAX_WORDS, most_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """A model from (doc_id, text, lang) rows with text and language, at most ``limit`` ids.
 
-    Counting is distributed; of each language its commonest terms reach the driver, an equal
-    share of ``most_words`` words and ``most_grams`` n-grams of each length, so that a rare
-    language keeps its words.
+    Counting is distributed; all words and n-grams of the sample reach the driver, whose number
+    the sample bounds. With one language in the sample that is what every text with letters gets.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     picked = known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")  # at most `limit` ids
     counts = picked.select("lang", "text").mapInArrow(_count, "lang string, term string, times long")
     counts = settled(counts.groupBy("lang", "term").agg(F.sum("times").alias("times")))
-    rows = []
-    known_langs = [r.lang for r in counts.select("lang").distinct().collect()]
-    for n in range(LONGEST + 1):
-        by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "times")))  # one entry per language
-        every = settled(_grams_of(counts, n)) if n else counts
-        share = (most_grams if n else most_words) // max(1, len(known_langs))
-        best = [every.where(F.col("lang") == lang).orderBy(F.desc("times"), "term").limit(share).select("term") for lang in known_langs]
-        if best:
-            terms = every.join(reduce(DataFrame.union, best).distinct(), "term", "left_semi").groupBy("term").agg(by_lang.alias("by"))
-            rows += [(n, r.term, r.by) for r in terms.orderBy("term").collect()]
-    langs = sorted({lang for _, _, by in rows for lang in by})
-    table = np.zeros((len(rows), len(langs)))
-    for i, (_, _, by) in enumerate(rows):
-        for lang, times in by.items():
-            table[i, langs.index(lang)] = times
-    kind = np.array([n for n, _, _ in rows], int)
+    every = reduce(DataFrame.union, [_terms(counts, n) for n in range(LONGEST + 1)]).groupBy("n", "lang", "term").agg(F.sum("times").alias("times"))
+    found = every.orderBy("n", "term", "lang").toArrow()
+    names = np.array(found["lang"].to_pylist(), object)
+    langs = sorted(set(names))
+    kinds, terms = found["n"].to_pylist(), found["term"].to_pylist()
+    rows: dict[str, int] = {}
+    at = np.array([rows.setdefault((f"{n}" if n else "") + term, len(rows)) for n, term in zip(kinds, terms)], np.int64)
+    table, kind = np.zeros((len(rows), len(langs))), np.zeros(len(rows), int)
+    column = {lang: i for i, lang in enumerate(langs)}
+    table[at, [column[x] for x in names]] = found["times"].to_numpy()
+    kind[at] = kinds
     for n in range(LONGEST + 1):
         own = kind == n
         table[own] = np.log((table[own] + SMOOTH) / (table[own].sum(axis=0) + SMOOTH * max(1, own.sum())))
-    return Model(langs, {(f"{n}" if n else "") + term: i for i, (n, term, _) in enumerate(rows)}, table)
+    return Model(langs, rows, table)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
