@@ -11,8 +11,6 @@ from lodestone.sources.tables import table
 #: Fixed values of these queries: what is said besides the turn, by turn and conversation.
 PHRASES = ["", "你好", "玻尿酸 多少钱", "痘痘怎么办", "烟酰胺 是什么", "推荐一款产品", "有什么建议", "最新新闻", "不对,应该是", "台灣 後", "香港 睇", "如何 非常 激光", "谁", "我喜欢 vogue", "where is the schedule", "股价"]
 PROMPTS = ["free_chat", "planner", "knowledge", "other"]
-REPLIES = ['["a", "b"] done', "no list", 'x [1, 2\n, 3]', '"one"\n2. "two"\n\'three\'\n4.\nfive', "1. a\n2. b\n3. c\n4. d\n5. e\n6. f"]
-BROKEN = ['```json\n{"k": 1,}\n```', 'sure: {"k": [1, 2,]} ok', '{"k": 3 /* three */}', '{"k": 4} // four', '{"k": 5}']
 
 
 def _pick(items, n):
@@ -20,10 +18,9 @@ def _pick(items, n):
 
 
 def _said(s, d):
-    """Turns with ``said``: a phrase by number, and the turn's text where the number allows."""
+    """Turns with ``said``: a phrase by number, and then the turn's whole text."""
     n = F.col("conv_id") * 7 + F.col("turn") * 3
-    text = F.when(n % 2 == 0, F.substring("text", 1, 40)).otherwise("")
-    return table(s, d, "conversations").select("conv_id", "turn", "role", F.concat(_pick(PHRASES, n), text).alias("said"), n.alias("n"))
+    return table(s, d, "conversations").select("conv_id", "turn", "role", F.concat(_pick(PHRASES, n), "text").alias("said"), n.alias("n"))
 
 
 def session_stage(s, d):
@@ -70,7 +67,7 @@ def query_simplified(s, d):
 
 
 def query_variants(s, d):
-    return _said(s, d).where("turn < 2").select("conv_id", "turn", F.posexplode(rules.variants(F.trim("said"))).alias("pos", "query"))
+    return _said(s, d).select("conv_id", "turn", F.posexplode(rules.variants(F.trim("said"))).alias("pos", "query"))
 
 
 def document_classes(s, d):
@@ -107,12 +104,21 @@ def metrics_at_hour(s, d):
 
 
 def json_arrays(s, d):
-    reply = _pick(REPLIES, F.col("event_id"))
-    return table(s, d, "events").select("event_id", F.array_join(rules.json_array(reply), "|").alias("items"), F.array_join(rules.json_lines(reply), "|").alias("lines"))
+    """Replies about items: an array within other words, lines with numbers or quotes, or no list at all."""
+    name, brand, size = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", "brand", "size"))
+    array = F.concat(F.lit('Found ["'), name, F.lit('", "'), brand, F.lit('",\n '), F.coalesce("size", F.lit(0)), F.lit("] so far"))
+    lines = F.concat(F.lit("1. "), name, F.lit('\n2. "'), brand, F.lit("\"\n\n  '"), size, F.lit("'\nand no more"))
+    reply = F.when(F.col("item_id") % 3 == 0, array).when(F.col("item_id") % 3 == 1, lines).otherwise(name)
+    return table(s, d, "items").select("item_id", F.array_join(rules.json_array(reply), "|").alias("items"), F.array_join(rules.json_lines(reply), "|").alias("lines"))
 
 
 def json_repair(s, d):
-    return table(s, d, "events").select("event_id", F.regexp_replace(rules.json_repaired(_pick(BROKEN, F.col("event_id"))), r"\s+", "").alias("fixed"))
+    """Clicks' properties as a model would write them: fenced, with a comma too many, comments, and words around."""
+    comma = F.regexp_replace("props", r"\}$", ",}")
+    n = F.col("click_id") % 4
+    broken = F.when(n == 0, F.concat(F.lit("```json\n"), comma, F.lit("\n```"))).when(n == 1, F.concat(F.lit("Sure: "), comma, F.lit(" as asked")))
+    broken = broken.when(n == 2, F.concat(F.lit("/* the\nclick */ "), "props", F.lit(" // end"))).otherwise(F.col("props"))
+    return table(s, d, "clicks").select("click_id", F.regexp_replace(rules.json_repaired(broken), r"\s+", "").alias("fixed"))
 
 
 def html_lines(s, d):
@@ -138,12 +144,7 @@ def _item(items, n):
     return f"({_list(items)})[CAST({n} % {len(items)} + 1 AS INTEGER)]"
 
 
-def _unescaped(items):
-    """A list literal with line ends written as chr(10)."""
-    return "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in items) + "]"
-
-
-_T = f"t AS (SELECT conv_id, turn, role, n, {_item(PHRASES, 'n')} || CASE WHEN n % 2 = 0 THEN substring(text, 1, 40) ELSE '' END AS said FROM (SELECT *, conv_id * 7 + turn * 3 AS n FROM conversations))"
+_T = f"t AS (SELECT conv_id, turn, role, n, {_item(PHRASES, 'n')} || text AS said FROM (SELECT *, conv_id * 7 + turn * 3 AS n FROM conversations))"
 _STAGE = "CASE " + " ".join(f"WHEN {_any('c', w)} THEN '{k}'" for k, w in rules.STAGES) + f" ELSE '{rules.STAGE_ELSE}' END"
 _INJ = (
     f"i AS (SELECT conv_id, turn, n, CASE WHEN {_any('l', rules.TIME)} THEN 'time_keyword_matched' WHEN {_any('l', rules.PLACE)} THEN 'location_keyword_matched' WHEN contains(st, 'schedule') THEN 'schedule_stage' END AS time, "
@@ -175,7 +176,7 @@ p IN ('planner', 'free_chat') OR (p = 'knowledge' AND profile IS NOT NULL) AS pr
     "language_tags": f"""WITH {_T}, l AS (SELECT *, {_LANG} AS lang FROM t), v AS (SELECT *, CASE WHEN lang = 'zh' AND {_any('lower(said)', rules.VARIANTS[0][1])} THEN 'zh-tw' WHEN lang = 'zh' AND {_any('lower(said)', rules.VARIANTS[1][1])} THEN 'zh-hk' ELSE lang END AS k FROM l)
 SELECT conv_id, turn, CASE WHEN trim(said) <> '' THEN (MAP {{{", ".join(f"'{a}': '{b}'" for a, b in rules.TAGS.items())}}})[k] END AS tag FROM v""",
     "query_simplified": f"WITH {_T}, q AS (SELECT *, trim(regexp_replace({_SIMPLE}, '\\s+', ' ', 'g')) AS x FROM t) SELECT conv_id, turn, CASE WHEN length(x) < 2 THEN said ELSE x END AS query FROM q",
-    "query_variants": f"""WITH {_T}, v AS (SELECT conv_id, turn, trim(said) AS q FROM t WHERE turn < 2), a AS (SELECT conv_id, turn, [q, '什么是' || q, {", ".join(f"q || '{x}'" for x in rules.SUFFIXES)}] AS a FROM v)
+    "query_variants": f"""WITH {_T}, v AS (SELECT conv_id, turn, trim(said) AS q FROM t), a AS (SELECT conv_id, turn, [q, '什么是' || q, {", ".join(f"q || '{x}'" for x in rules.SUFFIXES)}] AS a FROM v)
 SELECT conv_id, turn, CAST(pos - 1 AS INTEGER) AS pos, a[pos] AS query FROM (SELECT *, unnest(range(1, len(a) + 1)) AS pos FROM a)""",
     "document_classes": f"""WITH x AS (SELECT doc_id, lower({_item(['Patent', 'paper', 'web', 'Clinical', 'official', 'product', 'news', 'x'], 'doc_id')}) AS k, {_item(['', '产品 A', '论文 B', '专利 C', '新闻 D'], 'doc_id')} AS t,
 substring(lower({_item(['', '', '临床 ', '医美 '], 'doc_id % 11')} || text), 1, 500) AS h, lower(source || {_item(['', '专利', 'PubMed', '官方'], 'doc_id % 7')}) AS s FROM documents)
@@ -187,9 +188,9 @@ WHEN contains(h, '临床') OR contains(k, 'clinical') THEN 'clinical' WHEN conta
     "time_parts": f"SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, strftime(ts, '%Y年%m月%d日') AS day, CAST(hour(ts) AS VARCHAR) AS hour, ({_list(rules.WEEKDAYS)})[CAST(isodow(ts) AS INTEGER)] AS weekday, hour(ts) BETWEEN 6 AND 17 AS daytime FROM events",
     "metrics_window": "SELECT count(*) AS calls, CAST(count_if(event_type = 'error') AS BIGINT) AS errors, round((1 - count_if(event_type = 'error') / count(*)) * 100, 4) AS success_rate, count(DISTINCT user_id) AS users FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'",
     "metrics_at_hour": "SELECT count(*) AS calls, CAST(count_if(event_type = 'error') AS BIGINT) AS errors, count(DISTINCT user_id) AS users FROM events WHERE hour(ts) = 9",
-    "json_arrays": f"""SELECT event_id, (['a|b', '', '1|2|3', '', ''])[CAST(event_id % 5 + 1 AS INTEGER)] AS items, array_to_string(list_filter(list_transform(string_split(({_unescaped(REPLIES)})[CAST(event_id % 5 + 1 AS INTEGER)], chr(10)), lambda x:
-CASE WHEN regexp_full_match(x, '["''].*["'']') THEN trim(x, '"''') WHEN regexp_matches(x, '^[0-9]+[.]') THEN nullif(trim(trim(regexp_replace(x, '^[0-9]+[.]', '')), '"'''), '') END), lambda x: x IS NOT NULL)[1:5], '|') AS lines FROM events""",
-    "json_repair": """SELECT event_id, (['{"k":1}', '{"k":[1,2]}', '{"k":3}', '{"k":4}', '{"k":5}'])[CAST(event_id % 5 + 1 AS INTEGER)] AS fixed FROM events""",
+    "json_arrays": """SELECT item_id, CASE WHEN item_id % 3 = 0 THEN coalesce(name, '') || '|' || coalesce(brand, '') || '|' || coalesce(size, 0) ELSE '' END AS items,
+CASE WHEN item_id % 3 = 1 THEN array_to_string(list_filter([nullif(trim(coalesce(name, '')), ''), nullif(coalesce(brand, ''), ''), coalesce(size::VARCHAR, '')], lambda x: x IS NOT NULL), '|') ELSE '' END AS lines FROM items""",
+    "json_repair": r"SELECT click_id, regexp_replace(props, '\s+', '', 'g') AS fixed FROM clicks",
     "html_lines": r"""WITH l AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) > 2 AND NOT starts_with(x, '#')) AS k FROM pages)
 SELECT page_id, md5(substring(regexp_replace(array_to_string(k, ' '), '\s+', ' ', 'g'), 1, 3000)) AS digest, coalesce(k[1], '') AS title FROM l""",
 }
