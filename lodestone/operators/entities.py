@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most query names or patterns of one call; more go in several calls.
+#: Query names or patterns of one pass over the table; more take more passes.
 MAX_NAMES = 1000
 
 
@@ -19,10 +20,10 @@ def _ratio(queries: pa.Array, names: pa.Array) -> pa.Array:
     return pa.array([SequenceMatcher(None, q.as_py(), n.as_py()).ratio() for q, n in zip(queries, names)], pa.float64())
 
 
-def _bounded(names: list[str]) -> list[str]:
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"over {MAX_NAMES} names")
-    return sorted(set(names))
+def _passes(names: list[str]) -> list[list[str]]:
+    """The distinct names in lists of at most :data:`MAX_NAMES`; one empty list without any."""
+    own = sorted(set(names))
+    return [own[i : i + MAX_NAMES] for i in range(0, max(1, len(own)), MAX_NAMES)]
 
 
 def near_names(entities: DataFrame, queries: list[str], threshold: float = 0.8) -> DataFrame:
@@ -32,11 +33,14 @@ def near_names(entities: DataFrame, queries: list[str], threshold: float = 0.8)
     the letters in common bound it from above, so few pairs reach Python. Null names go.
     Distinct names are compared once and joined back.
     """
-    spark = entities.sparkSession
-    asked = spark.createDataFrame([(q, q.lower()) for q in _bounded(queries)], "query string, q string")
+    return reduce(DataFrame.union, [_near_names(entities, own, threshold) for own in _passes(queries)])
+
+
+def _near_names(entities: DataFrame, queries: list[str], threshold: float) -> DataFrame:
+    asked = entities.sparkSession.createDataFrame([(q, q.lower()) for q in queries], "query string, q string")
     own = entities.where("name IS NOT NULL").select(F.lower("name").alias("n")).distinct()
     most = 2 * F.least(F.length("q"), F.length("n")) >= threshold * (F.length("q") + F.length("n"))
-    pairs = own.join(F.broadcast(asked), most)  # stated query names, at most MAX_NAMES
+    pairs = own.join(F.broadcast(asked), most)  # names of one pass, at most MAX_NAMES
     left_over = F.expr("length(translate(q, n, '')) + length(translate(n, q, ''))")
     all_chars = F.length("q") + F.length("n")
     pairs = pairs.where((all_chars - left_over) >= threshold * all_chars)
@@ -45,12 +49,15 @@ def near_names(entities: DataFrame, queries: list[str], threshold: float = 0.8)
 
 
 def mentions(docs: DataFrame, patterns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pattern, times, first) of each stated pattern in each text, case kept; one scan.
+    """(id, pattern, times, first) of each stated pattern in each text, case kept; one scan for each :data:`MAX_NAMES` patterns.
 
     ``times`` counts occurrences that don't overlap, ``first`` is the place from 1. Empty
     patterns are passed over; null texts hold none.
     """
-    own = [p for p in _bounded(patterns) if p]
+    return reduce(DataFrame.union, [_mentions(docs, own, id_col, text_col) for own in _passes([p for p in patterns if p])])
+
+
+def _mentions(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     held = F.filter(F.array(*[F.lit(p) for p in own]) if own else F.expr("array(CAST(NULL AS STRING))"), lambda p: text.contains(p))
     found = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.explode(held).alias("pattern"))
@@ -64,8 +71,11 @@ def multi_match(entities: DataFrame, queries: list[str], threshold: float = 0.8,
 
     Only names that match in one way or another leave the scan. Null and empty names go.
     """
-    spark = entities.sparkSession
-    asked = F.broadcast(spark.createDataFrame([(q,) for q in _bounded(queries)], "query string"))  # at most MAX_NAMES
+    return reduce(DataFrame.union, [_multi_match(entities, own, threshold, k) for own in _passes(queries)])
+
+
+def _multi_match(entities: DataFrame, queries: list[str], threshold: float, k: int) -> DataFrame:
+    asked = F.broadcast(entities.sparkSession.createDataFrame([(q,) for q in queries], "query string"))  # at most MAX_NAMES
     named = entities.where("name <> ''")
     near = near_names(named, queries, threshold).select("query", "id", "name", (F.col("ratio") * 0.8).alias("w"))
     low, q = F.lower("name"), F.lower("query")
