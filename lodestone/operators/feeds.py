@@ -161,8 +161,9 @@ def related_terms(topics: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     """
     words = terms.select("term", F.explode("related").alias("w")).select("term", F.lower("w").alias("w")).where("w <> ''")
     asked = topics.select("topic", F.lower("topic").alias("t")).where("t <> ''").distinct()
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    # What contains another has the other's first three letters somewhere, so both are joined on these.
+    cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(n)))
+    pieces = lambda c: F.array_distinct(F.flatten(F.array(*[cut(c, n) for n in (1, 2, 3)])))
+    # What contains another has the other's first letters, three or as many as it has, somewhere; both are joined on these.
     inside = asked.withColumn("g", F.substring("t", 1, 3)).join(words.withColumn("g", F.explode(pieces(F.col("w")))), "g").where(F.col("w").contains(F.col("t")))
     outside = asked.withColumn("g", F.explode(pieces(F.col("t")))).join(words.withColumn("g", F.substring("w", 1, 3)), "g").where(F.col("t").contains(F.col("w")))
     found = inside.select("topic", "term").union(outside.select("topic", "term")).distinct()
