@@ -1,11 +1,13 @@
 """Personal data: surrogates in DataFrame functions alone.
 
-Entities are found by one pattern. A surrogate follows from a key and the entity's normal
+Entities are found by one pattern; a number in the form of a card is one only with a valid check
+digit, and a name is only found behind a title. A surrogate follows from a key and the entity's normal
 form alone, so the same entity has the same surrogate in every document (coreference)
 without a join; a name with a title of no gender counts as the same person's whose titles tell
-one. It keeps type, script, case, separators and length, a card's check digit
-and a title's gender; a name of several words gets a given and a family name. After a title
-all name words, initials, particles and hyphens are taken, and in scripts without case the
+one. It keeps type, script, case, separators and length, a card's and an account's valid check
+digits, an account's country and a title's gender; a name of several words gets a given and a
+family name. After a title all name words, initials, particles and hyphens are taken up to a
+weekday or month, also a capitalised word that is no name, and in scripts without case the
 run of letters (with up to two more in Arabic, Hebrew and Devanagari). The distinct entities, grouped before anything else, are checked for
 surrogates that collide with each other or with a real entity; those are drawn anew until
 none is left, and only they and the names whose gender another place told are joined to their
@@ -37,12 +39,18 @@ PHONE = (
     r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}"
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})" + AFTER
 )
-CARD = EDGE + r"\d(?:[ -]?\d){12,18}" + AFTER
-PERSON = EDGE + rf"(?:{TITLES} ++){{1,8}}(?:{PARTICLES}*+{NAME}(?:(?: +|-){PARTICLES}*+{NAME})*+|{CASELESS})"
+#: Digits without a break, or in groups as cards have them.
+CARD = EDGE + "(?:" + "|".join([r"\d{13,19}", *(rf"\d{{4}}(?:{s}\d{{4}}){{2}}{s}\d{{1,4}}(?:{s}\d{{1,3}})?|\d{{4}}{s}\d{{6}}{s}\d{{4,5}}" for s in " -")]) + ")" + AFTER
+#: Words that end a name, where they aren't its first.
+ENDS = ("Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|"
+        "Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember")
+PERSON = EDGE + rf"(?:{TITLES} ++){{1,8}}(?:{PARTICLES}*+{NAME}(?:(?: +|-)(?!(?:{ENDS})\b){PARTICLES}*+{NAME})*+|{CASELESS})"
 PATTERN = "|".join((EMAIL, IP, IBAN, SSN, PHONE, CARD, PERSON))
 #: Texts without any of these hold no entity; it is far cheaper to look for.
 HINT = rf"[0-9@]|{TITLES}"
 TYPES = ("email", "ip", "iban", "ssn", "phone", "card", "person")
+#: Kind of what has an entity's form and isn't one; it stays.
+NONE = "none"
 
 #: Given names by gender, and syllables that family names are made of.
 GIVEN_M = ("Adam", "Boris", "Carl", "David", "Emil", "Frank", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Louis", "Martin", "Nils", "Oscar", "Paul")
@@ -69,7 +77,8 @@ def _type(m: Column) -> Column:
         .when(m.rlike(r"^\p{L}"), "person")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(rf"^(?:{PHONE})$"), "phone")
-        .otherwise("card")
+        .when(_luhn(F.regexp_replace(m, "[^0-9]", "")) == 0, "card")
+        .otherwise(NONE)
     )
 
 
@@ -90,7 +99,7 @@ def _norm(m: Column, kind: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """array of (m, kind, norm): entities in order of place; null text has none."""
+    """array of (m, kind, norm): entities in order of place, and what only has the form of one (kind none); null text has none."""
     text = F.coalesce(text, F.lit(""))
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     typed = F.transform(found, lambda m: F.struct(m.alias("m"), _type(m).alias("kind")))
@@ -123,6 +132,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(account: Column) -> Column:
+    """Remainder of an account number by 97, its first four characters last and letters as 10 to 35: 1 for a valid one."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, F.lit(1), F.lit(4)))
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(_chars(turned), F.lit(0), lambda a, c: (a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
+
+
 def _with(structs: Column, name: str, fields: tuple[str, ...], made) -> Column:
     """Array of structs with one more field, computed once per element."""
     return F.transform(structs, lambda x: F.struct(*[x[f].alias(f) for f in fields], made(x).alias(name)))
@@ -133,7 +149,9 @@ def surrogates(found: Column, key: str, attempt) -> Column:
 
     ``attempt`` gives the number of the draw from an element, 0 unless draws collided. A name
     grows by a syllable or letter with each draw, an e-mail address by a letter from the third
-    and a telephone number by a digit from the sixth, so that there are always enough.
+    and a telephone number by a digit from the sixth, so that there are always enough; social
+    security, account and card numbers and addresses of four numbers have a fixed form, and their
+    surrogates can run out (see :func:`collisions`).
     """
     fields = ("m", "kind", "norm")
     tried = _with(found, "a", fields, attempt)
@@ -142,9 +160,9 @@ def surrogates(found: Column, key: str, attempt) -> Column:
     fields += ("h",)
 
     def mapped(x: Column) -> Column:
-        """Character by character, but for a mail's last domain label and a number's + and first digit."""
+        """Character by character, but for a mail's last domain label, a number's + and first digit and an account's country."""
         cut = F.when(x["kind"] == "email", F.length(F.regexp_extract(x["norm"], r"\.[^.]*$", 0))).otherwise(0)
-        head = F.when((x["kind"] == "phone") & x["norm"].startswith("+"), 2).otherwise(0)
+        head = F.when(((x["kind"] == "phone") & x["norm"].startswith("+")) | (x["kind"] == "iban"), 2).otherwise(0)
         n = F.length(x["norm"])
         chars = F.transform(_chars(x["norm"]), lambda c, i: F.when((i < head) | (i >= n - cut), c).otherwise(_like(c, _byte(x["h"], i))))
         more = F.when(x["kind"] == "email", x["a"] - 2).when(x["kind"] == "phone", x["a"] - 5).otherwise(0)
@@ -167,11 +185,13 @@ def surrogates(found: Column, key: str, attempt) -> Column:
     made = _with(drawn, "s", fields, lambda x: F.when(x["kind"] == "ip", octets(x)).when(x["kind"] == "person", named(x)).otherwise(mapped(x)))
 
     def checked(x: Column) -> Column:
-        """A valid card number stays valid: the last digit is set anew."""
+        """A valid card or account number stays valid: its check digits are set anew."""
         body = F.concat(F.substring(x["s"], F.lit(1), F.length(x["s"]) - 1), F.lit("0"))
         digit = ((10 - _luhn(body)) % 10).cast("string")
         fixed = F.concat(F.substring(x["s"], F.lit(1), F.length(x["s"]) - 1), digit)
-        return F.when((x["kind"] == "card") & (_luhn(F.when(x["kind"] == "card", x["norm"]).otherwise("0")) == 0), fixed).otherwise(x["s"])
+        country, account = F.substring(x["s"], F.lit(1), F.lit(2)), F.substring(x["s"], F.lit(5), F.length(x["s"]))
+        check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+        return F.when((x["kind"] == "card"), fixed).when((x["kind"] == "iban") & (_mod97(F.when(x["kind"] == "iban", x["norm"]).otherwise("")) == 1), F.concat(country, check, account)).otherwise(x["s"])
 
     return F.transform(made, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["norm"].alias("norm"), checked(x).alias("s")))
 
@@ -188,7 +208,8 @@ def rendered(x: Column) -> Column:
     title = F.regexp_extract(x["m"], rf"^(?:{TITLES} ++){{1,8}}", 0)
     name = F.when(F.substring(x["m"], F.length(title) + 1, F.length(x["m"])).rlike(r"^[^\p{Ll}]+$"), F.upper(x["s"])).otherwise(x["s"])
     return (
-        F.when(x["kind"] == "email", mail)
+        F.when(x["kind"] == NONE, x["m"])
+        .when(x["kind"] == "email", mail)
         .when(x["kind"] == "ip", x["s"])
         .when(x["kind"] == "person", F.concat(title, name))
         .otherwise(F.concat(F.array_join(F.transform(_chars(x["m"]), fill), ""), F.substring(digits, F.length(F.regexp_replace(x["m"], "[^A-Z0-9]", "")) + 1, F.length(digits))))
@@ -211,11 +232,16 @@ def resolved(known: DataFrame) -> DataFrame:
 
 def collisions(known: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(kind, norm, own, attempt) of the distinct entities, attempts raised until surrogates are
-    distinct and none is a real entity; and how many were raised or belong to another's norm."""
+    distinct and none is a real entity; and how many were raised or belong to another's norm.
+
+    Draws go on as long as they help: only where :data:`MAX_ATTEMPTS` of them in a row leave as many
+    collisions as before, as when a text holds most numbers that a fixed form has, is it an error.
+    """
     every = settled(resolved(known.select("kind", "norm").distinct()))
     raised = every.where("own <> norm").count()
     known = settled(every.where("own = norm").select("kind", "norm", F.lit(0).alias("attempt")))
-    for _ in range(MAX_ATTEMPTS):
+    fewest, idle = None, 0
+    while idle < MAX_ATTEMPTS:
         one = F.array(F.struct(F.lit("").alias("m"), F.col("kind").alias("kind"), F.col("norm").alias("norm")))
         named = known.withColumn("s", F.lower(surrogates(one, key, lambda x: F.col("attempt"))[0]["s"]))
         twice = named.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("keep")).where("n > 1")
@@ -227,10 +253,12 @@ def collisions(known: DataFrame, key: str) -> tuple[DataFrame, int]:
         if not n:
             drawn = every.join(known.withColumnRenamed("norm", "own"), ["kind", "own"])
             return drawn.select("kind", "norm", "own", "attempt"), raised
+        idle = 0 if fewest is None or n < fewest else idle + 1
+        fewest = n if fewest is None else min(n, fewest)
         raised += n
         again = clash.withColumn("more", F.lit(1))
         known = settled(known.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} draws")
+    raise RuntimeError(f"{fewest} surrogates still collide after {MAX_ATTEMPTS} draws that changed nothing")
 
 
 def _number_of(spans: str, kind: str) -> Column:
@@ -245,7 +273,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", out: str
     """
     text = F.col(f"`{text_col}`")
     with_found = docs.select(entities(text).alias("f"))
-    known = with_found.select(F.explode("f").alias("x")).select("x.kind", "x.norm")
+    known = with_found.select(F.explode("f").alias("x")).select("x.kind", "x.norm").where(F.col("kind") != NONE)
     drawn, raised = collisions(known, key)
     here_key, spans, redraw, new = (fresh(docs, n) for n in ("__key", "__found", "__redrawn", "__new"))
     marked = docs.withColumn(spans, entities(text))

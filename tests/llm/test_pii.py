@@ -24,7 +24,7 @@ def shape(text):
 
 TEXTS = [
     (1, "Mail und.34@mail7.example.com or UND.34@MAIL7.EXAMPLE.COM, call +1 (974) 555-3436."),
-    (2, "Card 4111 1111 1111 1111, 9807915762804490 and 97.51.17.173; ssn 123-45-6789."),
+    (2, "Card 4111 1111 1111 1111, 9807915762804495 and 97.51.17.173; ssn 123-45-6789."),
     (3, "Frau Anna Schmidt met Mr. Jones and Mr. Jones; Mrs. Jones wrote to élle.5@mail1.example.com"),
     (4, "IBAN DE89 3704 0044 0532 0130 00 and +19745553436 again; Herr Иван Петров"),
     (5, None), (6, ""), (7, "plain words 12 and 2024-01-02, a@b"), (None, "x.1@mail2.example.com"), (1, "Mail und.34@mail7.example.com or UND.34@MAIL7.EXAMPLE.COM, call +1 (974) 555-3436."),
@@ -47,6 +47,7 @@ def test_replacement(spark):
             assert r.text == text
             continue
         found = FIND.findall(text)
+        assert all(luhn(m) for m in found if regex.fullmatch(r"\d{16}", m))
         assert sum(r.pii_counts.values()) == len(found)
         # outside the entities nothing changes, inside everything does
         at = 0
@@ -72,6 +73,43 @@ def test_replacement(spark):
     assert regex.search(r"Herr \p{Cyrillic}+ \p{Cyrillic}+$", next(r.text for r in rows if r.doc_id == 4))
 
 
+def mod97(account):
+    account = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_numbers_that_are_no_cards_stay(spark):
+    texts = ["Order 4111111111111112 shipped", "rows " + " ".join(map(str, range(1, 14))) + " end", "1 " * 9000, "4111-1111-1111-1112", "9" * 25, "1704067200000 ms"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_entities(df, "k").collect()}
+    assert all(out[i].text == t and out[i].pii_counts["card"] == 0 for i, t in enumerate(texts))
+
+
+def test_cards_beside_other_numbers(spark):
+    rows = [(1, "7 4111111111111111 99"), (2, "pay 4111 1111 1111 1111 by 12-34"), (3, "3782-822463-10005, 6011000990139424")]
+    out = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [out[i].pii_counts["card"] for i in (1, 2, 3)] == [1, 1, 2]
+    assert all(luhn(regex.sub(r"\D", "", m)) for r in out.values() for m in regex.findall(r"\d{4}[\d -]{9,}\d{4,5}(?=\D|$)", r.text) if len(regex.sub(r"\D", "", m)) in (15, 16))
+    assert regex.fullmatch(r"7 \d{16} 99", out[1].text) and "4111" not in out[2].text and out[2].text.endswith(" by 12-34")
+
+
+def test_accounts_keep_country_and_check_digits(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "XX00 1234 5678 9012"]
+    df = spark.createDataFrame([(i, f"to {a} now") for i, a in enumerate(accounts)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace_entities(df, "k").collect()}
+    for i, a in enumerate(accounts):
+        new = regex.fullmatch(r"to (.*) now", out[i])[1]
+        assert new != a and new[:2] == a[:2] and regex.sub("[A-Z]", "A", regex.sub(r"\d", "0", new)) == regex.sub("[A-Z]", "A", regex.sub(r"\d", "0", a))
+        assert mod97(new) == 1 or mod97(a) != 1
+
+
+def test_names_end_before_days_and_months(spark):
+    rows = [(1, "Frau Keller Montag frei"), (2, "Mr Smith May come"), (3, "Mrs May Monday")]
+    out = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert regex.fullmatch(r"Frau \w+ Montag frei", out[1]) and regex.fullmatch(r"Mr \w+ May come", out[2]) and regex.fullmatch(r"Mrs \w+ Monday", out[3])
+    assert "Keller" not in out[1] and "Smith" not in out[2] and not out[3].startswith("Mrs May")
+
+
 def test_collisions_are_drawn_anew(spark, monkeypatch):
     monkeypatch.setattr(pii, "SYLLABLES", ("ba", "be"))
     rng = random.Random(1)
