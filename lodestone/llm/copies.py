@@ -107,6 +107,7 @@ def _set_column(size: int):
 
 _ARRAYS = ("words", "sets", "roots", "heads")
 _EMITTED = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _ARRAYS)])
+_MET = "a long, b long, near boolean, more boolean"
 _DEALT = "bucket long, words binary, sets binary, roots binary, heads binary"
 
 
@@ -164,24 +165,25 @@ def _groups(table: pa.Table, c: int, ball: bool = True) -> Iterator[tuple]:
 
 
 def _meet(c: int, ball: bool):
-    """Sets that meet in one bucket, each of another root with the first of them: (a, b, more).
+    """Sets that meet in one bucket, each of another root with the first of them: (a, b, near, more).
 
-    Of a root's sets that meet at one place only the first is paired; ``more`` tells that others
-    than the two meet there.
+    Of a root's sets that meet at one place only the first is paired; ``near`` tells that the two
+    may be similar, ``more`` that others than the two meet there. Pairs without either go.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        found = [np.zeros((0, 3), np.int64)]
+        found = [np.zeros((0, 4), np.int64)]
         for who, group, names, roots, _, after in _groups(table, c, ball):
             who = who[np.lexsort((names[who], roots[who], group))]
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             many = np.diff(np.r_[first, len(group)])
             hub, more = who[np.repeat(first, many)], np.repeat(many > 2, many) & ball
             new = np.r_[True, (group[1:] != group[:-1]) | (roots[who][1:] != roots[who][:-1])]
-            ok = new & (roots[hub] != roots[who]) & (more | (np.bitwise_count(after[hub] ^ after[who]) <= NEXT))
-            found.append(np.unique(np.stack([names[hub], names[who], more], axis=1)[ok], axis=0))
-        a, b, more = np.unique(np.concatenate(found), axis=0).T
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(more.astype(bool))})
+            near = np.bitwise_count(after[hub] ^ after[who]) <= NEXT
+            ok = new & (roots[hub] != roots[who]) & (more | near)
+            found.append(np.unique(np.stack([names[hub], names[who], near, more], axis=1)[ok], axis=0))
+        a, b, near, more = np.unique(np.concatenate(found), axis=0).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "near": pa.array(near.astype(bool)), "more": pa.array(more.astype(bool))})
 
     return run
 
@@ -300,7 +302,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
     def verified(pairs: DataFrame) -> DataFrame:
         near = pairs.join(one, "a").join(two, "b").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * (similarity - 1e-9))
         few = F.greatest("n1", "n2") <= FEW
-        pairs = settled(near.where(few).select("a", "b").union(near.where(~few & _may_be_near("p1", "p2")).select("a", "b")))
+        pairs = settled(near.where(few | _may_be_near("p1", "p2")).select("a", "b"))
         used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
         own = sets.join(used, "set_id").select("set_id", F.col("id").alias("rid"), F.col("text_hash").alias("rhash"))
         found = docs.join(own, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")))
@@ -323,10 +325,10 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
         return settled(sets.join(components(edges), F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node"))
 
     own = sets.withColumn("root", F.col("set_id"))
-    edges = verified(emitted(own, False).applyInArrow(_meet(c, False), "a long, b long, more boolean").select("a", "b").distinct())
-    met = emitted(rooted_by(edges), True).applyInArrow(_meet(c, True), "a long, b long, more boolean")
-    met = settled(met.groupBy("a", "b").agg(F.max("more").alias("more")))
-    edges = edges.union(verified(met.select("a", "b")))
+    edges = verified(emitted(own, False).applyInArrow(_meet(c, False), _MET).select("a", "b").distinct())
+    met = emitted(rooted_by(edges), True).applyInArrow(_meet(c, True), _MET)
+    met = settled(met.groupBy("a", "b").agg(F.max("near").alias("near"), F.max("more").alias("more")))
+    edges = edges.union(verified(met.where("near").select("a", "b")))
     roots = components(edges)
     split = settled(apart(met.where("more").select("a", "b"), roots).select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct())
     if not split.take(1):
