@@ -34,14 +34,17 @@ KEPT = 150_000
 #: Texts, and characters of them, whose unseen words are looked up together.
 BLOCK, BLOCK_CHARS = 512, 4_000_000
 
-#: Signs that count as word characters but are no letters, such as ² and ½.
-_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_WORDS = re.compile(f"[^\\W_{re.escape(_SIGNS)}]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+#: Signs that count as word characters but are no letters, such as ² and ½; a class this large is slow, so it only parts the words that hold one.
+_SIGNS = re.compile("[" + re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())) + "]+").split
 
 
 def words(text: str) -> list[str]:
     """Lower-cased runs of letters."""
-    return _WORDS(text.lower())
+    found = _RUNS(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else filter(None, _SIGNS(w)))]
 
 
 def grams(word: str, n: int) -> list[str]:
