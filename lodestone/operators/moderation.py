@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import words as text_words
 
 #: Items of a bank, and keywords of a dictionary, that one pass sends out.
-BANK_BLOCK, KEYWORDS_PER_PASS = 1000, 10_000
+BANK_BLOCK, KEYWORDS_PER_PASS = 50_000, 10_000
 #: Our own small neutral dictionary: (keyword, category, code). Categories may share a code.
 RULES = (
     ("blend", "kitchen", "C2"), ("pathetic", "rude", "C3"), ("worthless", "rude", "C3"), ("token", "credential", "C4"),
@@ -79,11 +84,34 @@ def verdicts(found: DataFrame) -> DataFrame:
 def contained(docs: DataFrame, bank: DataFrame, block: int = BANK_BLOCK) -> DataFrame:
     """(doc_id, item_id) of each item of ``bank`` (item_id, text) that a text contains, case kept.
 
-    A block of about ``block`` items is broadcast at a time; a larger bank takes one pass over
-    the texts for each of its blocks. Null and empty items and null texts match nothing.
+    About ``block`` items go to the tasks at a time, as one automaton that finds all of them in one
+    walk over a text; a larger bank takes one pass over the texts for each of its blocks. Null and
+    empty items and null texts match nothing.
     """
-    items = bank.where("text <> ''").select("item_id", F.col("text").alias("item"))
+    items = bank.where("text <> ''").select("item_id", "text")
     passes = max(1, -(-items.count() // block))
-    part = F.pmod(F.xxhash64("item_id", "item"), F.lit(passes))
-    found = [docs.join(F.broadcast(items.where(part == i)), F.col("text").contains(F.col("item"))) for i in range(passes)]
-    return reduce(DataFrame.unionByName, [f.select("doc_id", "item_id") for f in found])
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    id_kind, item_kind = docs.schema["doc_id"].dataType, bank.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", id_kind), T.StructField("item_id", item_kind)])
+    found = []
+    for i in range(passes):
+        listed: dict[str, list] = {}
+        for r in items.where(part == i).distinct().collect():  # about `block` items
+            listed.setdefault(r.text, []).append(r.item_id)
+        held = docs.sparkSession.sparkContext.broadcast(listed)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            walk = ahocorasick.Automaton()
+            for text, ids in held.value.items():
+                walk.add_word(text, (text, ids))
+            walk.make_automaton()
+            for batch in batches:
+                at, out = [], []
+                for row, text in enumerate(batch.column(1)):
+                    hits = {item for _, (_, ids) in walk.iter(text.as_py() or "") for item in ids} if held.value else set()
+                    at += [row] * len(hits)
+                    out += hits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(out, to_arrow_type(item_kind))], ["doc_id", "item_id"])
+
+        found.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found)

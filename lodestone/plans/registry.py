@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "retrieval", "corpus", "activity", "records", "decisions", "contexts", "stores", "knowledge", "navigable", "users", "graphs", "banks", "feeds", "recall")
+MODULES = ("lexical", "retrieval", "corpus", "activity", "records", "decisions", "contexts", "stores", "knowledge", "navigable", "users", "graphs", "banks", "feeds", "recall", "judges")
 
 
 def _all(what: str) -> dict:
