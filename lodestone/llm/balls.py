@@ -64,11 +64,11 @@ def deal(prints: np.ndarray, reach: np.ndarray, width: int, c: int) -> tuple[np.
     return who, head[who] ^ how
 
 
-def meet(prints: np.ndarray, reach: np.ndarray, width: int, c: int, bucket: int, halves: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def meet(prints: np.ndarray, reach: np.ndarray, width: int, c: int, bucket: int, halves: bool = False, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(which, flips, group) of the fingerprints that meet at a variant of the bucket.
 
     ``group`` numbers the variants where two or more meet; rows are sorted by it. A bucket
-    with too many variants comes in several parts.
+    with more variants than ``held`` comes in several parts.
     """
     head = prints >> np.uint64(width - c) if c else np.zeros(len(prints), np.uint64)
     used = np.bitwise_count(head ^ np.uint64(bucket)).astype(np.int8)
@@ -78,9 +78,9 @@ def meet(prints: np.ndarray, reach: np.ndarray, width: int, c: int, bucket: int,
     kinds = [(r, u) for r in np.unique(reach[inside]).tolist() for u in range(r + 1)]
     rows = {k: inside[(reach[inside] == k[0]) & (used[inside] == k[1])] for k in kinds}
     sizes = {k: len(_masks(width, c, k[0], k[1], halves)) for k in kinds}
-    if sum(len(rows[k]) * sizes[k] for k in kinds) > HELD and c < (width // 2 if halves else width):
+    if sum(len(rows[k]) * sizes[k] for k in kinds) > held and c < (width // 2 if halves else width):
         for bit in (0, 1):
-            for which, flips, group in meet(prints[inside], reach[inside], width, c + 1, bucket << 1 | bit, halves):
+            for which, flips, group in meet(prints[inside], reach[inside], width, c + 1, bucket << 1 | bit, halves, held):
                 yield inside[which], flips, group
         return
     tail = prints & np.uint64((1 << (width - c)) - 1)

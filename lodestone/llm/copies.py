@@ -41,6 +41,8 @@ WHOLE, HEAD, HEADS = 150, 8, 62
 LEAST_BITS, MOST_BITS = 4, 24
 #: Sets of up to so many shingles also emit themselves without one and two; at 0.8 no two of them differ by more on either side.
 FEW = 13
+#: Variants that a task makes at once.
+HELD = 1_000_000
 #: Sets of a cluster, and shingles of them, that one task compares; larger clusters are dealt anew.
 CLUSTER_SETS, CLUSTER_SHINGLES = 5000, 4_000_000
 #: Sets that a task takes on, about.
@@ -160,7 +162,7 @@ def _groups(table: pa.Table, c: int, ball: bool = True) -> Iterator[tuple]:
         order = np.argsort(fps, kind="stable")
         yield order, np.cumsum(np.r_[False, fps[order][1:] != fps[order][:-1]]), names, roots, heads, after
         return
-    for who, _, group in balls.meet(fps, balls.reach_of(fps, RADIUS), WIDTH, c, bucket & (1 << c) - 1):
+    for who, _, group in balls.meet(fps, balls.reach_of(fps, RADIUS), WIDTH, c, bucket & (1 << c) - 1, held=HELD):
         yield who, group, names, roots, heads, after
 
 
@@ -274,12 +276,11 @@ def _may_be_near(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _similar(similarity: float):
-    @F.pandas_udf(T.BooleanType())
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            out.append(_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-12)
-        return pd.Series(out, dtype=bool)
+    @F.arrow_udf(T.BooleanType())
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        """One pair at a time, so that a batch of large sets is held once."""
+        pairs = ((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(left, right))
+        return pa.array([_jaccard(x, y) >= similarity - 1e-12 for x, y in pairs], pa.bool_())
 
     return similar
 
