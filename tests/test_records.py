@@ -77,15 +77,18 @@ def test_ttl_hits_across_stretches(spark):
     assert {r.id: r.hit for r in found.collect()} == {1: False, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True, 8: False}
 
 
-def test_near_names_against_brute_force(spark):
+def test_near_names_against_brute_force(spark, monkeypatch):
     names = ["blue bolt", "Blue Bolt", "bolt blue", "red ring", "rde ring", "", None, "a"]
     asked = ["blue bolts", "red rings", "a", ""]
     table = spark.createDataFrame(list(enumerate(names)), "id int, name string")
     got = sorted((r.query, r.id, r.ratio) for r in entities.near_names(table, asked).collect())
     want = [(q, i, round(SequenceMatcher(None, q, n.lower()).ratio(), 6)) for q in asked for i, n in enumerate(names) if n is not None]
     assert got == sorted(w for w in want if w[2] >= 0.8)
-    with pytest.raises(ValueError):
-        entities.near_names(table, [str(i) for i in range(entities.MAX_NAMES + 1)])
+    spans = spark.createDataFrame([(1, "blue bolts and a red ring"), (2, "a a"), (3, None)], "doc_id int, text string")
+    once = [sorted(map(tuple, f.collect())) for f in (entities.mentions(spans, [*asked, *asked, "red"]), entities.multi_match(table, asked))]
+    monkeypatch.setattr(entities, "MAX_NAMES", 1)  # each name in a pass of its own
+    assert sorted((r.query, r.id, r.ratio) for r in entities.near_names(table, asked).collect()) == got
+    assert [sorted(map(tuple, f.collect())) for f in (entities.mentions(spans, [*asked, *asked, "red"]), entities.multi_match(table, asked))] == once
 
 
 def test_mentions(spark):
