@@ -38,7 +38,7 @@ NEXT = 12
 #: … of all 768 (three deviations), and of the first eight fingerprints' 256 (four deviations).
 WHOLE, HEAD, HEADS = 150, 8, 62
 #: Leading bits that fingerprints are dealt by, at least and at most.
-LEAST_BITS, MOST_BITS = 4, 24
+LEAST_BITS, MOST_BITS = 2, 24
 #: Sets of up to so many shingles also emit themselves without one and two; at 0.8 no two of them differ by more on either side.
 FEW = 13
 #: Variants that a task makes at once.
@@ -47,6 +47,8 @@ HELD = 1_000_000
 CLUSTER_SETS, CLUSTER_SHINGLES = 5000, 4_000_000
 #: Sets that a task takes on, about.
 TASK_SETS = 3000
+#: Rows of at most some 200 bytes that are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Texts whose fingerprints are dealt at once.
 BLOCK = 4096
 
@@ -285,6 +287,14 @@ def _similar(similarity: float):
     return similar
 
 
+def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (rid, rhash, …) with the texts of ``docs`` (id, text_hash, text); a counted few are broadcast, so that the texts stay where they are."""
+    rows = settled(rows)
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")))
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
     """Edges (u, v) that connect the set ids which similar sets connect.
 
@@ -306,7 +316,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
         pairs = settled(near.where(few | _may_be_near("p1", "p2")).select("a", "b"))
         used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
         own = sets.join(used, "set_id").select("set_id", F.col("id").alias("rid"), F.col("text_hash").alias("rhash"))
-        found = docs.join(own, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")))
+        found = _with_texts(docs, own)
         whole = settled(found.select("set_id", _set_column(size)("text").alias("s")).dropDuplicates(["set_id"]))
         both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("s").alias("x")), "a")
         both = both.join(whole.select(F.col("set_id").alias("b"), F.col("s").alias("y")), "b")
@@ -341,7 +351,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
     tasks = max(1, -(-rooted.count() // TASK_SETS))
     here = rooted.join(sizes.where("fits").select("cluster"), "cluster", "left_semi")
     own = here.select("cluster", "set_id", "root", "prints", F.col("id").alias("rid"), F.col("text_hash").alias("rhash"))
-    found = docs.join(own, F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash"))).dropDuplicates(["set_id"])
+    found = _with_texts(docs, own).dropDuplicates(["set_id"])
     found = found.select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), "cluster", "set_id", "root", "prints", _set_column(size)("text").alias("s"))
     edges = edges.union(settled(found.groupBy("task").applyInArrow(_within(similarity), "u long, v long")))
     large = rooted.join(sizes.where("NOT fits").select("cluster"), "cluster", "left_semi")
