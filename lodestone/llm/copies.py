@@ -49,6 +49,8 @@ CLUSTER_SETS, CLUSTER_SHINGLES = 5000, 4_000_000
 TASK_SETS = 3000
 #: Rows of at most some 200 bytes that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Edges that one task connects; more are connected in rounds.
+FEW_EDGES = 200_000
 #: Texts whose fingerprints are dealt at once.
 BLOCK = 4096
 
@@ -333,18 +335,18 @@ def similar_sets(docs: DataFrame, sets: DataFrame, size: int, similarity: float)
         return of.select("set_id", "prints", "few", "root").mapInArrow(_emit(c, ball, whole), _DEALT).groupBy("bucket")
 
     def rooted_by(edges: DataFrame) -> DataFrame:
-        return settled(sets.join(components(edges), F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node"))
+        return settled(sets.join(components(edges, FEW_EDGES), F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node"))
 
     own = sets.withColumn("root", F.col("set_id"))
     edges = verified(emitted(own, False).applyInArrow(_meet(c, False), _MET).select("a", "b").distinct())
     met = emitted(rooted_by(edges), True).applyInArrow(_meet(c, True), _MET)
     met = settled(met.groupBy("a", "b").agg(F.max("near").alias("near"), F.max("more").alias("more")))
     edges = edges.union(verified(met.where("near").select("a", "b")))
-    roots = components(edges)
+    roots = components(edges, FEW_EDGES)
     split = settled(apart(met.where("more").select("a", "b"), roots).select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct())
     if not split.take(1):
         return edges
-    clusters = components(split).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    clusters = components(split, FEW_EDGES).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     rooted = settled(rooted_by(edges).join(clusters, "root"))
     sizes = rooted.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     sizes = settled(sizes.withColumn("fits", (F.col("sets") <= CLUSTER_SETS) & (F.col("shingles") <= CLUSTER_SHINGLES)))
@@ -373,7 +375,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = settled(own.withColumn("m", _marks(size)("text")).select("id", "text_hash", "m.*"))
     rep = F.min(F.struct("id", "text_hash")).alias("r")
     sets = settled(marked.groupBy("set_id", "n", "prints", "few").agg(rep).select("set_id", "n", "prints", "few", "r.*"))
-    roots = components(similar_sets(own, sets, size, similarity))
+    roots = components(similar_sets(own, sets, size, similarity), FEW_EDGES)
     return marked.join(roots, F.col("set_id") == F.col("node"), "left").select("id", "text_hash", F.coalesce("root", "set_id").alias("component_fp"))
 
 
