@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vectors that one block of a search broadcasts, about.
 MAX_QUERIES = 10_000
+#: Scores that a task holds at once, about.
+MAX_CELLS = 1_000_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -50,15 +52,17 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def score_queries(
-    vectors: DataFrame, searches: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None, k: int | None = None, by: str | None = None
+    vectors: DataFrame, searches: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None, k: int | None = None, by: str | None = None, nearest: bool = False
 ) -> DataFrame:
     """(query_id, id, other columns…, score): cosine of each vector with each query, by matrix products.
 
     ``searches`` has (query_id, query_vec); it is sent out in blocks of at most ``MAX_QUERIES``,
     so any number may be given, and each block takes one pass over the vectors. Null vectors
     have no score; a vector of another length or without a norm has 0. With ``least`` lower
-    scores, and with ``k`` all but the best k per query (and value of ``by``) of a batch are left
-    out before anything is shuffled; ties go to the smaller id.
+    scores, with ``k`` all but what can be among the best k per query (and value of ``by``) of a
+    task, and with ``nearest`` all but the best query of each vector in a block are left out
+    before anything is shuffled; ties go to the smaller id. A task holds at most about
+    ``MAX_CELLS`` scores at once.
     """
     spark = vectors.sparkSession
     rest = [c for c in vectors.columns if c not in (id_col, vec_col)]
@@ -66,28 +70,39 @@ def score_queries(
     blocks = max(1, -(-asked.count() * 2 // MAX_QUERIES))  # half full on average
     numbered = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("__v"), *rest)
     schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), *(numbered.schema[c] for c in ("id", *rest)), T.StructField("score", T.DoubleType())])
+    kind, cells = to_arrow_type(schema["query_id"].dataType), MAX_CELLS
     out = None
     for part in range(blocks):
         share = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(blocks)) == part)
-        rows = share.collect()  # at most about MAX_QUERIES
+        rows = sorted(share.collect(), key=lambda r: (r.query_id is None, r.query_id))  # at most about MAX_QUERIES
         sizes = sorted({len(r.query_vec) for r in rows})
         held = spark.sparkContext.broadcast([
             ([r.query_id for r in rows if len(r.query_vec) == n], _unit([r.query_vec for r in rows if len(r.query_vec) == n], n), n) for n in sizes
         ])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            bank = [(pa.array(queries, kind), matrix, size, _Floor(k, len(queries))) for queries, matrix, size in held.value]
+            step = max(1, cells // max([1, *(len(queries) for queries, _, _, _ in bank)]))
             for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    ids = batch.column(0)
-                    for queries, matrix, size in held.value:
-                        score = np.round(matrix @ _matrix(batch.column(1), size).T, 6) + 0.0
-                        keep = np.ones(score.shape, bool) if least is None else score >= least
-                        if k is not None:
-                            keep &= _best(score, ids, batch.column(batch.schema.get_field_index(by)) if by else None, k)
-                        q, v = np.nonzero(keep)
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    for queries, matrix, size, floor in bank:
+                        score = matrix @ _matrix(batch.column(1), size).T
+                        np.round(score, 6, out=score)
+                        score += 0.0
+                        if nearest:
+                            v = np.arange(batch.num_rows)
+                            q = score.argmax(axis=0)  # the first of equals has the smallest id
+                            if least is not None:
+                                v = np.flatnonzero(score[q, v] >= least)
+                                q = q[v]
+                        else:
+                            keep = np.ones(score.shape, bool) if least is None else score >= least
+                            if k is not None:
+                                keep &= floor.best(score, batch.column(0), batch.column(batch.schema.get_field_index(by)) if by else None)
+                            q, v = np.nonzero(keep)
                         picked = batch.take(pa.array(v))
-                        columns = [pa.array([queries[i] for i in q], to_arrow_type(schema["query_id"].dataType)), picked.column(0), *(picked.column(i) for i in range(2, 2 + len(rest)))]
+                        columns = [queries.take(pa.array(q)), picked.column(0), *(picked.column(i) for i in range(2, 2 + len(rest)))]
                         yield pa.RecordBatch.from_arrays([*columns, pa.array(score[q, v])], ["query_id", "id", *rest, "score"])
 
         scored = numbered.mapInArrow(run, schema)
@@ -95,16 +110,33 @@ def score_queries(
     return out
 
 
-def _best(score: np.ndarray, ids: pa.Array, groups: pa.Array | None, k: int) -> np.ndarray:
-    """Which of a batch's scores can be among the best ``k`` of their query (and group)."""
-    keep = np.zeros(score.shape, bool)
-    by_id = pc.sort_indices(ids).to_numpy()
-    codes = groups.dictionary_encode().indices.fill_null(-1).to_numpy() if groups is not None else np.zeros(len(ids), np.int64)
-    for code in np.unique(codes):
-        own = by_id[codes[by_id] == code]  # in the order of ids, so that a stable sort breaks ties
-        first = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
-        np.put_along_axis(keep, own[first], True, axis=1)
-    return keep
+class _Floor:
+    """The best ``k`` scores of each query (and group) that a task has met; what is below them can't be among the best."""
+
+    def __init__(self, k: int | None, queries: int):
+        self.k, self.queries, self.held = k, queries, {}
+
+    def best(self, score: np.ndarray, ids: pa.Array, groups: pa.Array | None) -> np.ndarray:
+        """Which of a batch's scores can be among the best ``k``."""
+        keep = np.zeros(score.shape, bool)
+        by_id = pc.sort_indices(ids).to_numpy()
+        encoded = groups.dictionary_encode() if groups is not None else None
+        codes = encoded.indices.fill_null(-1).to_numpy() if groups is not None else np.zeros(len(ids), np.int64)
+        for code in np.unique(codes):
+            own = by_id[codes[by_id] == code]  # in the order of ids, so that a stable sort breaks ties
+            first = np.argsort(-score[:, own], axis=1, kind="stable")[:, : self.k]
+            top = np.take_along_axis(score[:, own], first, axis=1)
+            name = encoded.dictionary[int(code)].as_py() if groups is not None and code >= 0 else None
+            kept = self.held.get(name)
+            # a score equal to the floor may have the smaller id
+            np.put_along_axis(keep, own[first], True if kept is None else top >= kept[:, :1], axis=1)
+            if kept is None:
+                if len(self.held) * self.queries * self.k >= MAX_CELLS:
+                    continue  # of more groups every batch's best are given
+                kept = np.full((self.queries, self.k), -np.inf)
+            both = np.concatenate([kept, top], axis=1)
+            self.held[name] = np.sort(both, axis=1)[:, -self.k :]
+        return keep
 
 
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:

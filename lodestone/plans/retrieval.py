@@ -42,14 +42,14 @@ def vector_threshold(s, d):
 
 def vector_best_match(s, d):
     """Arg-max of each other vector over the bank of those divisible by 20, at or above the threshold."""
-    bank = _scored(s, d, least=LEAST).where("id % 20 <> 0")
+    bank = _scored(s, d, least=LEAST, nearest=True).where("id % 20 <> 0")
     best = bank.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("n"), "query_id")).alias("b"))
     return best.select("id", F.col("b.query_id").alias("bank_id"), (-F.col("b.n")).alias("score"))
 
 
 def vector_insert_filter(s, d):
     """Vectors that no vector of the bank resembles: the largest cosine is at most the threshold."""
-    return _scored(s, d).where("id % 20 <> 0").groupBy("id").agg(F.max("score").alias("nearest")).where(F.col("nearest") <= LEAST)
+    return _scored(s, d, nearest=True).where("id % 20 <> 0").groupBy("id").agg(F.max("score").alias("nearest")).where(F.col("nearest") <= LEAST)
 
 
 def vector_pairs_similar(s, d):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lodestone.operators import vectors
 
 
@@ -8,3 +10,25 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
     assert sorted(vectors.score_queries(rows, asked).collect()) == whole and len(whole) == 150
     assert vectors.score_queries(rows, asked.limit(0)).count() == 0
+
+
+def test_small_steps_lose_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], f"g{i % 3}") for i in range(200)], "vec_id long, embedding array<double>, label string").repartition(3)
+    asked = spark.createDataFrame([(i, [1.0, float(i % 4), 0.5]) for i in range(9)], "query_id long, query_vec array<double>")
+    best = lambda **more: {tuple(r) for r in vectors.top_k(vectors.score_queries(rows, asked, k=6, **more), 6, "query_id", *more.values()).select("query_id", "id", "rank").collect()}
+    near = lambda: {(r.id, r.query_id, r.score) for r in vectors.score_queries(rows, asked, nearest=True).collect()}
+    every = vectors.score_queries(rows, asked)
+    whole, grouped, nearest = best(), best(by="label"), near()
+    assert whole == {tuple(r) for r in vectors.top_k(every, 6, "query_id").select("query_id", "id", "rank").collect()}
+    assert grouped == {tuple(r) for r in vectors.top_k(every, 6, "query_id", "label").select("query_id", "id", "rank").collect()}
+    assert nearest == {(r.id, r.query_id, r.score) for r in vectors.top_k(every.select(F.col("id").alias("v"), F.col("query_id").alias("id"), "score"), 1, "v").select(F.col("v").alias("id"), F.col("id").alias("query_id"), "score").collect()}
+    assert len(nearest) == 200
+    monkeypatch.setattr(vectors, "MAX_CELLS", 40)
+    assert best() == whole and best(by="label") == grouped and near() == nearest
+
+
+def test_a_task_gives_few_rows(spark):
+    rows = spark.range(0, 30_000, 1, 2).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos(F.col("id") * 1.7), F.lit(0.3)).alias("embedding"))
+    asked = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(100)], "query_id long, query_vec array<double>")
+    assert vectors.score_queries(rows, asked, nearest=True).count() == 30_000
+    assert vectors.score_queries(rows, asked, k=10).count() < 100 * 10 * 2 * 6
