@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, sessions
-from lodestone.sources.tables import table
+from lodestone.sources.tables import stream, table
 from lodestone.streaming import rollups
 
 
@@ -53,14 +53,12 @@ def metrics_level_rollup(s, d):
 
 def metrics_stream_hourly(s, d):
     """Hours that the watermark, two hours behind the last event, has closed."""
-    kind = table(s, d, "events").schema
-    return rollups.drained(rollups.hourly(s.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)))
+    return rollups.drained(rollups.hourly(stream(s, d, "events")))
 
 
 def style_state_stream(s, d):
     """Turns and characters of each session, kept as running state of a stream."""
-    kind = table(s, d, "conversations").schema
-    turns = s.readStream.schema(kind).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    turns = stream(s, d, "conversations")
     return rollups.drained(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars")), "complete")
 
 

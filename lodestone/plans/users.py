@@ -9,7 +9,7 @@ from lodestone.functions import decisions as rules
 from lodestone.functions import prompts
 from lodestone.operators import sessions as turns_of
 from lodestone.plans import decisions
-from lodestone.sources.tables import table
+from lodestone.sources.tables import stream, table
 from lodestone.streaming import sessions
 
 KEEP = 3
@@ -17,20 +17,11 @@ KEEP = 3
 USERS = 97
 
 
-def _stream(s, d, name):
-    return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d) if not _folder(s, d, name) else s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parquet")
-
-
-def _folder(s, d, name) -> bool:
-    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-    return path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-
-
 def _sessions(s, d):
     """States of the clients' sessions over all clicks; an error ends a session."""
     fold = lambda batch: sessions.fold_sessions(batch, "client_id", "click_id", "value", F.col("kind") == "error", KEEP)
     merge = lambda old, new: sessions.merge_sessions(old, new, "client_id", KEEP)
-    return sessions.folded_stream(_stream(s, d, "clicks"), fold, merge, sessions.started(s, "sessions"))
+    return sessions.folded_stream(stream(s, d, "clicks"), fold, merge, sessions.started(s, "sessions"))
 
 
 def session_saved(s, d):
@@ -49,7 +40,7 @@ def _style(s, d):
     """Styles of the conversations' users from their turns, the marks as full-width ones."""
     wide = lambda batch: batch.where("role = 'user'").withColumn("text", F.translate("text", "!?", "！？"))
     fold = lambda batch: sessions.fold_styles(wide(batch), "conv_id", "turn", "text", prompts.EMOTIONS, prompts.PATTERNS)
-    return sessions.folded_stream(_stream(s, d, "conversations"), fold, lambda old, new: sessions.merge_styles(old, new, "conv_id"), sessions.started(s, "styles"))
+    return sessions.folded_stream(stream(s, d, "conversations"), fold, lambda old, new: sessions.merge_styles(old, new, "conv_id"), sessions.started(s, "styles"))
 
 
 def style_learnt(s, d):
