@@ -58,3 +58,12 @@ def test_cosines_of_sentences(spark):
     rows = [(1, 0, "a b b"), (1, 1, "b a"), (1, 2, "..."), (1, 3, "b"), (2, 0, "x")]
     got = {r.doc: r.alike for r in recall.sentence_cosines(spark.createDataFrame(rows, "doc long, i int, text string"), "doc").collect()}
     assert got == {1: [None, round(3 / (5**0.5 * 2**0.5), 6), 0.0, 0.0], 2: [None]}
+
+
+def test_names_end_at_letters_that_are_not_ascii(spark, tmp_path):
+    from lodestone.plans import recall as plans
+
+    said = [(0, 0, "user", "Seen by éAnna and Bertö, not xCarl"), (97 * 20, 0, "user", "anna bert carl")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {(r.query_id, r.session_id): r.score for r in plans.memories_recalled(spark, str(tmp_path)).collect()}
+    assert found[0, 97 * 20] == 2 * 25 and found[0, 0] == 3 * 25
