@@ -135,10 +135,15 @@ def entity_mentions(s, d):
 
 
 def _echo(texts: list[str]) -> list[str]:
-    """Stands for a model: first 20 characters in upper case; fails on texts with a line end."""
+    """Stands for a model: first 20 characters in upper case, one for one; fails on texts with a line end."""
     if any("\n" in t for t in texts):
         raise ValueError("line end")
-    return [t[:20].upper() for t in texts]
+    return ["".join(map(_capital, t[:20])) for t in texts]
+
+
+def _capital(letter: str) -> str:
+    """The one letter that is the capital of another, where there is one."""
+    return next((c for c in (letter.upper(), letter.title(), "ẞ" if letter == "ß" else letter) if len(c) == 1), letter)
 
 
 def model_batch(s, d):

@@ -150,3 +150,12 @@ def test_unbounded_files_are_told(spark, tmp_path):
     spark.range(500).coalesce(1).write.parquet(str(tmp_path / "many"))
     by_file = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path)).groupBy("_metadata.file_path").count()
     assert by_file.selectExpr("every(count <= 100)").first()[0] is False
+
+
+def test_capitals_are_one_letter_each(spark, tmp_path):
+    from lodestone.plans import records as plans
+
+    rows = [(1, "straße ŉ ﬁn ᾳ é"), (2, "a\nb"), (3, "x" * 19 + "ßß")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.item_id: (r.reply, r.error) for r in plans.model_batch(spark, str(tmp_path)).collect()}
+    assert found == {1: ("STRAẞE ŉ ﬁN ᾼ É", None), 2: (None, "ValueError: line end"), 3: ("X" * 19 + "ẞ", None)}
