@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from lodestone.functions.text import index_terms
 from lodestone.sources.shared import settled
@@ -13,12 +19,28 @@ K1, B = 1.5, 0.75
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf) for each term of each document; documents without terms have no row."""
-    return (
-        docs.select(F.col(id_col).alias("id"), F.explode(index_terms(F.col(text_col))).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """(id, term, tf) for each term of each document; documents without terms have no row. Ids are unique."""
+    return counted(docs, id_col, index_terms(F.col(text_col))).select("id", "term", "tf")
+
+
+def counted(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
+    """(id, dl, term, tf) of each distinct term in a row's array, counted in the row itself: nothing is shuffled."""
+    own = docs.select(F.col(id_col).alias("id"), terms.alias("terms"))
+    schema = T.StructType([own.schema["id"], T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                listed = batch.column(1)
+                size = pc.list_value_length(listed).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                said = listed.flatten().dictionary_encode()
+                words = max(1, len(said.dictionary))
+                met, tf = np.unique(np.repeat(np.arange(len(size)), size) * words + said.indices.to_numpy(), return_counts=True)
+                row, code = met // words, met % words
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(size[row]), said.dictionary.take(pa.array(code)), pa.array(tf)], ["id", "dl", "term", "tf"])
+
+    return own.mapInArrow(count, schema)
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,12 +84,13 @@ def bm25_search(
 ) -> DataFrame:
     """Top ``k`` documents of each query by BM25.
 
-    ``searches`` has (query_id, query). Documents are read and cut into terms once; only their
+    ``searches`` has (query_id, query); each distinct text is searched for once. Documents are read and cut into terms once; only their
     lengths and the query terms in them leave the scan. More than ``most`` distinct query terms
     are joined instead of being looked up in each task. Returns (query_id, id, score, rank);
     ties go to the smaller id, documents without a query term never appear.
     """
-    terms = settled(query_terms(searches))
+    texts = searches.where("query IS NOT NULL").select(F.col("query").alias("query_id"), "query").distinct()
+    terms = settled(query_terms(texts))
     wanted = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
     occur = docs.select(F.col(id_col).alias("id"), index_terms(F.col(text_col)).alias("terms"))
     found = F.filter("terms", lambda t: t.isin(wanted)) if len(wanted) <= most else F.col("terms")
@@ -77,13 +100,14 @@ def bm25_search(
     if len(wanted) > most:
         hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
     hits = hits.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return ranked(hits, terms, doc_freq(hits), stats, k)
+    found = ranked(hits, terms, doc_freq(hits), stats, k).withColumnRenamed("query_id", "query")
+    return searches.select("query_id", "query").join(found, "query").select("query_id", "id", "score", "rank")
 
 
 def save_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write postings (id, dl, term, tf), document frequencies and corpus statistics below ``path``."""
     lengths = doc_lengths(docs, id_col, text_col)
-    post = postings(docs, id_col, text_col).join(lengths, "id")
+    post = counted(docs, id_col, index_terms(F.col(text_col)))
     post.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     kept = docs.sparkSession.read.parquet(f"{path}/postings")
     doc_freq(kept).write.mode("overwrite").parquet(f"{path}/doc_freq")

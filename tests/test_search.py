@@ -64,3 +64,21 @@ def test_stores_bear_nulls_and_repeats(spark):
     log = spark.createDataFrame([("u", 1, "set"), ("u", 2, "clear"), ("v", 1, "set"), ("v", 3, "set"), ("w", 1, "clear"), ("x", 1, None)], "k string, n int, op string")
     state = {r.k: r.turns for r in stores.sessions(log, "k", "n", F.col("op") == "clear", turns=F.count(F.lit(1))).collect()}
     assert state == {"v": 2, "x": 1}
+
+
+def test_one_text_is_searched_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, None), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, "red" if i % 2 else "hen fox") for i in range(50)] + [(99, None)], "query_id long, query string")
+    seen = []
+    terms = bm25.query_terms
+    monkeypatch.setattr(bm25, "query_terms", lambda searches: seen.append(searches.count()) or terms(searches))
+    found = bm25.bm25_search(docs, asked, 5).collect()
+    assert seen == [2] and len(found) == 100 and {r.query_id for r in found} == set(range(50))
+
+
+def test_terms_are_counted_without_a_shuffle(spark, capsys):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, None), (3, ""), (4, "hen")], "doc_id long, text string")
+    post = bm25.postings(docs)
+    post.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert {tuple(r) for r in post.collect()} == {(1, "red", 2), (1, "fox", 1), (4, "hen", 1)}
