@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestone.operators.dedup import greedy_keep
 from lodestone.sources.shared import settled
 
 #: Vectors that one block of a search broadcasts, about.
@@ -21,6 +22,8 @@ MAX_QUERIES = 10_000
 MAX_CELLS = 1_000_000
 #: Scores of edges that a task goes through, about.
 TASK_CELLS = 100_000_000
+#: Vectors of the first range of ids of :func:`greedy_distinct`, about.
+FIRST = 4000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -291,8 +294,46 @@ def nearest_lists(vector: Column, centres: np.ndarray, probes: int) -> Column:
 
 
 def ann_top_k(vectors: DataFrame, searches: DataFrame, k: int, lists: int = 8, probes: int = 3) -> DataFrame:
-    """Approximate top-k by inverted lists, re-ranked exactly."""
-    indexed, centres = inverted_lists(vectors, lists)
-    probed = searches.withColumn("list", F.explode(nearest_lists(F.col("query_vec"), centres, probes)))
-    near = indexed.join(probed, "list").withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6))
-    return top_k(near.select("query_id", F.col("vec_id").alias("id"), "score"), k, "query_id")
+    """(query_id, id, score, rank): approximate top-k by inverted lists, re-ranked exactly.
+
+    Each list meets the queries that probe it as matrices, so no row for a vector and a query is shuffled.
+    """
+    indexed, centres = inverted_lists(vectors.where("embedding IS NOT NULL"), lists)
+    indexed = settled(indexed.select("vec_id", "embedding", "list"))
+    probed = settled(searches.where("query_vec IS NOT NULL").withColumn("list", F.explode(nearest_lists(F.col("query_vec"), centres, probes))))
+    near = None
+    for i in range(max(1, len(centres))):
+        own = indexed.where(F.col("list") == i).drop("list")
+        found = score_queries(own, probed.where(F.col("list") == i).drop("list"), k=k).select("query_id", "id", "score")
+        near = found if near is None else near.union(found)
+    return top_k(near, k, "query_id")
+
+
+def greedy_distinct(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``vectors`` in the order of ids without those that one kept before resembles (``threshold`` over 0 or more); ids must not repeat.
+
+    Ranges of ids that double are taken in turn: each loses what a kept vector resembles, and only
+    of what is left are pairs made. So not all pairs at the threshold are held, whose number is the
+    square of the vectors. Null vectors resemble nothing, rows with a null id stay.
+    """
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
+    known = settled(rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL"))
+    count, shares = known.count(), []
+    while FIRST << len(shares) < count:
+        shares.append((FIRST << len(shares)) / count)
+    bounds = sorted({int(x) for x in known.approxQuantile("vec_id", shares, 1e-3)}) if shares else []
+    kept = None
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        new = known
+        if low is not None:
+            new = new.where(F.col("vec_id") >= low)
+        if high is not None:
+            new = new.where(F.col("vec_id") < high)
+        if kept is not None:
+            bank = kept.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+            hit = score_queries(new, bank, least=threshold, nearest=True).select(F.col("id").alias("vec_id")).distinct()
+            new = settled(new.join(hit, "vec_id", "left_anti"))
+        fresh = greedy_keep(new, similar_pairs(new, threshold), "vec_id")
+        kept = settled(fresh if kept is None else kept.union(fresh.select(kept.columns)))
+    other = vectors.where(F.col(id_col).isNull() | F.col(vec_col).isNull())
+    return other.union(vectors.join(kept.select(F.col("vec_id").alias(id_col)), id_col, "left_semi").select(vectors.columns))

@@ -32,3 +32,31 @@ def test_a_task_gives_few_rows(spark):
     asked = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(100)], "query_id long, query_vec array<double>")
     assert vectors.score_queries(rows, asked, nearest=True).count() == 30_000
     assert vectors.score_queries(rows, asked, k=10).count() < 100 * 10 * 2 * 6
+
+
+def test_lists_are_searched_without_rows_of_pairs(spark, monkeypatch):
+    rows = spark.range(0, 600, 1, 3).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos(F.col("id") * 1.7), F.sin(F.col("id") * 0.3)).alias("embedding"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    monkeypatch.setattr(vectors, "cosine", None)  # no row for a vector and a query
+    monkeypatch.setattr(vectors, "nearest_lists", lambda vector, centres, probes: F.array(F.lit(0), F.lit(1)) if probes > 1 else F.array((F.pmod(F.xxhash64(vector), F.lit(2))).cast("int")))
+    found = {tuple(r) for r in vectors.ann_top_k(rows, asked, 5, lists=2, probes=2).select("query_id", "id", "rank").collect()}
+    assert found == {tuple(r) for r in vectors.top_k(vectors.score_queries(rows, asked), 5, "query_id").select("query_id", "id", "rank").collect()}
+
+
+def test_greedy_in_ranges_is_one_walk(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    rows = [(i * 3, None if i % 50 == 7 else [draw.gauss(0, 1) for _ in range(5 if i % 9 else 4)]) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 0.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>").repartition(3)
+    pairs = {(r.a, r.b) for r in vectors.similar_pairs(df.where("vec_id IS NOT NULL"), 0.6).collect()}
+    kept = []
+    for i, v in rows:
+        if v is None or not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    monkeypatch.setattr(vectors, "FIRST", 20)
+    met, whole = [], vectors.similar_pairs
+    monkeypatch.setattr(vectors, "similar_pairs", lambda new, t: met.append(new.count()) or whole(new, t))
+    got = [r.vec_id for r in vectors.greedy_distinct(df, 0.6).collect()]
+    assert sorted(x for x in got if x is not None) == sorted(kept) and got.count(None) == 1
+    assert len(met) > 3 and sum(met) < 290 and len(kept) < 200
