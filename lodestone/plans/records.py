@@ -169,7 +169,8 @@ def rerank_scores(s, d):
 def semantic_dedup_greedy(s, d):
     """Vectors in id order, without those that resemble one kept before."""
     own = table(s, d, "embeddings").select("vec_id", "embedding")
-    return dedup.greedy_keep(own, vectors.similar_pairs(own, 0.3), "vec_id").select("vec_id")
+    ship(s)
+    return vectors.greedy_distinct(own, 0.3).select("vec_id")
 
 
 def entity_multi(s, d):
