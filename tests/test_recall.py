@@ -67,3 +67,10 @@ def test_names_end_at_letters_that_are_not_ascii(spark, tmp_path):
     spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = {(r.query_id, r.session_id): r.score for r in plans.memories_recalled(spark, str(tmp_path)).collect()}
     assert found[0, 97 * 20] == 2 * 25 and found[0, 0] == 3 * 25
+
+
+def test_sentences_are_compared_in_their_row(spark):
+    rows = spark.createDataFrame([(1, ["A b b.", "b a!", "c", "", "c c"]), (2, []), (3, None), (4, ["x"])], "doc long, s array<string>")
+    found = rows.select("doc", recall.neighbour_cosines(F.col("s")).alias("alike"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc: r.alike for r in found.collect()} == {1: [None, 0.948683, 0.0, 0.0, 0.0], 2: [], 3: None, 4: [None]}
