@@ -104,7 +104,7 @@ def candidates_merged(s, d):
 def cache_similar_hits(s, d):
     """Texts asked in the order of ids, ten seconds apart: the last one within an hour whose words are 0.8 alike."""
     own = _docs(s, d).select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(words(F.col("text")))).alias("set"))
-    found = neartext.similar_sets(own.where(F.size("set") > 0), 0.8).where("(b - a) * 10 <= 3600")
+    found = neartext.similar_sets(own, 0.8, within=360)
     return found.groupBy("b").agg(F.max(F.struct("a", "score")).alias("r")).select(F.col("b").alias("doc_id"), F.col("r.a").alias("hit"), F.col("r.score").alias("score"))
 
 

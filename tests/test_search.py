@@ -82,3 +82,26 @@ def test_terms_are_counted_without_a_shuffle(spark, capsys):
     post.explain()
     assert "Exchange" not in capsys.readouterr().out
     assert {tuple(r) for r in post.collect()} == {(1, "red", 2), (1, "fox", 1), (4, "hen", 1)}
+
+
+def test_similar_sets_shuffle_prefixes_only(spark, monkeypatch):
+    """Every pair is found with few buckets too, with ids that must be near, and of sets of words."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import neartext
+
+    draw = random.Random(2)
+    base = [draw.sample(range(-400, 400), 30) for _ in range(12)]
+    rows = [(i * 3, sorted(set(draw.sample(base[i % 12], 30 - i % 5) + draw.sample(range(400, 450), i % 4)))) for i in range(150)] + [(1, []), (2, [7])]
+    alike = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = {(i, k): round(alike(x, y), 6) for i, x in rows for k, y in rows if i < k and x and y and alike(x, y) >= 0.7}
+    near = {p: s for p, s in want.items() if p[1] - p[0] <= 60}
+    sets = spark.createDataFrame(rows, "id long, set array<long>")
+    words = sets.select("id", F.col("set").cast("array<string>").alias("set"))
+    for buckets in (1 << 18, 5):
+        monkeypatch.setattr(neartext, "BUCKETS", buckets)
+        assert {(r.a, r.b): r.score for r in neartext.similar_sets(sets, 0.7).collect()} == want
+        assert {(r.a, r.b): r.score for r in neartext.similar_sets(words, 0.7, within=60).collect()} == near
+    assert 0 < len(near) < len(want)
