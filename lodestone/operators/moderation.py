@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import ahocorasick
-import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import words as text_words
 
-#: Items of a bank, and keywords of a dictionary, that one pass sends out.
-BANK_BLOCK, KEYWORDS_PER_PASS = 50_000, 10_000
+#: Items of a bank and their characters, and keywords of a dictionary, that one pass sends out.
+BANK_BLOCK, BANK_CHARS, KEYWORDS_PER_PASS = 50_000, 2_000_000, 10_000
 #: Our own small neutral dictionary: (keyword, category, code). Categories may share a code.
 RULES = (
     ("blend", "kitchen", "C2"), ("pathetic", "rude", "C3"), ("worthless", "rude", "C3"), ("token", "credential", "C4"),
@@ -81,37 +80,43 @@ def verdicts(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.concat(F.lit("C"), F.min(number).cast("string")).alias("code"), F.countDistinct("category").alias("categories"))
 
 
-def contained(docs: DataFrame, bank: DataFrame, block: int = BANK_BLOCK) -> DataFrame:
+def contained(docs: DataFrame, bank: DataFrame, block: int = BANK_BLOCK, chars: int = BANK_CHARS) -> DataFrame:
     """(doc_id, item_id) of each item of ``bank`` (item_id, text) that a text contains, case kept.
 
-    About ``block`` items go to the tasks at a time, as one automaton that finds all of them in one
-    walk over a text; a larger bank takes one pass over the texts for each of its blocks. Null and
-    empty items and null texts match nothing.
+    About ``block`` items and ``chars`` characters go to the tasks at a time, as one automaton that
+    finds all of them in one walk over a text; a larger bank takes one pass over the texts for each
+    of its blocks. Texts reach Python in batches of few rows, so that a worker's memory doesn't grow
+    with the rows of a task. Null and empty items and null texts match nothing.
     """
     items = bank.where("text <> ''").select("item_id", "text")
-    passes = max(1, -(-items.count() // block))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    passes = max(1, -(-size.n // block), -(-size.chars // chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    id_kind, item_kind = docs.schema["doc_id"].dataType, bank.schema["item_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_kind), T.StructField("item_id", item_kind)])
+    kind = T.ArrayType(bank.schema["item_id"].dataType)
     found = []
     for i in range(passes):
         listed: dict[str, list] = {}
         for r in items.where(part == i).distinct().collect():  # about `block` items
             listed.setdefault(r.text, []).append(r.item_id)
         held = docs.sparkSession.sparkContext.broadcast(listed)
+        hits = F.udf(_walk(held), kind, useArrow=False)  # a hundred rows at a time, whatever Arrow's batches hold
+        found.append(docs.select("doc_id", F.explode(hits("text")).alias("item_id")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _walk(held: Broadcast) -> Callable[[str | None], list]:
+    """A function from a text to the ids of the items of ``held`` that it contains; a task makes the automaton once."""
+    made = []
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def run(text: str | None) -> list:
+        if not text or not held.value:
+            return []
+        if not made:
             walk = ahocorasick.Automaton()
-            for text, ids in held.value.items():
-                walk.add_word(text, (text, ids))
+            for item, ids in held.value.items():
+                walk.add_word(item, ids)
             walk.make_automaton()
-            for batch in batches:
-                at, out = [], []
-                for row, text in enumerate(batch.column(1)):
-                    hits = {item for _, (_, ids) in walk.iter(text.as_py() or "") for item in ids} if held.value else set()
-                    at += [row] * len(hits)
-                    out += hits
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(out, to_arrow_type(item_kind))], ["doc_id", "item_id"])
-
-        found.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, found)
+            made.append(walk)
+        return list({item for _, ids in made[0].iter(text) for item in ids})
+
+    return run

@@ -138,6 +138,17 @@ def test_bank_in_several_passes(spark):
         assert sorted(map(tuple, moderation.contained(docs, bank, block).collect())) == [(1, 1), (1, 5), (2, 1), (2, 2)]
 
 
+def test_bank_by_characters(spark):
+    """A bank is cut by its characters too, and a worker holds few texts at a time, not one of Arrow's batches."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, None), (4, "")], "doc_id long, text string")
+    bank = spark.createDataFrame([(1, "beta"), (2, "gamma"), (3, "alpha"), (4, "a b"), (5, "delta")], "item_id long, text string")
+    for chars in (1, 8, 1000):
+        found = moderation.contained(docs, bank, chars=chars)
+        assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 3), (1, 4), (2, 1), (2, 2)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
 def test_multi_match(spark):
     names = spark.createDataFrame([(1, "Blue Bolt"), (2, "bolt"), (3, "red"), (4, None), (5, "")], "id int, name string")
     got = [(r.query, r.id, r.score, r["rank"]) for r in entities.multi_match(names, ["blue bolt", "bolts"], k=2).orderBy("query", "rank").collect()]
