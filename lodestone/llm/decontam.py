@@ -2,10 +2,11 @@
 
 Texts and items are words (lower-cased runs of letters and digits). Windows have as many words
 as an item and begin at every stride-th word, a quarter of the item's shingles; their 64-bit
-SimHashes come from running sums of votes. Four blocks of 16 bits, each looked up within four
-bits, find every item fingerprint within 19 bits. A candidate is verified by the weighted
-Jaccard similarity of 5-word shingles of all windows of its text, not only of those on the
-grid, so what is found is exact.
+SimHashes come from running sums of bits, several to a machine word. Each of four blocks of 16
+bits is looked up for its least distance to any item's block. Where the four add up to 19 bits
+at most, and only there, whole fingerprints are compared, so every item fingerprint within 19
+bits is found. A candidate is verified by the weighted Jaccard similarity of 5-word shingles of
+all windows of its text, not only of those on the grid, so what is found is exact.
 
 Of windows at a similarity of 0.8 the fingerprints are about 10 bits from the item's, at the
 worst offset from the grid 14: 19 bits miss few (the tests measure it against all windows).
@@ -29,21 +30,26 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Shingles of an item for each word of the stride.
 STRIDE = 4
 #: Items, and characters of them, that one pass over the documents holds in memory; more take more passes.
-#: Items of that many characters have at most some 1,700 lengths, whose blocks take 57 MB.
 ITEMS_PER_PASS, CHARS_PER_PASS = 20_000, 4_000_000
+#: Block tables of an index, 256 KB each; where there are more lengths, neighbours share one.
+TABLES = 128
 #: Words of texts that are searched at once; a longer text is cut into overlapping parts.
 BLOCK_WORDS = 60_000
 #: Characters from which a text's words are hashed one by one.
 LONG = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_BLOCKS, _WITHIN = 4, 4
-_NEAR = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= _WITHIN).astype(np.uint16)
+_SPACED = bytes(c if chr(c).isalnum() else 32 for c in range(256))
+_BLOCKS, _BITS = 4, 16
 
 
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(_SPACED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -53,16 +59,80 @@ def _hashes(text: str | None) -> np.ndarray:
     return word_hashes(own, len(own))
 
 
-def _votes(hashes: np.ndarray) -> np.ndarray:
-    """Rows of +1 and -1 for the bits of each hash, as int8."""
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """SimHash of shingle hashes, repeats included: a bit is 1 if set in over half of them."""
     raw = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    return (np.unpackbits(raw, axis=1, bitorder="little").view(np.int8) << 1) - 1
+    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(raw), bitorder="little").view("<u8")[0]
 
 
-def fingerprint(hashes: np.ndarray) -> np.uint64:
-    """SimHash of shingle hashes, repeats included: a bit is 1 if set in over half of them."""
-    total = _votes(hashes).sum(axis=0, dtype=np.int64)
-    return np.packbits(total > 0, bitorder="little").view("<u8")[0]
+class Sums:
+    """Running sums of the bits of hashes, for fingerprints of any windows of them.
+
+    Row j adds up the bits j, j + width and so on, each in a lane of ``width`` bits. Lanes run
+    over into each other, but the difference of two sums is right where no window's does.
+    """
+
+    def __init__(self, hashes: np.ndarray, width: int):
+        self.width = width
+        self.ones = np.uint64(sum(1 << k for k in range(0, 64, width)))
+        self.rows = np.zeros((width, len(hashes) + 1), np.uint64)
+        for j, row in enumerate(self.rows):
+            np.cumsum((hashes >> np.uint64(j)) & self.ones, out=row[1:])
+
+    @staticmethod
+    def width_for(n: int) -> int:
+        """Bits of a lane that holds up to ``n``."""
+        return 8 if n < 1 << 8 else 16 if n < 1 << 16 else 32
+
+    def prints(self, first: slice | np.ndarray, last: slice | np.ndarray, n: int | np.ndarray) -> np.ndarray:
+        """Fingerprints of the ``n`` hashes from ``first`` up to ``last``."""
+        half = 1 << self.width - 1
+        top = self.ones * np.uint64(half)
+        lift = self.ones * (np.uint64(half - 1) - np.uint64(n) // np.uint64(2))  # a lane's top bit is set from over half on
+        out = None
+        for row in self.rows:
+            lane = row[last] - row[first]
+            lane += lift
+            lane &= top
+            if out is None:
+                out = lane
+            else:
+                out >>= np.uint64(1)
+                out |= lane
+        return out
+
+
+class Known:
+    """A set of hashes; a table of leading bits tells most others from them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        bits = min(24, max(16, (16 * len(self.hashes)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.leading = np.zeros(1 << bits, bool)
+        self.leading[self.hashes >> self.shift] = True
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.leading[hashes >> self.shift]
+        at = np.flatnonzero(out)
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        out[at] = self.hashes[place] == hashes[at]
+        return out
+
+
+def _distances(blocks: np.ndarray) -> np.ndarray:
+    """For each value of 16 bits the number of bits to the nearest of the blocks."""
+    out = np.full(1 << _BITS, _BITS, np.uint8)
+    out[blocks] = 0
+    for _ in range(2):
+        for bit in range(_BITS // 2, _BITS):
+            off, on = (out.reshape(-1, 2, 1 << bit)[:, side] for side in (0, 1))
+            nearer = np.minimum(off, on + 1)
+            on[:] = np.minimum(on, off + 1)
+            off[:] = nearer
+        out = out.reshape(1 << _BITS // 2, -1).T.ravel()  # the other half of the bits leads
+    return out
 
 
 class Item:
@@ -106,26 +176,34 @@ class Item:
 
 
 class Length:
-    """The items of one length, with their fingerprints in Hamming blocks."""
+    """The items of one length, with their fingerprints; ``table`` has the distances of Hamming blocks."""
 
-    def __init__(self, items: list[int], every: list[Item], table: np.ndarray, bit: int):
-        self.items, self.table, self.bit = np.array(items), table, np.uint64(bit)
+    def __init__(self, items: list[int], every: list[Item]):
+        self.items = np.array(items)
         one = every[items[0]]
         self.words, self.size, self.n = one.words, one.size, one.n
         self.stride = max(1, self.n // STRIDE)
+        self.width = Sums.width_for(self.n)
         self.prints = np.array([every[i].fp for i in items], np.uint64)
-        for own in self.prints.view(np.uint16).reshape(-1, _BLOCKS):
-            for block in range(_BLOCKS):
-                table[block, _NEAR ^ own[block]] |= np.uint64(1 << bit)
+        self.table = None
+
+    @staticmethod
+    def share_table(lengths: list[Length]) -> None:
+        """One table for these lengths: for each block's value the least distance to a block of an item."""
+        blocks = np.concatenate([length.prints for length in lengths]).view(np.uint16).reshape(-1, _BLOCKS)
+        table = np.stack([_distances(blocks[:, b]) for b in range(_BLOCKS)])
+        for length in lengths:
+            length.table = table
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which fingerprint, which of the items) for each two within the radius."""
         parts = prints.view(np.uint16).reshape(-1, _BLOCKS)
-        hit = self.table[0][parts[:, 0]]
+        apart = self.table[0].take(parts[:, 0])
         for block in range(1, _BLOCKS):
-            hit |= self.table[block][parts[:, block]]
-        at = np.flatnonzero(hit >> self.bit & np.uint64(1))
-        close = [at[np.bitwise_count(prints[at] ^ p) <= RADIUS] for p in self.prints]
+            apart += self.table[block].take(parts[:, block])
+        at = np.flatnonzero(apart <= RADIUS)
+        left = prints[at]
+        close = [at[np.bitwise_count(left ^ p) <= RADIUS] for p in self.prints]
         return np.concatenate(close), np.repeat(np.arange(len(close)), [len(c) for c in close])
 
     def edges(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +215,11 @@ class Length:
         first = np.concatenate([starts[whole], starts[whole] + room[whole], starts[short[kept]]])
         return first, np.concatenate([np.full(2 * len(whole), self.n), here[kept]])
 
-    def prints_of(self, total: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def prints_of(self, sums: Sums, first: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows at every stride-th word of the stream, then of the windows given."""
-        grid = max(0, len(total) - self.n)
-        regular = total[self.n :: self.stride] - total[: grid : self.stride]
-        return np.concatenate([np.packbits(x > 0, axis=1, bitorder="little").view("<u8").ravel() for x in (regular, total[first + n] - total[first])])
+        grid = max(0, sums.rows.shape[1] - self.n)
+        regular = sums.prints(slice(0, grid, self.stride), slice(self.n, None, self.stride), self.n)
+        return np.concatenate([regular, sums.prints(first, first + n, n)])
 
 
 class Index:
@@ -153,10 +231,12 @@ class Index:
         by_length: dict[int, list[int]] = {}
         for i, item in enumerate(self.items):
             by_length.setdefault(item.words, []).append(i)
-        tables = [np.zeros((_BLOCKS, 1 << 16), np.uint64) for _ in range(-(-len(by_length) // 64))]  # a bit for each length
-        self.lengths = [Length(own, self.items, tables[k // 64], k % 64) for k, (_, own) in enumerate(sorted(by_length.items()))]
+        self.lengths = [Length(own, self.items) for _, own in sorted(by_length.items())]
+        each = -(-len(self.lengths) // TABLES)
+        for k in range(0, len(self.lengths), max(1, each)):
+            Length.share_table(self.lengths[k : k + each])
         self.longest = max(by_length, default=0)
-        self.known = {q: np.unique(np.concatenate([i.shingles for i in self.items if i.size == q])) for q in {i.size for i in self.items}}
+        self.known = {q: Known(np.concatenate([i.shingles for i in self.items if i.size == q])) for q in {i.size for i in self.items}}
 
     def search_all(self, texts: Iterable[str | None]) -> Iterator[tuple]:
         """(place of the text, item id, similarity, first word, words, distance): the best window of each item that passes."""
@@ -196,30 +276,25 @@ class Index:
         starts = np.cumsum(sizes) - sizes
         text_of = np.repeat(np.arange(len(sizes)), sizes)
         pairs: set[tuple[int, int]] = set()
-        runs, sums = {}, {}
+        runs, hits, sums = {}, {}, {}
         for length in self.lengths:
             q = length.size
             if q > len(stream):
                 continue
-            kind = np.int8 if length.n < 128 else np.int32  # sums that wrap still differ rightly
-            if (q, kind) not in sums:
-                runs[q] = run_hashes(stream, q) if q not in runs else runs[q]
-                sums[q, kind] = np.zeros((len(runs[q]) + 1, 64), kind)
-                np.cumsum(_votes(runs[q]), axis=0, dtype=kind, out=sums[q, kind][1:])
-                if ("hits", q) not in sums:
-                    known = self.known[q]
-                    at = np.minimum(np.searchsorted(known, runs[q]), len(known) - 1)
-                    sums["hits", q] = np.concatenate([[0], np.cumsum(known[at] == runs[q])])
-            total, hits = sums[q, kind], sums["hits", q]
+            if q not in runs:
+                runs[q] = run_hashes(stream, q)
+                hits[q] = np.concatenate([[0], np.cumsum(self.known[q].has(runs[q]))])
+            if (q, length.width) not in sums:
+                sums[q, length.width] = Sums(runs[q], length.width)
             first, n = length.edges(starts, sizes)
-            prints = length.prints_of(total, first, n)
+            prints = length.prints_of(sums[q, length.width], first, n)
             regular = np.arange(len(prints) - len(first)) * length.stride
             first, n = np.concatenate([regular, first]), np.concatenate([np.full(len(regular), length.n), n])
             which, item = length.near(prints)
-            first, n, text = first[which], n[which], text_of[first[which]]
+            first, n, text, here = first[which], n[which], text_of[first[which]], hits[q]
             # inside its text; and a window within half a stride that passes has most of its shingles from items
-            low, high = np.maximum(first - length.stride, 0), np.minimum(first + n + length.stride, len(hits) - 1)
-            kept = (first + n + q - 1 <= starts[text] + sizes[text]) & (hits[high] - hits[low] >= SIMILARITY * n - 1e-9)
+            low, high = np.maximum(first - length.stride, 0), np.minimum(first + n + length.stride, len(here) - 1)
+            kept = (first + n + q - 1 <= starts[text] + sizes[text]) & (here[high] - here[low] >= SIMILARITY * n - 1e-9)
             pairs.update(zip(text[kept].tolist(), length.items[item[kept]].tolist()))
         out = []
         for at, number in sorted(pairs):

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from collections import Counter
 
@@ -85,6 +86,55 @@ def test_blocks_find_all_within_radius():
             assert at in length.near(np.array([probe], np.uint64))[1]
 
 
+def test_blocks_leave_few_fingerprints_to_compare(monkeypatch):
+    """Of random fingerprints at most a seventh is compared with the items of a length."""
+    rng = random.Random(6)
+    (length,) = dc.Index([(i, " ".join(f"a{rng.randrange(300)}" for _ in range(30))) for i in range(5)]).lengths
+    prints = np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64)
+    compared = []
+    count = np.bitwise_count
+    monkeypatch.setattr(dc.np, "bitwise_count", lambda x: compared.append(np.size(x)) or count(x))
+    which, item = length.near(prints)
+    monkeypatch.undo()
+    want = {(a, b) for b, p in enumerate(length.prints) for a in np.flatnonzero(np.bitwise_count(prints ^ p) <= dc.RADIUS).tolist()}
+    assert set(zip(which.tolist(), item.tolist())) == want and want
+    assert sum(compared) < len(prints) * len(length.prints) / 7
+
+
+def test_words_are_runs_of_letters_and_digits():
+    """Of every character alike, whether the text is Latin-1 or not."""
+    every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for text in ["".join(f"a{c}b {c}" for c in every[:256]), "".join(f"a{c}b {c}" for c in every), "A_b\xa0C\x85d\x1cE-f²ªß", "İx Σας \ud800y", "", "_"]:
+        assert dc.words(text) == re.findall(r"[^\W_]+", text.lower())
+    assert dc.words(None) == []
+
+
+def test_windows_of_any_size_have_their_fingerprints():
+    """Running sums give each window's own SimHash, also where a lane is just full and for windows of unlike sizes."""
+    rng = np.random.default_rng(7)
+    hashes = np.concatenate([rng.integers(0, 1 << 64, 900, np.uint64), np.full(900, (1 << 64) - 1, np.uint64), np.zeros(300, np.uint64), rng.integers(0, 1 << 64, 66_000, np.uint64)])
+    for n in (1, 2, 11, 127, 128, 254, 255, 256, 257, 900, 65_535, 65_536, 66_000):
+        sums = dc.Sums(hashes, dc.Sums.width_for(n))
+        first = np.arange(0, len(hashes) - n + 1, max(1, n // 3))
+        some = first[:: max(1, len(first) // 300)]
+        want = [dc.fingerprint(hashes[a : a + n]) for a in some]
+        assert sums.prints(some, some + n, n).tolist() == [int(w) for w in want]
+        sizes = np.arange(len(some)) % n + 1
+        assert sums.prints(some, some + sizes, sizes).tolist() == [int(dc.fingerprint(hashes[a : a + m])) for a, m in zip(some, sizes)]
+    assert dc.fingerprint(hashes[900:1800]) == (1 << 64) - 1
+
+
+def test_neighbouring_lengths_share_a_table(monkeypatch):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(8 + k % 40))) for k in range(120)]
+    texts = [" ".join(f"x{rng.randrange(3000)}" for _ in range(30)) + f" {items[k][1]} end" for k in range(0, 120, 3)] + ["", None, "x"]
+    whole = list(dc.Index(items).search_all(texts))
+    monkeypatch.setattr(dc, "TABLES", 7)
+    shared = dc.Index(items)
+    assert len({id(length.table) for length in shared.lengths}) <= 7
+    assert list(shared.search_all(texts)) == whole and {(f[0], f[1]) for f in whole} >= {(k // 3, k) for k in range(0, 120, 3)}
+
+
 def test_document_shorter_than_the_item():
     item = [f"a{i}" for i in range(50)]
     index = dc.Index([(1, " ".join(item))])
