@@ -45,6 +45,8 @@ FEW = 13
 HELD = 1_000_000
 #: Sets of a cluster, and shingles of them, that one task compares; larger clusters are dealt anew.
 CLUSTER_SETS, CLUSTER_SHINGLES = 5000, 4_000_000
+#: Pairs of a cluster that are listed at once.
+LISTED = 65_536
 #: Sets that a task takes on, about.
 TASK_SETS = 3000
 #: Rows of at most some 200 bytes that are broadcast to find their texts; more are joined by a shuffle.
@@ -73,21 +75,26 @@ def prints(own: np.ndarray) -> np.ndarray:
     return np.packbits(simhash.bit_votes(hashes) * 2 > len(own), bitorder="little").view("<u4")
 
 
-def without_two(own: np.ndarray) -> np.ndarray:
-    """Hashes of the set and of the set without each one and each two of its shingles, where it has few; else none."""
+def without_two(own: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Hashes of the set and of the set without each one and each two of its shingles, where it has few; else none.
+
+    A similar set lacks no more than a share of 1 - ``similarity`` of them, so the smallest sets leave out one or
+    none: else all sets of one or two shingles would meet at the empty set, which makes a square of their number.
+    """
     if len(own) > FEW:
         return own[:0]
     each = mixed(own)
     whole = np.bitwise_xor.reduce(each)
     i, j = np.triu_indices(len(own), 1)
-    return mixed(np.concatenate([[whole], whole ^ each, whole ^ each[i] ^ each[j]]))
+    lost = int(len(own) * (1 - similarity) + 1e-9)
+    return mixed(np.concatenate([[whole], (whole ^ each)[: len(own) * (lost > 0)], (whole ^ each[i] ^ each[j])[: len(i) * (lost > 1)]]))
 
 
 def _name(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED)).astype(np.int64))
 
 
-def _marks(size: int):
+def _marks(size: int, similarity: float):
     kind = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prints", T.BinaryType()), T.StructField("few", T.BinaryType())])
 
     @F.arrow_udf(kind)
@@ -95,7 +102,7 @@ def _marks(size: int):
         names, sizes, found, few = [], [], [], []
         for text in texts:
             own = shingle_set(text.as_py(), size)
-            names.append(_name(own)), sizes.append(len(own)), found.append(prints(own).tobytes()), few.append(without_two(own).tobytes())
+            names.append(_name(own)), sizes.append(len(own)), found.append(prints(own).tobytes()), few.append(without_two(own, similarity).tobytes())
         return pa.StructArray.from_arrays(
             [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary()), pa.array(few, pa.binary())], ["set_id", "n", "prints", "few"]
         )
@@ -237,21 +244,24 @@ def _connect(names: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[n
             above[x] = x = above[above[x]]
         return x
 
-    near = []
+    totals, rows, columns = [], [], []
     for i in range(len(names) - 1):
         small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
         j = np.flatnonzero((small >= similarity * large - 1e-9) & (group[i] != group[i + 1 :]))
         j = j[may_be_near(fps[i][None, :], fps[i + 1 :][j]) | (large[j] <= FEW)]
-        total = np.bitwise_count(fps[i] ^ fps[i + 1 :][j]).sum(axis=1, dtype=np.int64)
-        near.append(np.stack([total, np.full(len(j), i), j + i + 1], axis=1))
+        totals.append(np.bitwise_count(fps[i] ^ fps[i + 1 :][j]).sum(axis=1, dtype=np.int16))
+        rows.append(np.full(len(j), i, np.int32)), columns.append((j + i + 1).astype(np.int32))
     edges = []
-    if near:
-        near = np.concatenate(near)
-        for _, i, j in near[np.argsort(near[:, 0], kind="stable")].tolist():
-            a, b = find(group[i]), find(group[j])
-            if a != b and _jaccard(sets[i], sets[j]) >= similarity - 1e-12:
-                above[a] = b
-                edges.append((names[i], names[j]))
+    if totals:
+        totals, rows, columns = (np.concatenate(x) for x in (totals, rows, columns))
+        order = np.argsort(totals, kind="stable")
+        for at in range(0, len(order), LISTED):  # Python's numbers take ten times as much memory
+            own = order[at : at + LISTED]
+            for i, j in zip(rows[own].tolist(), columns[own].tolist()):
+                a, b = find(group[i]), find(group[j])
+                if a != b and _jaccard(sets[i], sets[j]) >= similarity - 1e-12:
+                    above[a] = b
+                    edges.append((names[i], names[j]))
     return edges
 
 
@@ -372,7 +382,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = settled(own.withColumn("m", _marks(size)("text")).select("id", "text_hash", "m.*"))
+    marked = settled(own.withColumn("m", _marks(size, similarity)("text")).select("id", "text_hash", "m.*"))
     rep = F.min(F.struct("id", "text_hash")).alias("r")
     sets = settled(marked.groupBy("set_id", "n", "prints", "few").agg(rep).select("set_id", "n", "prints", "few", "r.*"))
     roots = components(similar_sets(own, sets, size, similarity), FEW_EDGES)

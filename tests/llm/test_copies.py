@@ -97,3 +97,27 @@ def test_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(copies, "CLUSTER_SETS", most)
         assert sorted(r.doc_id for r in copies.keep_one(table(spark, rows)).collect()) == brute(rows)
     assert sorted(r.doc_id for r in copies.keep_one(table(spark, rows), size=3, similarity=0.85).collect()) == brute(rows, 0.85, 3)
+
+
+def test_smallest_sets_meet_only_equals(spark, monkeypatch):
+    """Texts of one or two shingles: at 0.8 only equal sets are similar, so others have no hash in common and make no cluster."""
+    texts = [" ".join(f"w{i}-{k}" for k in range(n)) for i, n in enumerate([1, 3, 5, 6, 6, 7, 8] * 6)]
+    found = [copies.without_two(copies.shingle_set(t)) for t in texts]
+    assert all(not len(np.intersect1d(a, b)) for a, b in combinations(found, 2))
+    five, less = copies.shingle_set("a b c d e f g h i"), copies.shingle_set("a b c d e f g h")
+    assert len(five) == 5 and len(np.intersect1d(copies.without_two(five), copies.without_two(less)))
+    called = []
+    monkeypatch.setattr(copies, "_within", lambda *_: called.append(1))
+    rows = list(enumerate([*texts, texts[3].upper()]))
+    assert sorted(r.doc_id for r in copies.keep_one(table(spark, rows)).collect()) == list(range(len(texts))) and not called
+
+
+def test_pairs_of_a_cluster_are_listed_in_parts(monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    sets = [copies.shingle_set(" ".join(edited(rng, words, rng.choice([0, 1, 9])))) for _ in range(40)]
+    sets = [np.array(s, np.uint64) for s in sorted({tuple(s.tolist()) for s in sets})]
+    own = np.arange(len(sets)), np.arange(len(sets)), np.stack([copies.prints(s) for s in sets]), sets
+    want = copies._connect(*own, 0.8)
+    monkeypatch.setattr(copies, "LISTED", 3)
+    assert copies._connect(*own, 0.8) == want and len(want) > 3
