@@ -105,3 +105,25 @@ def test_similar_sets_shuffle_prefixes_only(spark, monkeypatch):
         assert {(r.a, r.b): r.score for r in neartext.similar_sets(sets, 0.7).collect()} == want
         assert {(r.a, r.b): r.score for r in neartext.similar_sets(words, 0.7, within=60).collect()} == near
     assert 0 < len(near) < len(want)
+
+
+def test_near_texts_keep_no_sets(spark, monkeypatch):
+    """Whatever is kept or dealt has no set of a text in it, only codes; sizes of parts don't change what is found."""
+    import random
+
+    draw, kept = random.Random(4), []
+    base = [[f"w{draw.randrange(3000)}" for _ in range(40)] for _ in range(6)]
+    texts = [" ".join(base[i % 6][: 40 - i % 4] + [f"x{i % 50}"] * (i % 3)) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (90, None), (91, "one"), (92, texts[3].upper())], "doc_id long, text string")
+    settled = neartext.settled
+    monkeypatch.setattr(neartext, "settled", lambda df: kept.append(df.schema) or settled(df))
+    found = []
+    for held, listed, verified, ids in ((1_000_000, 1_000_000, 2000, 1_000_000), (7, 5, 2, 0)):
+        for name, size in zip(("HELD", "LISTED", "VERIFIED", "BROADCAST_IDS"), (held, listed, verified, ids)):
+            monkeypatch.setattr(neartext, name, size)
+        members, pairs = neartext.near_texts(docs, 0.85)
+        found.append(({tuple(r) for r in members.collect()}, {tuple(r) for r in pairs.collect()}))
+    assert found[0] == found[1] and len(found[0][1]) > 20 and (92, 3) in {m[:2] for m in found[0][0]}
+    assert kept and not [f for schema in kept for f in schema if f.dataType.typeName() == "array"]
+    exact, hashed = neartext.minhash_texts(docs, 0.85)
+    assert {tuple(r) for r in exact.collect()} == {tuple(r) for r in hashed.collect()} == found[0][1]
